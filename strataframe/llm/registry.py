@@ -7,7 +7,9 @@ import importlib
 #: (module, query); a module's ORACLE, if any, is the query's SQL.
 MODULES = {
     "op2_token_counts": "token_counts",
+    "op6_pii": "pii",
     "op7_sentencepiece": "sentencepieces",
+    "op9_quality_rules": "quality",
 }
 
 
