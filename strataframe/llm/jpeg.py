@@ -455,5 +455,3 @@ def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         "feature",
         "n_images",
     )
-
-

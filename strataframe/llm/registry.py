@@ -9,6 +9,7 @@ MODULES = {
     "op2_token_counts": "token_counts",
     "op6_pii": "pii",
     "op7_sentencepiece": "sentencepieces",
+    "op8_jpeg": "jpeg",
     "op9_quality_rules": "quality",
 }
 
