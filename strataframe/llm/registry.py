@@ -11,6 +11,7 @@ MODULES = {
     "op7_sentencepiece": "sentencepieces",
     "op8_jpeg": "jpeg",
     "op9_quality_rules": "quality",
+    "op10_near_duplicates": "neardup",
 }
 
 
