@@ -7,6 +7,7 @@ import importlib
 #: (module, query); a module's ORACLE, if any, is the query's SQL.
 MODULES = {
     "op2_token_counts": "token_counts",
+    "op3_chat_formatting": "chat",
     "op6_pii": "pii",
     "op7_sentencepiece": "sentencepieces",
     "op8_jpeg": "jpeg",
