@@ -9,6 +9,7 @@ MODULES = {
     "op2_token_counts": "token_counts",
     "op3_chat_formatting": "chat",
     "op4_license_scan": "licenses",
+    "op5_toxicity": "toxicity",
     "op6_pii": "pii",
     "op7_sentencepiece": "sentencepieces",
     "op8_jpeg": "jpeg",
