@@ -6,6 +6,7 @@ import importlib
 
 #: (module, query); a module's ORACLE, if any, is the query's SQL.
 MODULES = {
+    "op1_mixing": "mixing",
     "op2_token_counts": "token_counts",
     "op3_chat_formatting": "chat",
     "op4_license_scan": "licenses",
