@@ -3,18 +3,17 @@
 1. A task turns each text into its set of distinct word shingles (64-bit hashes), the set's
    digest, ROWS * BANDS minima of universal hashes a*x+b, and a key for each band. Texts with
    equal sets are one node from here on, however many there are.
-2. Nodes that share a band's key are in one bucket. Each is linked with the smallest node of
-   its bucket only, so a bucket of n nodes gives n - 1 candidates.
-3. Candidates are verified by their minima, what is left by their whole sets, and the links'
-   components found by alternating large-star and small-star.
-4. What a star can miss: two nodes of a bucket in different components. Buckets that still
-   hold several components go on: small ones compare their nodes across components; large ones
-   are split by further minima (each node under SPLIT_BANDS keys of SPLIT_ROWS minima) and go
-   through 2 to 4 again. At the last level the rest is compared whatever its size, so
-   no bucket is capped.
+2. Nodes that share a band's key are a bucket. Buckets of the same nodes count once. The texts
+   of a bucket meet in one task, which verifies pairs by their minima, then by their whole
+   sets, and returns only links that join what isn't joined yet: n - 1 at most for n nodes.
+3. A bucket that weighs more than BLOCK is dealt out in blocks. Its nodes are first linked with
+   its smallest, and the links' components found; then only nodes outside of its
+   largest component meet the others, block by block. So a family of any number of copies
+   costs in proportion to its size, and no bucket is capped.
+4. Components by alternating large-star and small-star.
 
 The only loss is the bands' own: two sets of similarity s share no key with probability
-(1 - s**ROWS)**BANDS, below 3e-6 at 0.8 (and 1e-5 more for each split at most).
+(1 - s**ROWS)**BANDS, below 3e-6 at 0.8; the minima let a pair of 0.8 through but for 1e-6.
 
 Defined results: words are runs of bytes other than space and 0x09-0x0D, A-Z in lower case. A
 text of fewer words than a shingle is one shingle; null text or no words give the empty set,
@@ -26,7 +25,6 @@ without doc_id has n_shingles, no component, and isn't kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +38,13 @@ from .components import connected_components
 SHINGLE = 4
 SIMILARITY = (80, 100)
 ROWS, BANDS = 6, 42
-#: Rows and bands of a split of a large bucket.
-SPLIT_ROWS, SPLIT_BANDS = 3, 16
-#: Nodes of a bucket that are compared with each other without a split.
-SMALL = 32
-LEVELS = 4
-#: Share of equal minima below which a pair isn't looked at: six deviations under 0.8.
-LEAST_EQUAL = 0.65
-#: Shingles hashed together; a slice of this size stays in cache.
-BLOCK = 1 << 15
+#: Weight of the texts that meet in one task: their shingles, and NODE for each text.
+BLOCK = 1 << 20
+NODE = 512
+#: Share of equal minima below which a pair isn't looked at: nearly five deviations under 0.8.
+LEAST_EQUAL = 0.68
+#: Shingles hashed together: so many stay in cache.
+CACHED = 1 << 15
 
 
 def shingle_sets(data: np.ndarray, rows: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -89,16 +85,16 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
     at = 0
     while at < len(full):
         to, size = at, 0
-        while to < len(full) and (to == at or size + len(sets[full[to]]) <= BLOCK):
+        while to < len(full) and (to == at or size + len(sets[full[to]]) <= CACHED):
             size += len(sets[full[to]])
             to += 1
         x = np.concatenate([sets[k] for k in full[at:to]])
         begins = np.cumsum([0] + [len(sets[k]) for k in full[at : to - 1]])
         some = np.empty((to - at, n), np.uint64)
-        if len(x) > 4 * BLOCK:  # one long text: its parts one after the other
+        if len(x) > 4 * CACHED:  # one long text: its parts one after the other
             some[:] = 0xFFFFFFFFFFFFFFFF
-            for p in range(0, len(x), BLOCK):
-                part = x[p : p + BLOCK]
+            for p in range(0, len(x), CACHED):
+                part = x[p : p + CACHED]
                 for k in range(n):
                     some[0, k] = min(some[0, k], (part * a[k] + b[k]).min())
         else:
@@ -148,147 +144,180 @@ def signed(docs: DataFrame, width: int = SHINGLE, text: str = "text") -> DataFra
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """a, b of those pairs (a, b, sig_a, sig_b) whose minima agree often enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = pa.array((x == y).mean(1) >= LEAST_EQUAL)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _sets_of(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """node, set of the rows of docs (node, text) whose text still has that node's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, rows in slices(batch, text, 1 << 20):
-                sets = shingle_sets(data, rows, width)
-                ids = node_ids(sets)
-                fits = np.flatnonzero(ids == part.column("node").to_numpy(zero_copy_only=False))
-                if len(fits):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[fits]), pa.array([sets[k].tobytes() for k in fits], pa.binary())], names=["node", "set"])
-
-    return docs.mapInArrow(run, "node long, set binary")
-
-
-def _confirmed(pairs: DataFrame) -> DataFrame:
-    """a, b of those pairs (a, b, set_a, set_b) whose sets are similar."""
+def _similar(x: int, y: int, both):
     part, of = SIMILARITY
+    return of * both >= part * (x + y - both)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections: shingles of many sets by a matrix product, the others by their lists."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    heavy = np.flatnonzero(counts > max(8, m // 8))
+    at = np.full(len(counts), -1)
+    at[heavy] = np.arange(len(heavy))
+    out = np.zeros((m, m), np.float32)
+    for a in range(0, len(heavy), 4096):
+        some = (at[column] >= a) & (at[column] < a + 4096)
+        dense = np.zeros((m, min(4096, len(heavy) - a)), np.float32)
+        dense[row[some], at[column[some]] - a] = 1
+        out += dense @ dense.T
+    light = (counts[column] > 1) & (at[column] < 0)
+    order = np.argsort(column[light], kind="stable")
+    row, column = row[light][order], column[light][order]
+    first, last = np.searchsorted(column, column), np.searchsorted(column, column, "right")
+    for k in range(m):
+        mine = row == k
+        n = last[mine] - first[mine]
+        if len(n):
+            ends = np.cumsum(n)
+            out[k] += np.bincount(row[np.arange(ends[-1]) + np.repeat(first[mine] - ends + n, n)], minlength=m)
+    return out.astype(np.int64)
+
+
+def links_among(sets: list[np.ndarray], sigs: np.ndarray, groups: list) -> list[tuple[int, int]]:
+    """Links between similar sets, as few as join all that belong together. groups: equal for
+    sets that are joined already."""
+    m = len(sets)
+    above = {g: g for g in groups}
+
+    def root(g):
+        while above[g] != g:
+            above[g] = above[above[g]]
+            g = above[g]
+        return g
+
+    pairs = []
+    for k in range(m - 1):
+        near = np.flatnonzero((sigs[k + 1 :] == sigs[k]).mean(1) >= LEAST_EQUAL) + k + 1
+        pairs += [(k, j) for j in near.tolist() if groups[k] != groups[j]]
+    found = []
+    overlaps = _overlaps(sets) if len(pairs) > 4 * m else None
+    for a, b in pairs:
+        ra, rb = root(groups[a]), root(groups[b])
+        if ra != rb:
+            x, y = sets[a], sets[b]
+            both = overlaps[a, b] if overlaps is not None else len(np.intersect1d(x, y, assume_unique=True))
+            if _similar(len(x), len(y), both):
+                above[max(ra, rb)] = min(ra, rb)
+                found.append((a, b))
+    return found
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, which come one after the other."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if left and left[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(left)
+            left = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+            left.append(batch.slice(a, b - a))
+            if b < len(keys):
+                yield pa.Table.from_batches(left)
+                left = []
+    if left:
+        yield pa.Table.from_batches(left)
+
+
+def _linked(met: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) of the groups of met (meet, node, component, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = of * both >= part * (len(x) + len(y) - both)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-class _Verifier:
-    def __init__(self, docs: DataFrame, made: DataFrame, width: int, text: str):
-        self.docs, self.width, self.text = docs.select("doc_id", text), width, text
-        self.made = made.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The links among distinct candidate pairs (a, b)."""
-        part, of = SIMILARITY
-        pairs = materialize(pairs, "candidates")
-        named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        nodes = self.made.join(named, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("n", "sig"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id"))
-        nodes = materialize(nodes.select("node", "doc_id", "x.n", "x.sig"), "candidate-nodes")
-        side = lambda k, *cols: nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
-        close = (F.least("n_a", "n_b") * of >= F.greatest("n_a", "n_b") * part)
-        alike = materialize(_alike(pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").filter(close).select("a", "b", "sig_a", "sig_b")), "alike")
-        named = alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(named, "node", "left_semi").select("node", "doc_id")
-        sets = _sets_of(self.docs.join(wanted, "doc_id").select("node", self.text), self.width, self.text)
-        sets = materialize(sets.dropDuplicates(["node"]), "sets")
-        side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
-        return materialize(_confirmed(alike.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")), "confirmed")
-
-
-def _split(rows: DataFrame, sigs: DataFrame, level: int) -> DataFrame:
-    """rows (bucket, node) under further keys made of minima that earlier levels didn't take together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.random.Generator(np.random.PCG64(level)).permutation(ROWS * BANDS)[: SPLIT_ROWS * SPLIT_BANDS]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                if part.num_rows:
-                    m = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, -1)[:, order].astype(np.uint64)
-                    keys = _band_keys(m, SPLIT_ROWS, level << 8)
-                    keys = mixed(keys.astype(np.uint64) + mixed(part.column("bucket").to_numpy().astype(np.uint64))[:, None]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), SPLIT_BANDS))], names=["bucket", "node"])
-
-    return rows.join(sigs, "node").select("bucket", "node", "sig").mapInArrow(run, "bucket long, node long")
-
-
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text") -> DataFrame:
+        a, b = [], []
+        for group in _runs(batches, "meet"):
+            if group.num_rows < 2:
+                continue
+            batch = group.combine_chunks().to_batches()[0]
+            sets = [x for _, data, rows in slices(batch, "text", 1 << 20) for x in shingle_sets(data, rows, width)]
+            nodes = batch.column("node").to_numpy()
+            fits = np.flatnonzero(node_ids(sets) == nodes)  # a doc_id may have other texts beside the node's
+            _, first = np.unique(nodes[fits], return_index=True)
+            fits = fits[first]
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(sets), -1)[fits]
+            found = links_among([sets[k] for k in fits], sigs, batch.column("component").to_numpy()[fits].tolist())
+            a += [int(nodes[fits[x]]) for x, _ in found]
+            b += [int(nodes[fits[y]]) for _, y in found]
+            if len(a) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _meeting(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
+    """The links of members (meet, node, component) among those of the same meet."""
+    met = members.join(nodes, "node").join(docs.select("doc_id", text), "doc_id").select("meet", "node", "component", "sig", F.col(text).alias("text"))
+    return materialize(_linked(met.repartition("meet").sortWithinPartitions("meet"), width).distinct(), "met")
+
+
+def _dealt(members: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """meet, node, component: members (bucket, node, w) of large buckets dealt out so that each
+    pair of nodes meets somewhere, unless both belong to the bucket's largest component."""
+    rows = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy("bucket", "component").agg(F.sum("w").alias("w"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda w: F.ceil(w / F.lit(block)).cast("int")
+    rows = rows.drop("w").join(main, "bucket").withColumns({"in_main": F.col("component") == F.col("main"), "n_main": blocks(F.col("w_main")), "n_rest": blocks(F.col("w") - F.col("w_main"))})
+    spread = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    own = spread + F.when(F.col("in_main"), F.col("n_rest")).otherwise(0)  # blocks of the rest come first
+    rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
+    every = F.sequence(F.lit(0), F.col("n_rest") + F.col("n_main") - 1)
+    others = F.when(F.col("in_main"), rest).otherwise(every)
+    rows = rows.withColumn("own", own).select("bucket", "node", "component", "own", F.explode(others).alias("other"))
+    return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meet"), "node", "component").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     made = materialize(signed(docs, width, text), "minima")
-    verify = _Verifier(docs, made, width, text)
     usable = made.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     rows = usable.select("node", F.explode("keys").alias("bucket"))
-    links, parts = None, None
-    for level in range(LEVELS):
-        if parts is None:
-            shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-            rows = materialize(rows.join(shared.select("bucket", "least"), "bucket").select("bucket", "node", "least").distinct(), "buckets")
-        else:
-            rows = _open(rows.distinct(), parts)
-        star = rows.filter(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        found = verify(star)
-        links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-        rows = _open(rows.select("bucket", "node"), parts)
-        few = rows.filter((F.col("m") <= SMALL) | F.lit(level == LEVELS - 1))
-        left = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("c"))
-        right = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("d"))
-        across = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d"))).select("a", "b").distinct()
-        found = verify(across)
-        many = rows.filter(F.col("m") > SMALL).select("bucket", "node")
-        last = level == LEVELS - 1 or many.isEmpty()
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = connected_components(links)
-        if last:
-            break
-        sigs = usable.join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by("sig", "doc_id").alias("sig"))
-        rows = _split(many, sigs, level + 1)
-    least = made.join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    members = materialize(rows.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "members")
+    named = members.select("node").distinct()
+    nodes = usable.join(named, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "sig"), "doc_id").alias("x"))
+    nodes = materialize(nodes.select("node", "doc_id", (F.col("x.n") + NODE).alias("w"), "x.sig"), "nodes")
+    # buckets of the same nodes are one
+    sized = members.join(nodes.select("node", "w"), "node")
+    buckets = sized.groupBy("bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("least"))
+    buckets = materialize(buckets.groupBy("w", "m", "x", "y", "least").agg(F.min("bucket").alias("bucket")), "unlike-buckets")
+    small, large = buckets.filter(F.col("w") <= block), buckets.filter(F.col("w") > block)
+    links = _meeting(members.join(small.select("bucket"), "bucket").select(F.col("bucket").alias("meet"), "node", F.col("node").alias("component")), nodes, docs, width, text)
+    if not large.isEmpty():
+        big = materialize(sized.join(large.select("bucket", "least"), "bucket"), "large-buckets")
+        star = big.filter(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+        ends = F.array("a", "b")
+        pairs = star.select(F.xxhash64("a", "b").alias("meet"), F.explode(ends).alias("node")).withColumn("component", F.col("node"))
+        links = links.unionByName(_meeting(pairs, nodes, docs, width, text))
+        dealt = materialize(_dealt(big.select("bucket", "node", "w"), connected_components(links), block), "dealt")
+        links = links.unionByName(_meeting(dealt, nodes, docs, width, text))
+    parts = connected_components(links)
+    least = made.filter(F.col("doc_id").isNotNull()).join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    grouped = parts.join(least, "component").select("node", F.col("component_id").alias("joint_id"))
     alone = usable.groupBy("node").agg(F.min("doc_id").alias("own_id"))
-    named = alone.join(parts, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
+    named = alone.join(grouped, "node", "left").select("node", F.coalesce("joint_id", "own_id").alias("component_id"))
     out = made.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """bucket, node, component, m (the bucket's nodes), least (its smallest) of the buckets that hold several components."""
-    rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-    return materialize(rows.join(several.select("bucket", "m", "least"), "bucket").select("bucket", "node", "component", "m", "least"), "open-buckets")
-
-
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id. Rows without doc_id stay."""
     names = docs.columns
     kept = near_duplicates(docs.select("doc_id", "text"), width).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
     kept = materialize(kept, "kept")
-    once = docs.join(kept.filter("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.filter("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return reduce(DataFrame.unionByName, [once, again, docs.filter(F.col("doc_id").isNull())]).select(*names)
+    again = kept.filter("copies > 1").select("doc_id")
+    out = docs.join(kept.filter("copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*names)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
