@@ -116,6 +116,12 @@ def encoded(batch: pa.RecordBatch, text: str, chunks: ChunkTable) -> Iterator[tu
         yield part, n, out_ids, out_text
 
 
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [x.count(b",") + 1 if x else 0 for x in ids]).astype(np.int32)
+    flat = np.array(b",".join(x for x in ids if x).split(b",") if offsets[-1] else [], dtype="S").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+
+
 def encode_decode(docs: DataFrame, model: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), real: bool = False) -> DataFrame:
     """Encodes and decodes whole texts; one row per row of docs.
 
@@ -132,7 +138,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", carry: tuple[
         for batch in batches:
             for part, n, ids, decoded in encoded(batch, text, chunks):
                 if real:
-                    made = [pa.array([[int(x) for x in i.split(b",")] if i else [] for i in ids], pa.list_(pa.int32())), pa.array([x.decode() for x in decoded], pa.string())]
+                    made = [_id_lists(ids), pa.array([x.decode() for x in decoded], pa.string())]
                 else:
                     made = [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (ids, decoded)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(n, pa.int64()), *made], names=schema.names)
