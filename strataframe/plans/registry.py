@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import SCHEMAS, views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules that register queries when they are imported.
+MODULES = ("catalog", "files", "relational", "joins", "aggregates", "windows", "scalars", "streams", "extensions")
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -29,9 +36,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _loaded() -> dict[str, Entry]:
-    from . import catalog  # noqa: F401  registers on import
+def register_sql(name: str, sql: str, duckdb: str | None = None) -> None:
+    """A query in SQL over the declared tables that it names. duckdb: its SQL for DuckDB, where that differs."""
+    names = [t for t in SCHEMAS if re.search(rf"\b{t}\b", sql)]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, *names)
+        return spark.sql(sql)
 
+    register(name, duckdb or sql)(query)
+
+
+def _loaded() -> dict[str, Entry]:
+    for module in MODULES:
+        importlib.import_module(f".{module}", __package__)
     return ENTRIES
 
 
