@@ -1 +1,53 @@
+"""User-defined functions."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.udfs import Words, demeaned, discounted, doubled, flags, geometric_mean, matched
+from ..sources.tables import table
+from .registry import register
+
+
+@register("i1_pandas_udf", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 45")
+def pandas_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", discounted("l_extendedprice", "l_discount").alias("net"))
+
+
+@register("i1_arrow_udf", "SELECT lower(l_returnflag || '/' || l_linestatus) AS flags, count(*) AS n FROM lineitem GROUP BY 1")
+def arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")).select(flags("l_returnflag", "l_linestatus").alias("flags"), "n")
+
+
+@register("i2_pandas_aggregate", "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 4) AS mean FROM part GROUP BY p_brand")
+def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(geometric_mean("p_retailprice").alias("mean")).select("p_brand", F.round("mean", 4).alias("mean"))
+
+
+@register("i3_grouped_map", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS distance FROM customer")
+def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(demeaned, "c_custkey long, distance double")
+    return made.select("c_custkey", F.round("distance", 4).alias("distance"))
+
+
+@register(
+    "i3_cogrouped_map",
+    "SELECT coalesce(c.k, s.k) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s USING (k)",
+)
+def cogrouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_nationkey").groupBy("c_nationkey")
+    return customers.cogroup(table(spark, sf_dir, "supplier").select("s_nationkey").groupBy("s_nationkey")).applyInPandas(matched, "nation int, customers long, suppliers long")
+
+
+@register("i4_map_in_arrow", "SELECT event_id, value * 2 AS twice FROM events")
+def map_in_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "value").mapInArrow(doubled, "event_id long, twice double")
+
+
+@register("i5_table_function", "SELECT item_id, word, CAST(place - 1 AS INT) AS place FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS place FROM benchmark) WHERE word <> ''")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("words_of", Words)
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    return spark.sql("SELECT item_id, word, place FROM benchmark, LATERAL words_of(text)")

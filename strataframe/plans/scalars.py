@@ -1 +1,155 @@
+"""Scalar functions, by family."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.vectors import cosine_similarity, dot, l2_distance
+from ..sources.tables import table
+from .registry import register, register_sql
+
+register_sql(
+    "g1_strings",
+    """
+    SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, initcap(lower(c_mktsegment)) AS i, trim(concat('  ', c_name, ' ')) AS t, ltrim('  x') AS lt, rtrim('x  ') AS rt,
+      lpad(CAST(c_nationkey AS STRING), 5, '0') AS lp, rpad(c_mktsegment, 12, '.') AS rp, CAST(length(c_name) AS BIGINT) AS n, concat_ws('-', c_name, c_mktsegment) AS ws,
+      substring(c_name, 10, 4) AS sub, left(c_name, 3) AS lft, right(c_name, 3) AS rgt, replace(c_name, '0', 'o') AS rep, translate(c_name, '0123', 'abcd') AS tr,
+      CAST(instr(c_name, '#') AS BIGINT) AS pos, repeat(left(c_mktsegment, 1), 3) AS three, reverse(c_name) AS rev, split_part(c_name, '#', 2) AS part,
+      contains(c_name, '99') AS has, startswith(c_name, 'Cust') AS begins, endswith(c_name, '7') AS ends, CAST(levenshtein(c_mktsegment, 'BUILDING') AS BIGINT) AS distance, ascii(c_mktsegment) AS code, chr(65 + c_nationkey) AS letter
+    FROM customer
+    """,
+    """
+    SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS i, trim('  ' || c_name || ' ') AS t, ltrim('  x') AS lt, rtrim('x  ') AS rt,
+      lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS lp, rpad(c_mktsegment, 12, '.') AS rp, length(c_name) AS n, concat_ws('-', c_name, c_mktsegment) AS ws,
+      substring(c_name, 10, 4) AS sub, left(c_name, 3) AS lft, right(c_name, 3) AS rgt, replace(c_name, '0', 'o') AS rep, translate(c_name, '0123', 'abcd') AS tr,
+      CAST(instr(c_name, '#') AS BIGINT) AS pos, repeat(left(c_mktsegment, 1), 3) AS three, reverse(c_name) AS rev, split_part(c_name, '#', 2) AS part,
+      contains(c_name, '99') AS has, starts_with(c_name, 'Cust') AS begins, ends_with(c_name, '7') AS ends, CAST(levenshtein(c_mktsegment, 'BUILDING') AS BIGINT) AS distance, ascii(c_mktsegment) AS code, chr(65 + c_nationkey) AS letter
+    FROM customer
+    """,
+)
+register_sql(
+    "g2_regex",
+    r"""
+    SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_replace(url, '[0-9]+', '#') AS masked, CAST(regexp_count(html, '<[a-z]+') AS BIGINT) AS n_tags,
+      array_join(regexp_extract_all(url, '([0-9]+)', 1), ',') AS numbers, rlike(url, '/en/') AS english FROM pages
+    """,
+    r"""
+    SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_replace(url, '[0-9]+', '#', 'g') AS masked, CAST(len(regexp_extract_all(html, '<[a-z]+')) AS BIGINT) AS n_tags,
+      array_to_string(regexp_extract_all(url, '([0-9]+)', 1), ',') AS numbers, regexp_matches(url, '/en/') AS english FROM pages
+    """,
+)
+register_sql(
+    "g3_hashes_and_codecs",
+    "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha2(n_name, 256) AS s2, base64(CAST(n_name AS BINARY)) AS b, CAST(unbase64(base64(CAST(n_name AS BINARY))) AS STRING) AS back, hex(n_name) AS h, url_encode(concat(n_name, ' &')) AS e, url_decode('a%20b') AS d FROM nation",
+    "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha256(n_name) AS s2, base64(encode(n_name)) AS b, n_name AS back, hex(n_name) AS h, replace(url_encode(n_name || ' &'), '%20', '+') AS e, url_decode('a%20b') AS d FROM nation",
+)
+register_sql(
+    "g3_url_parts",
+    "SELECT page_id, parse_url(url, 'HOST') AS host, parse_url(url, 'PATH') AS path, parse_url(url, 'QUERY') AS query FROM pages",
+    "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS query FROM pages",
+)
+register_sql(
+    "g4_dates",
+    """
+    SELECT o_orderkey, CAST(date_add(CAST(o_orderdate AS DATE), 10) AS STRING) AS plus, CAST(add_months(CAST(o_orderdate AS DATE), 1) AS STRING) AS next_month, CAST(datediff(DATE '2001-12-31', CAST(o_orderdate AS DATE)) AS BIGINT) AS days,
+      CAST(year(o_orderdate) AS BIGINT) AS y, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(dayofweek(o_orderdate) AS BIGINT) AS dow, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy,
+      CAST(weekofyear(o_orderdate) AS BIGINT) AS w, CAST(last_day(CAST(o_orderdate AS DATE)) AS STRING) AS month_end, CAST(trunc(CAST(o_orderdate AS DATE), 'MM') AS STRING) AS month_start, date_format(o_orderdate, 'yyyy/MM/dd') AS f, CAST(make_date(2020, 2, 29) AS STRING) AS leap, CAST(timestampdiff(MONTH, TIMESTAMP_NTZ '1995-01-01', o_orderdate) AS BIGINT) AS months
+    FROM orders
+    """,
+    """
+    SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 10 AS VARCHAR) AS plus, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS next_month, datediff('day', CAST(o_orderdate AS DATE), DATE '2001-12-31') AS days,
+      year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofweek(o_orderdate) + 1 AS dow, dayofyear(o_orderdate) AS doy,
+      weekofyear(o_orderdate) AS w, CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS month_end, CAST(CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS VARCHAR) AS month_start, strftime(o_orderdate, '%Y/%m/%d') AS f, CAST(make_date(2020, 2, 29) AS VARCHAR) AS leap, datesub('month', TIMESTAMP '1995-01-01', o_orderdate) AS months
+    FROM orders
+    """,
+)
+register_sql(
+    "g4_times",
+    "SELECT event_id, CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS hour_start, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(second(ts) AS BIGINT) AS s, unix_micros(CAST(ts AS TIMESTAMP)) AS us, ts + INTERVAL '90' MINUTE AS later FROM events",
+    "SELECT event_id, date_trunc('hour', ts) AS hour_start, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, epoch_us(ts) AS us, ts + INTERVAL 90 MINUTE AS later FROM events",
+)
+register_sql(
+    "g5_math",
+    """
+    SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice / 7) AS BIGINT) AS c, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, round(p_retailprice / 3, 1) AS r, round(sqrt(p_size), 8) AS sq, round(cbrt(p_size), 8) AS cb, round(exp(p_size / 50.0D), 8) AS e,
+      round(ln(p_size), 8) AS ln, round(log10(p_size), 8) AS lg, round(pow(p_size, 1.5), 6) AS pw, p_size % 7 AS md, pmod(p_size - 30, 7) AS pm, CAST(sign(p_size - 25) AS INT) AS sg, round(sin(p_size), 8) AS sn, round(atan2(p_size, 3), 8) AS at, round(degrees(p_size / 10.0D), 6) AS dg,
+      CAST(bit_count(p_size) AS BIGINT) AS bits, CAST(shiftleft(p_size, 2) AS BIGINT) AS sh, p_size & 12 AS ba, p_size ^ 5 AS bx, try_divide(p_size, p_size - 25) AS q, factorial(p_size % 10) AS fa, CAST(width_bucket(p_retailprice, 900.0D, 2000.0D, 5) AS BIGINT) AS wb
+    FROM part
+    """,
+    """
+    SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice / 7) AS BIGINT) AS c, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, round(p_retailprice / 3, 1) AS r, round(sqrt(p_size), 8) AS sq, round(cbrt(p_size), 8) AS cb, round(exp(p_size / 50.0), 8) AS e,
+      round(ln(p_size), 8) AS ln, round(log10(p_size), 8) AS lg, round(pow(p_size, 1.5), 6) AS pw, p_size % 7 AS md, ((p_size - 30) % 7 + 7) % 7 AS pm, CAST(sign(p_size - 25) AS INT) AS sg, round(sin(p_size), 8) AS sn, round(atan2(p_size, 3), 8) AS at, round(degrees(p_size / 10.0), 6) AS dg,
+      CAST(bit_count(p_size) AS BIGINT) AS bits, CAST(p_size << 2 AS BIGINT) AS sh, p_size & 12 AS ba, xor(p_size, 5) AS bx, p_size / nullif(p_size - 25, 0) AS q, CAST(factorial(p_size % 10) AS BIGINT) AS fa, CAST(CASE WHEN p_retailprice < 900 THEN 0 WHEN p_retailprice >= 2000 THEN 6 ELSE floor((p_retailprice - 900) / 220) + 1 END AS BIGINT) AS wb
+    FROM part
+    """,
+)
+register_sql(
+    "g6_arrays",
+    """
+    WITH x AS (SELECT doc_id, slice(split(text, ' '), 1, 12) AS w FROM documents)
+    SELECT doc_id, CAST(size(w) AS BIGINT) AS n, array_join(array_distinct(w), '|') AS d, array_join(sort_array(w), '|') AS s, array_contains(w, 'the') AS has, element_at(w, 1) AS head, array_join(slice(w, 2, 3), ' ') AS mid,
+      array_join(transform(w, x -> concat(left(x, 2), '.')), ',') AS up, CAST(size(filter(w, x -> length(x) > 4)) AS BIGINT) AS n_long, CAST(aggregate(w, 0L, (a, x) -> a + length(x)) AS BIGINT) AS chars,
+      exists(w, x -> x LIKE '%th%') AS some, forall(w, x -> length(x) < 40) AS every_one, CAST(array_position(w, 'the') AS BIGINT) AS at, array_join(flatten(array(slice(w, 1, 1), slice(w, 2, 1))), '+') AS fl, CAST(array_max(transform(w, x -> length(x))) AS BIGINT) AS longest, array_join(reverse(w), ' ') AS rev
+    FROM x
+    """,
+    """
+    WITH x AS (SELECT doc_id, string_split(text, ' ')[1:12] AS w FROM documents)
+    SELECT doc_id, len(w) AS n, (SELECT string_agg(v, '|' ORDER BY i) FROM (SELECT u.v, min(u.i) AS i FROM (SELECT unnest(w) AS v, generate_subscripts(w, 1) AS i) u GROUP BY u.v)) AS d, array_to_string(list_sort(w), '|') AS s, list_contains(w, 'the') AS has, w[1] AS head, array_to_string(w[2:4], ' ') AS mid,
+      array_to_string(list_transform(w, lambda x: left(x, 2) || '.'), ',') AS up, len(list_filter(w, lambda x: length(x) > 4)) AS n_long, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars,
+      len(list_filter(w, lambda x: x LIKE '%th%')) > 0 AS some, len(list_filter(w, lambda x: length(x) >= 40)) = 0 AS every_one, CAST(coalesce(list_position(w, 'the'), 0) AS BIGINT) AS at, array_to_string(w[1:2], '+') AS fl, list_max(list_transform(w, lambda x: length(x))) AS longest, array_to_string(list_reverse(w), ' ') AS rev
+    FROM x
+    """,
+)
+register_sql(
+    "g6_array_sets",
+    """
+    SELECT vec_id, array_join(array_union(array(1, 2, label), array(2, 9)), ',') AS u, array_join(array_intersect(array(1, 2, label), array(2, 3, 4)), ',') AS i, array_join(array_except(array(1, 2, 8), array(label)), ',') AS e,
+      arrays_overlap(array(label), array(1, 2)) AS o, array_join(sequence(1, label + 1), ',') AS s FROM embeddings
+    """,
+    """
+    SELECT vec_id, array_to_string(CASE WHEN label IN (1, 2, 9) THEN [1, 2, 9] ELSE [1, 2, label, 9] END, ',') AS u, array_to_string(list_filter(CASE WHEN label IN (1, 2) THEN [1, 2] ELSE [1, 2, label] END, lambda x: x IN (2, 3, 4)), ',') AS i, array_to_string(list_filter([1, 2, 8], lambda x: x <> label), ',') AS e,
+      label IN (1, 2) AS o, array_to_string(range(1, label + 2), ',') AS s FROM embeddings
+    """,
+)
+register_sql(
+    "g7_maps_and_structs",
+    """
+    WITH x AS (SELECT event_id, map('type', event_type, 'user', CAST(user_id AS STRING)) AS m, named_struct('a', user_id, 'b', event_type) AS s FROM events)
+    SELECT event_id, m['type'] AS t, CAST(size(map_keys(m)) AS BIGINT) AS n, array_join(map_values(m), ',') AS v, map_contains_key(m, 'user') AS has, s.a AS a, map_concat(m, map('z', '1'))['z'] AS z,
+      element_at(transform_values(m, (k, v) -> concat(k, v)), 'user') AS tv, CAST(size(map_filter(m, (k, v) -> v = 'view')) AS BIGINT) AS views, str_to_map('p:1,q:2')['q'] AS q FROM x
+    """,
+    """
+    SELECT event_id, event_type AS t, CAST(2 AS BIGINT) AS n, event_type || ',' || user_id AS v, true AS has, user_id AS a, '1' AS z, 'user' || user_id AS tv, CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS BIGINT) AS views, '2' AS q FROM events
+    """,
+)
+register_sql(
+    "g8_json",
+    "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, from_json(props, 'k INT').k AS same, to_json(named_struct('id', event_id, 'user', user_id)) AS j, variant_get(parse_json(props), '$.k', 'int') AS v, CAST(json_array_length('[1,2,3]') AS INT) AS n FROM events",
+    "SELECT event_id, CAST(props->>'$.k' AS INT) AS k, CAST(props->>'$.k' AS INT) AS same, '{\"id\":' || event_id || ',\"user\":' || user_id || '}' AS j, CAST(props->>'$.k' AS INT) AS v, 3::INT AS n FROM events",
+)
+register_sql(
+    "g8_csv_and_xml",
+    "SELECT n_nationkey, from_csv(concat(n_nationkey, ',', n_name), 'k INT, name STRING').name AS name, to_csv(named_struct('k', n_nationkey, 'r', n_regionkey)) AS line, from_xml(concat('<r><k>', n_nationkey, '</k></r>'), 'k INT').k AS k, xpath_string(concat('<r><n>', n_name, '</n></r>'), 'r/n') AS x FROM nation",
+    "SELECT n_nationkey, n_name AS name, n_nationkey || ',' || n_regionkey AS line, n_nationkey AS k, n_name AS x FROM nation",
+)
+register_sql(
+    "g9_conditional",
+    "SELECT user_id, event_id, nvl(nullif(user_id, 3), -1) AS a, nvl2(nullif(event_type, 'view'), 1, 0) AS b, if(value > 50, 'hi', 'lo') AS c, decode(event_type, 'click', 'c', 'view', 'v', '?') AS d, equal_null(nullif(user_id, 3), NULL) AS e, zeroifnull(nullif(user_id, 4)) AS z, nullifzero(user_id) AS n FROM events",
+    "SELECT user_id, event_id, coalesce(nullif(user_id, 3), -1) AS a, CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END AS b, CASE WHEN value > 50 THEN 'hi' ELSE 'lo' END AS c, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE '?' END AS d, user_id = 3 AS e, coalesce(nullif(user_id, 4), 0) AS z, nullif(user_id, 0) AS n FROM events",
+)
+
+
+@register(
+    "g10_vectors",
+    """
+    SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance,
+      round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS product FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+    """,
+)
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the next."""
+    e = table(spark, sf_dir, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y")), "a")
+    x, y = F.col("x"), F.col("y")
+    return pairs.select("a", "b", F.round(cosine_similarity(x, y), 6).alias("cosine"), F.round(l2_distance(x, y), 6).alias("distance"), F.round(dot(x, y), 6).alias("product"))

@@ -1 +1,101 @@
+"""Streaming queries: each runs a stream over the table's files and returns what its sink holds."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from ..streaming.events import RunningTotals, replayed, sessions, tumbling, with_event_time, written
+from .registry import register
+
+_TUMBLING = "SELECT time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{width}' AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("total", F.round("total", 2))
+
+
+@register("h1_tumbling_batch", _TUMBLING.format(width="1 hour"))
+def tumbling_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tumbling(table(spark, sf_dir, "events"), "1 hour"))
+
+
+@register("h1_tumbling_stream", _TUMBLING.format(width="1 hour"))
+def tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete mode: the sink holds every window, the open ones too."""
+    return _rounded(written(tumbling(replayed(spark, sf_dir), "1 hour"), "tumbling", "complete"))
+
+
+@register("h2_sliding_batch", "SELECT b - INTERVAL 15 MINUTE * k AS window_start, b - INTERVAL 15 MINUTE * k + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS b FROM events), range(4) r(k) GROUP BY ALL")
+def sliding_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tumbling(table(spark, sf_dir, "events"), "1 hour", slide="15 minutes"))
+
+
+_SESSIONS = """
+    WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    y AS (SELECT user_id, ts, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, k
+    """
+
+
+@register("h3_sessions_batch", _SESSIONS)
+def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(table(spark, sf_dir, "events"), "30 minutes")
+
+
+@register("h3_sessions_stream", f"SELECT * FROM ({_SESSIONS}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: sessions that the watermark, ten minutes behind the last event, has closed."""
+    return written(sessions(replayed(spark, sf_dir), "30 minutes", "10 minutes"), "sessions")
+
+
+@register("h4_watermark_stream", f"SELECT * FROM ({_TUMBLING.format(width='6 hours')}) WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: windows that the watermark has closed."""
+    return _rounded(written(tumbling(replayed(spark, sf_dir), "6 hours", "10 minutes"), "watermark"))
+
+
+@register("h5_dedup_stream", "SELECT event_id, user_id, event_type FROM events")
+def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event arrives twice in the stream; one of each passes."""
+    stream = with_event_time(replayed(spark, sf_dir)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    once = stream.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
+    return written(once.select("event_id", "user_id", "event_type"), "dedup")
+
+
+@register("h6_stateful_stream", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
+def stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of each user in a state store of one's own logic."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        totals = replayed(spark, sf_dir).select("user_id", "value").groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id long, n long, total double", "Update", "None")
+        made = written(totals, "stateful", "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = made.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return _rounded(last.select("user_id", "x.n", "x.total"))
+
+
+@register("h7_stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'")
+def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = replayed(spark, sf_dir).filter("event_type = 'purchase'")
+    return written(stream.join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_mktsegment"), "static-join")
+
+
+@register(
+    "h7_stream_stream_join",
+    "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
+)
+def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases within an hour after a view; the watermarks bound both sides' state."""
+    side = lambda kind, k: with_event_time(replayed(spark, sf_dir)).filter(F.col("event_type") == kind).select(F.col("user_id").alias(f"user_{k}"), F.col("event_id").alias(f"{k}_id"), F.col("ts").alias(f"at_{k}")).withWatermark(f"at_{k}", "10 minutes")
+    views, purchases = side("view", "view"), side("purchase", "purchase")
+    soon = (F.col("user_view") == F.col("user_purchase")) & (F.col("at_purchase") >= F.col("at_view")) & (F.col("at_purchase") <= F.col("at_view") + F.expr("INTERVAL 1 HOUR"))
+    return written(views.join(purchases, soon).select("view_id", "purchase_id"), "stream-join")
+
+
+@register("h8_foreach_batch", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(replayed(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "foreach-batch", "complete")
