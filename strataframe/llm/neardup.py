@@ -281,9 +281,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", b
     rows = usable.select("node", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = materialize(rows.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "members")
-    named = members.select("node").distinct()
-    nodes = usable.join(named, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "sig"), "doc_id").alias("x"))
-    nodes = materialize(nodes.select("node", "doc_id", (F.col("x.n") + NODE).alias("w"), "x.sig"), "nodes")
+    # the node's smallest doc_id first, so that many copies of a text are one row before rows move by node
+    chosen = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
+    nodes = usable.join(chosen, ["node", "doc_id"]).dropDuplicates(["node"])
+    nodes = materialize(nodes.select("node", "doc_id", (F.col("n") + NODE).alias("w"), "sig"), "nodes")
     # buckets of the same nodes are one
     sized = members.join(nodes.select("node", "w"), "node")
     buckets = sized.groupBy("bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("least"))
