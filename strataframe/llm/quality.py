@@ -1,7 +1,7 @@
 """Quality rules: a decision list that sequential covering learns from labelled statistics.
 
 Text statistics are made once a text, in numpy over Arrow slices. A bounded sample of labelled
-rows (SAMPLE) teaches the list: each rule is a conjunction of thresholds, grown on two thirds
+rows (SAMPLE) that the base rules pass teaches the list: each rule is a conjunction of thresholds, grown on two thirds
 of the rows by information gain, pruned on the rest, and taken while it is precise there. The
 list leaves as one ordered Spark conditional expression, so it is applied inside the plan.
 
@@ -26,7 +26,7 @@ from .common import Words, mixed, slices, table
 SAMPLE = 8_000
 WINDOW = 8
 #: Statistics of a text, as counts.
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_digits", "n_stops", "n_pipes")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_digits", "n_stops", "n_pipes", "n_echoes")
 BASE = COUNTS[:5]
 #: What rules look at: one count for each unit of another.
 FEATURES = {
@@ -41,6 +41,7 @@ FEATURES = {
     "dup_lines_per_line": ("n_dup_lines", "n_lines"),
     "repeats_per_word": ("n_repeat_words", "n_words"),
     "words_per_line": ("n_words", "n_lines"),
+    "echoes_per_word": ("n_echoes", "n_words"),
 }
 
 _SYMBOL = np.zeros(256, bool)
@@ -102,6 +103,9 @@ def statistics(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
     words = Words(data, rows)
     distinct, index = words.coded()
     covered = np.concatenate([[0], np.cumsum(_repeated(words, index))])
+    echo = np.zeros(len(index) + 1, np.int64)  # words that the one before them equals
+    np.cumsum(index[1:] == index[:-1], out=echo[2:])
+    first, last = words.first[:-1], words.first[1:]
     text = data.tobytes()
     lines = np.array([_lines(text[a:b]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], np.int64).reshape(-1, 2)
     blank = (data == 0x20) | ((data >= 9) & (data <= 13))
@@ -117,6 +121,7 @@ def statistics(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         "n_digits": per_row((data >= 48) & (data <= 57)),
         "n_stops": per_row(data == 46),
         "n_pipes": per_row(data == 124),
+        "n_echoes": np.where(last > first, echo[last] - echo[np.minimum(first + 1, len(index))], 0),
     }
 
 
@@ -247,11 +252,11 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """The list for docs (doc_id, text) by labels (doc_id, quality: 0 is bad)."""
+    """The list for docs (doc_id, text) by labels (doc_id, quality: 0 is bad), for what the base rules leave."""
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(*order).limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    made = with_statistics(rows, ["doc_id", "quality"]).orderBy(*order, *COUNTS).limit(2 * sample)
+    made = with_statistics(rows, ["doc_id", "quality"]).filter(~base_failed()).orderBy(*order, *COUNTS).limit(2 * sample)
     got = made.select("doc_id", F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *(feature(f).alias(f"f_{f}") for f in FEATURES)).toPandas()
     x = {f: got[f"f_{f}"].to_numpy() for f in FEATURES}
     return learn(x, got["quality"].to_numpy() == 0, got["fold"].to_numpy() == 0)
