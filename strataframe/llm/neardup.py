@@ -302,9 +302,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", b
     parts = connected_components(links)
     least = made.filter(F.col("doc_id").isNotNull()).join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     grouped = parts.join(least, "component").select("node", F.col("component_id").alias("joint_id"))
-    alone = usable.groupBy("node").agg(F.min("doc_id").alias("own_id"))
-    named = alone.join(grouped, "node", "left").select("node", F.coalesce("joint_id", "own_id").alias("component_id"))
-    out = made.select("doc_id", "n", "node").join(named, "node", "left")
+    own = usable.groupBy("node").agg(F.min("doc_id").alias("own_id"), F.count(F.lit(1)).alias("copies"))
+    # nodes of one row that are linked with nothing need no name; a written table can be split where a node has many rows
+    named = own.join(grouped, "node", "left").filter((F.col("copies") > 1) | F.col("joint_id").isNotNull()).select("node", F.coalesce("joint_id", "own_id").alias("component_id"))
+    out = made.select("doc_id", "n", "node").join(materialize(named, "names"), "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
