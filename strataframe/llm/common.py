@@ -6,6 +6,7 @@ depend on the size of its partition.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task looks at together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at once, at most; Spark's own bound is eight times that.
+BATCH_BYTES = 8 << 20
 
 #: Bytes that part words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -53,6 +56,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow() over batches of BATCH_BYTES at most: long texts come a few at a time.
+    The bound is a setting of the session, lowered here if it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = re.fullmatch(r"(-?\d+)b?", conf.get(name, f"{1 << 30}b"))
+    if now is None or int(now[1]) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of a batch with about limit text bytes each (one row at least), each with
     its UTF-8 bytes and row offsets. A null text counts as empty."""

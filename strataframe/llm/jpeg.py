@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import SLICE_BYTES, mapped, slices, table
 
 WIDE = 64
 #: Rows of blocks of one image at most: 8 * 8191 lines.
@@ -401,7 +401,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
                 media = [b"".join(x) for x in encode_payloads(payloads)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(media, pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", text), run, schema)
 
 
 def read_media(media: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -429,7 +429,7 @@ def read_media(media: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
             column, at = batch.column("media"), 0
             while at < batch.num_rows:
                 to, size = at, 0
-                while to < batch.num_rows and (to == at or size < 4 << 20):
+                while to < batch.num_rows and (to == at or size < SLICE_BYTES):
                     size += len(column[to].as_buffer() or b"") if column[to].is_valid else 0
                     to += 1
                 part = batch.slice(at, to - at)
@@ -437,7 +437,7 @@ def read_media(media: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(wide, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int64()), pa.array(payload, pa.binary()), pa.array(feature, pa.string())], names=schema.names)
                 at = to
 
-    return media.select(*carry, *["media"]["media" in carry :]).mapInArrow(run, schema)
+    return mapped(media.select(*carry, *["media"]["media" in carry :]), run, schema)
 
 
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, lowered, materialize, mixed, slices, table, word_hashes
+from .common import Words, lowered, mapped, materialize, mixed, slices, table, word_hashes
 from .components import connected_components
 
 SHINGLE = 4
@@ -134,14 +134,14 @@ def signed(docs: DataFrame, width: int = SHINGLE, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, rows in slices(batch, text, 1 << 20):
+            for part, data, rows in slices(batch, text):
                 sets = shingle_sets(data, rows, width)
                 m = minima(sets, ROWS * BANDS)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 sig = m.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node_ids(sets), mask=sizes == 0), _lists(_band_keys(m, ROWS, 1)), pa.array([s.tobytes() for s in sig], pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", text), run, schema)
 
 
 def _similar(x: int, y: int, both):
@@ -158,9 +158,9 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     at = np.full(len(counts), -1)
     at[heavy] = np.arange(len(heavy))
     out = np.zeros((m, m), np.float32)
-    for a in range(0, len(heavy), 4096):
-        some = (at[column] >= a) & (at[column] < a + 4096)
-        dense = np.zeros((m, min(4096, len(heavy) - a)), np.float32)
+    for a in range(0, len(heavy), 1024):
+        some = (at[column] >= a) & (at[column] < a + 1024)
+        dense = np.zeros((m, min(1024, len(heavy) - a)), np.float32)
         dense[row[some], at[column[some]] - a] = 1
         out += dense @ dense.T
     light = (counts[column] > 1) & (at[column] < 0)
@@ -173,7 +173,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         if len(n):
             ends = np.cumsum(n)
             out[k] += np.bincount(row[np.arange(ends[-1]) + np.repeat(first[mine] - ends + n, n)], minlength=m)
-    return out.astype(np.int64)
+    return out
 
 
 def links_among(sets: list[np.ndarray], sigs: np.ndarray, groups: list) -> list[tuple[int, int]]:
@@ -188,20 +188,21 @@ def links_among(sets: list[np.ndarray], sigs: np.ndarray, groups: list) -> list[
             g = above[g]
         return g
 
-    pairs = []
+    known = np.array(groups)
+    near = []
     for k in range(m - 1):
-        near = np.flatnonzero((sigs[k + 1 :] == sigs[k]).mean(1) >= LEAST_EQUAL) + k + 1
-        pairs += [(k, j) for j in near.tolist() if groups[k] != groups[j]]
+        close = np.flatnonzero((sigs[k + 1 :] == sigs[k]).mean(1) >= LEAST_EQUAL) + k + 1
+        near.append(close[known[close] != known[k]].astype(np.int32))
     found = []
-    overlaps = _overlaps(sets) if len(pairs) > 4 * m else None
-    for a, b in pairs:
-        ra, rb = root(groups[a]), root(groups[b])
-        if ra != rb:
-            x, y = sets[a], sets[b]
-            both = overlaps[a, b] if overlaps is not None else len(np.intersect1d(x, y, assume_unique=True))
-            if _similar(len(x), len(y), both):
-                above[max(ra, rb)] = min(ra, rb)
-                found.append((a, b))
+    overlaps = _overlaps(sets) if sum(map(len, near)) > 4 * m else None
+    for a, close in enumerate(near):
+        for b in close.tolist():
+            ra, rb = root(groups[a]), root(groups[b])
+            if ra != rb:
+                both = overlaps[a, b] if overlaps is not None else len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if _similar(len(sets[a]), len(sets[b]), int(both)):
+                    above[max(ra, rb)] = min(ra, rb)
+                    found.append((a, b))
     return found
 
 
@@ -234,7 +235,7 @@ def _linked(met: DataFrame, width: int) -> DataFrame:
             if group.num_rows < 2:
                 continue
             batch = group.combine_chunks().to_batches()[0]
-            sets = [x for _, data, rows in slices(batch, "text", 1 << 20) for x in shingle_sets(data, rows, width)]
+            sets = [x for _, data, rows in slices(batch, "text") for x in shingle_sets(data, rows, width)]
             nodes = batch.column("node").to_numpy()
             fits = np.flatnonzero(node_ids(sets) == nodes)  # a doc_id may have other texts beside the node's
             _, first = np.unique(nodes[fits], return_index=True)
@@ -248,7 +249,7 @@ def _linked(met: DataFrame, width: int) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return mapped(met, run, "a long, b long")
 
 
 def _meeting(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:

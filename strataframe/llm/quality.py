@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, slices, table
+from .common import Words, mapped, mixed, slices, table
 
 #: Labelled rows that the list is learned from, at most: those of the smallest hashes.
 SAMPLE = 8_000
@@ -137,7 +137,7 @@ def with_statistics(docs: DataFrame, carry: list[str], text: str = "text", prefi
                 got = statistics(data, rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=schema.names)
 
-    return docs.select(*carry, *[text][text in carry :]).mapInArrow(run, schema)
+    return mapped(docs.select(*carry, *[text][text in carry :]), run, schema)
 
 
 def feature(name: str, prefix: str = "") -> Column:

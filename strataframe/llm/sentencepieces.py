@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import mapped, slices, table
 
 #: Marked words that a task keeps between slices; the table starts anew beyond it.
 TABLE_WORDS = 250_000
@@ -143,7 +143,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", carry: tuple[
                     made = [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (ids, decoded)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(n, pa.int64()), *made], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

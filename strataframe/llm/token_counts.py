@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, materialize, slices, table
+from .common import Words, mapped, materialize, slices, table
 
 #: Longer texts (code points) are cut into chunks.
 LONG = 32_768
@@ -136,8 +136,8 @@ def count_long(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int = O
     """texts: key, text; rows of a key have one text. Returns key, n_tokens, one row a key."""
     done, left = None, texts
     while True:
-        cut = left.mapInArrow(_cut(chunk, overlap), "key string, i long, start long, is_last boolean, chunk string")
-        made = cut.repartition(F.col("key"), F.col("i")).mapInArrow(_encode(path, overlap), "key string, i long, is_last boolean, n long, head array<long>, head_k array<long>, tail array<long>, tail_k array<long>")
+        cut = mapped(left, _cut(chunk, overlap), "key string, i long, start long, is_last boolean, chunk string")
+        made = mapped(cut.repartition(F.col("key"), F.col("i")), _encode(path, overlap), "key string, i long, is_last boolean, n long, head array<long>, head_k array<long>, tail array<long>, tail_k array<long>")
         got = materialize(_spliced(made.dropDuplicates(["key", "i"])), "token-splices")
         settled = got.filter(F.col("n_tokens").isNotNull())
         done = settled if done is None else done.unionByName(settled)
@@ -158,7 +158,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, long: int = LON
     texts = texts.withColumn("n_bytes", F.octet_length("text").cast("long"))
     is_long = F.length("text") > long
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    short = texts.filter(~is_long).mapInArrow(_short(path, ["doc_id", "n_bytes", "n_tokens"]), f"doc_id {id_type}, n_bytes long, n_tokens long")
+    short = mapped(texts.filter(~is_long), _short(path, ["doc_id", "n_bytes", "n_tokens"]), f"doc_id {id_type}, n_bytes long, n_tokens long")
     rest = texts.filter(is_long).withColumn("key", F.concat_ws("-", F.md5("text"), F.col("n_bytes")))
     counted = count_long(rest.select("key", "text"), path, chunk, overlap)
     rest = rest.select("doc_id", "n_bytes", "key").join(counted, "key").select("doc_id", "n_bytes", "n_tokens")
