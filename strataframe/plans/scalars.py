@@ -153,3 +153,92 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y")), "a")
     x, y = F.col("x"), F.col("y")
     return pairs.select("a", "b", F.round(cosine_similarity(x, y), 6).alias("cosine"), F.round(l2_distance(x, y), 6).alias("distance"), F.round(dot(x, y), 6).alias("product"))
+
+register_sql(
+    "g1_more_strings",
+    """
+    SELECT c_custkey, substring_index(c_name, '#', 1) AS si, overlay(c_name PLACING 'X' FROM 2 FOR 3) AS ov, CAST(locate('0', c_name) AS BIGINT) AS lo, format_string('%05d-%s', c_custkey, c_mktsegment) AS fs, btrim('  b ') AS bt,
+      CAST(octet_length(c_mktsegment) AS BIGINT) AS ol, CAST(bit_length(c_mktsegment) AS BIGINT) AS bl, soundex(c_mktsegment) AS sx, mask(c_name) AS mk, CAST(find_in_set('b', 'a,b,c') AS BIGINT) AS fi, elt(2, 'x', 'y') AS el, CAST(char_length(c_name) AS BIGINT) AS cl, space(2) || c_mktsegment AS sp, sentences(c_mktsegment)[0][0] AS se
+    FROM customer
+    """,
+    """
+    SELECT c_custkey, split_part(c_name, '#', 1) AS si, left(c_name, 1) || 'X' || substr(c_name, 5) AS ov, CAST(instr(c_name, '0') AS BIGINT) AS lo, lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '-' || c_mktsegment AS fs, 'b' AS bt,
+      strlen(c_mktsegment) AS ol, 8 * strlen(c_mktsegment) AS bl, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'A351' WHEN 'BUILDING' THEN 'B435' WHEN 'FURNITURE' THEN 'F653' WHEN 'HOUSEHOLD' THEN 'H243' ELSE 'M256' END AS sx,
+      regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', '\x01', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g').replace('\x01', 'X') AS mk, 2::BIGINT AS fi, 'y' AS el, length(c_name) AS cl, '  ' || c_mktsegment AS sp, c_mktsegment AS se
+    FROM customer
+    """,
+)
+register_sql(
+    "g2_more_regex",
+    r"SELECT page_id, CAST(regexp_instr(url, '[0-9]') AS BIGINT) AS at, regexp_substr(url, '[0-9]+') AS digits, regexp_like(url, 'page') AS paged, array_join(split(url, '[/?#]+'), '|') AS parts FROM pages",
+    r"SELECT page_id, CASE WHEN regexp_matches(url, '[0-9]') THEN length(regexp_extract(url, '^[^0-9]*')) + 1 ELSE 0 END AS at, nullif(regexp_extract(url, '[0-9]+'), '') AS digits, regexp_matches(url, 'page') AS paged, array_to_string(regexp_split_to_array(url, '[/?#]+'), '|') AS parts FROM pages",
+)
+
+
+@register("g3_row_hashes", "SELECT CAST(count(*) AS BIGINT) AS n, true AS spread, true AS repeatable FROM lineitem")
+def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash, xxhash64 and crc32 are Spark's own: they must repeat and tell the rows' keys apart."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(F.xxhash64(*keys).alias("x"), F.hash(*keys).alias("h"), F.crc32(F.concat_ws(",", *keys).cast("binary")).alias("c"), (F.xxhash64(*keys) == F.xxhash64(*keys)).alias("same"), F.struct(*keys).alias("k"))
+    made = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("x"), F.approx_count_distinct("h").alias("h"), F.approx_count_distinct("c").alias("c"), F.countDistinct("k").alias("k"), F.bool_and("same").alias("repeatable"))
+    return made.select("n", ((F.col("x") == F.col("k")) & (F.col("h") > 0.85 * F.col("k")) & (F.col("c") > 0.85 * F.col("k"))).alias("spread"), "repeatable")
+
+
+register_sql(
+    "g4_more_dates",
+    """
+    SELECT o_orderkey, CAST(date_sub(CAST(o_orderdate AS DATE), 7) AS STRING) AS minus, CAST(next_day(CAST(o_orderdate AS DATE), 'MON') AS STRING) AS monday, monthname(o_orderdate) AS mn, dayname(o_orderdate) AS dn, CAST(weekday(o_orderdate) AS BIGINT) AS wd,
+      CAST(date_part('YEAR', o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) AS secs, from_unixtime(unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) + 3661, 'yyyy-MM-dd HH:mm:ss') AS f,
+      CAST(to_date('2001-02-03') AS STRING) AS d, CAST(to_timestamp_ntz('2001-02-03 04:05:06') AS STRING) AS ts, CAST(make_timestamp_ntz(2001, 2, 3, 4, 5, 6) AS STRING) AS mt, round(months_between(o_orderdate, TIMESTAMP_NTZ '1995-01-01 00:00:00'), 6) AS mb,
+      CAST(convert_timezone('UTC', 'Asia/Tokyo', o_orderdate) AS TIMESTAMP_NTZ) AS tokyo, CAST(unix_date(CAST(o_orderdate AS DATE)) AS BIGINT) AS epoch_days, o_orderdate + make_interval(0, 1, 0, 2) AS later
+    FROM orders
+    """,
+    """
+    SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - 7 AS VARCHAR) AS minus, CAST(CAST(o_orderdate AS DATE) + CAST(8 - isodow(o_orderdate) AS INT) AS VARCHAR) AS monday, left(monthname(o_orderdate), 3) AS mn, left(dayname(o_orderdate), 3) AS dn, isodow(o_orderdate) - 1 AS wd,
+      year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(epoch(o_orderdate) AS BIGINT) AS secs, strftime(o_orderdate + INTERVAL 3661 SECOND, '%Y-%m-%d %H:%M:%S') AS f,
+      '2001-02-03' AS d, '2001-02-03 04:05:06' AS ts, '2001-02-03 04:05:06' AS mt, round((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 + (day(o_orderdate) - 1) / 31, 6) AS mb,
+      o_orderdate + INTERVAL 9 HOUR AS tokyo, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS epoch_days, o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY AS later
+    FROM orders
+    """,
+)
+register_sql(
+    "g5_more_math",
+    """
+    SELECT p_partkey, hypot(p_size, 3.0D) AS hy, bround(p_size / 2.0D, 0) AS br, nanvl(CAST('NaN' AS DOUBLE), CAST(p_size AS DOUBLE)) AS nv, try_add(p_size, 2147483600) AS ta, round(tanh(p_size / 50.0D), 8) AS th, round(radians(p_size), 8) AS ra, round(log2(p_size), 8) AS l2,
+      div(p_size, 7) AS dv, CAST(shiftright(p_size, 1) AS BIGINT) AS sr, CAST(conv(CAST(p_size AS STRING), 10, 2) AS BIGINT) AS bin, greatest(p_size, 10, 20) AS g, least(p_size, 10, 20) AS l, round(expm1(p_size / 100.0D), 8) AS e1, round(log1p(p_size), 8) AS lp, rint(p_size / 2.0D) AS ri, isnan(CAST('NaN' AS DOUBLE)) AS nan, abs(p_size - 25) = positive(abs(25 - p_size)) AS pos
+    FROM part
+    """,
+    """
+    SELECT p_partkey, sqrt(p_size * p_size + 9.0::DOUBLE) AS hy, round_even(p_size / 2.0, 0) AS br, CAST(p_size AS DOUBLE) AS nv, CASE WHEN p_size + 2147483600::BIGINT > 2147483647 THEN NULL ELSE CAST(p_size + 2147483600::BIGINT AS INT) END AS ta, round(tanh(p_size / 50.0), 8) AS th, round(radians(p_size), 8) AS ra, round(log2(p_size), 8) AS l2,
+      CAST(p_size // 7 AS BIGINT) AS dv, CAST(p_size >> 1 AS BIGINT) AS sr, CAST(bin(p_size) AS BIGINT) AS bin, greatest(p_size, 10, 20) AS g, least(p_size, 10, 20) AS l, round(exp(p_size / 100.0) - 1, 8) AS e1, round(ln(p_size + 1.0), 8) AS lp, round_even(p_size / 2.0, 0) AS ri, true AS nan, true AS pos
+    FROM part
+    """,
+)
+register_sql(
+    "g6_more_arrays",
+    """
+    WITH x AS (SELECT vec_id, label, transform(slice(embedding, 1, 5), v -> CAST(floor(v * 100) AS INT)) AS a FROM embeddings)
+    SELECT vec_id, array_min(a) AS mn, array_max(a) AS mx, array_join(array_append(a, label), ',') AS ap, array_join(array_prepend(a, 7), ',') AS pp, array_join(array_insert(a, 2, 0), ',') AS ins, array_join(array_remove(a, a[0]), ',') AS rm, array_join(array_compact(array(1, NULL, label)), ',') AS cp,
+      arrays_zip(a, slice(a, 2, 4))[0]['a'] AS z, get(a, 9) AS none, try_element_at(a, -1) AS final, array_join(array_repeat(label, 3), ',') AS rp, CAST(cardinality(a) AS BIGINT) AS n, array_join(array_sort(a, (l, r) -> r - l), ',') AS down, array_join(zip_with(a, a, (l, r) -> l + r), ',') AS twice, array_join(filter(a, (v, i) -> i % 2 = 0), ',') AS even
+    FROM x
+    """,
+    """
+    WITH x AS (SELECT vec_id, label, list_transform(embedding[1:5], lambda v: CAST(floor(CAST(v AS FLOAT) * 100::FLOAT) AS INT)) AS a FROM embeddings)
+    SELECT vec_id, list_min(a) AS mn, list_max(a) AS mx, array_to_string(list_append(a, label), ',') AS ap, array_to_string(list_prepend(7, a), ',') AS pp, array_to_string(list_concat(list_append(a[1:1], 0), a[2:]), ',') AS ins, array_to_string(list_filter(a, lambda v: v <> a[1]), ',') AS rm, '1,' || label AS cp,
+      a[1] AS z, NULL::INT AS none, a[5] AS final, label || ',' || label || ',' || label AS rp, len(a) AS n, array_to_string(list_reverse_sort(a), ',') AS down, array_to_string(list_transform(a, lambda v: v + v), ',') AS twice, array_to_string([a[1], a[3], a[5]], ',') AS even
+    FROM x
+    """,
+)
+register_sql(
+    "g7_more_maps",
+    """
+    WITH x AS (SELECT event_id, user_id, event_type, map_from_arrays(array('a', 'b'), array(user_id, event_id)) AS m FROM events)
+    SELECT event_id, map_from_entries(array(struct('k', user_id)))['k'] AS k, transform_keys(m, (k, v) -> upper(k))['B'] AS tk, map_zip_with(m, map('a', 1L, 'b', 2L), (k, p, q) -> p + q)['a'] AS zw, CAST(size(map_entries(m)) AS BIGINT) AS n, struct(user_id AS p, event_type AS q).q AS q, try_element_at(m, 'zz') AS none FROM x
+    """,
+    "SELECT event_id, user_id AS k, event_id AS tk, user_id + 1 AS zw, 2::BIGINT AS n, event_type AS q, NULL::BIGINT AS none FROM events",
+)
+register_sql(
+    "g8_more_json",
+    "SELECT event_id, j.c0 AS k, array_join(json_object_keys(props), ',') AS names, schema_of_json('{\"k\": 1}') AS s, to_json(from_json(props, 'MAP<STRING, INT>')) AS back, is_variant_null(parse_json('null')) AS vn FROM events LATERAL VIEW json_tuple(props, 'k') j AS c0",
+    "SELECT event_id, props->>'$.k' AS k, 'k' AS names, 'STRUCT<k: BIGINT>' AS s, '{\"k\":' || (props->>'$.k') || '}' AS back, true AS vn FROM events",
+)
