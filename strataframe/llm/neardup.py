@@ -317,7 +317,8 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     kept = near_duplicates(docs.select("doc_id", "text"), width).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
     kept = materialize(kept, "kept")
     again = kept.filter("copies > 1").select("doc_id")
-    out = docs.join(kept.filter("copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    # the ids grow with the corpus: merged at every size, never broadcast
+    out = docs.join(kept.filter("copies = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*names)
