@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, crc32_of, lowered, materialize, mixed, slices, table, word_hashes
+from .common import Words, crc32_of, lowered, mapped, materialize, mixed, slices, table, word_hashes
 
 #: Labelled rows that teach the model, at most.
 SAMPLE = 16_000
@@ -138,11 +138,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "text", 1 << 20):
+            for part, data, offsets in slices(batch, "text"):
                 made = [x.tobytes() for x in feature_lists(data, offsets)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(made, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    made = mapped(rows, run, schema).groupBy("doc_id", "toxic")
+    return made.agg(F.min_by("features", F.struct(F.octet_length("features"), F.xxhash64("features"))).alias("features"))
 
 
 def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,7 @@ def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "w"])
 
     rows = labelled_features(docs, labels, sample).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("features"))
-    got = materialize(rows.mapInArrow(run, "at long, w double"), "toxicity-weights").toPandas()
+    got = materialize(mapped(rows, run, "at long, w double"), "toxicity-weights").toPandas()
     return got["at"].to_numpy(), got["w"].to_numpy()
 
 
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], carry: tuple[st
         dense[at] = w
         used = dense != 0
         for batch in batches:
-            for part, data, rows in slices(batch, text, 1 << 20):
+            for part, data, rows in slices(batch, text):
                 keys = []
                 for buckets, doc in _features(data, rows):
                     hit = np.flatnonzero(used[buckets])
@@ -178,7 +179,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], carry: tuple[st
                 scores = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(at) else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(scores)], names=schema.names)
 
-    return docs.select(*carry, *[text][text in carry :]).mapInArrow(run, schema)
+    return mapped(docs.select(*carry, *[text][text in carry :]), run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
