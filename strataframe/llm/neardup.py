@@ -128,9 +128,9 @@ def node_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).astype(np.int64)
 
 
-def signed(docs: DataFrame, width: int = SHINGLE, text: str = "text") -> DataFrame:
-    """doc_id, n (set size), node (of the set; null if empty), keys (one for each band), sig (16 bits of each minimum)."""
-    schema = docs.select("doc_id").schema.add("n", "long").add("node", "long").add("keys", T.ArrayType(T.LongType())).add("sig", "binary")
+def signed(docs: DataFrame, width: int = SHINGLE, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in carry, n (set size), node (of the set; null if empty), keys (one for each band), sig (16 bits of each minimum)."""
+    schema = docs.select("doc_id", *carry).schema.add("n", "long").add("node", "long").add("keys", T.ArrayType(T.LongType())).add("sig", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +139,9 @@ def signed(docs: DataFrame, width: int = SHINGLE, text: str = "text") -> DataFra
                 m = minima(sets, ROWS * BANDS)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 sig = m.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node_ids(sets), mask=sizes == 0), _lists(_band_keys(m, ROWS, 1)), pa.array([s.tobytes() for s in sig], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(c) for c in carry), pa.array(sizes), pa.array(node_ids(sets), mask=sizes == 0), _lists(_band_keys(m, ROWS, 1)), pa.array([s.tobytes() for s in sig], pa.binary())], names=schema.names)
 
-    return mapped(docs.select("doc_id", text), run, schema)
+    return mapped(docs.select("doc_id", text, *carry), run, schema)
 
 
 def _similar(x: int, y: int, both):
@@ -275,9 +275,10 @@ def _dealt(members: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meet"), "node", "component").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    made = materialize(signed(docs, width, text), "minima")
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the columns in carry of every row of docs (doc_id, text).
+    carry: names other than the operator's own."""
+    made = materialize(signed(docs, width, text, carry), "minima")
     usable = made.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     rows = usable.select("node", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
@@ -306,21 +307,28 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", b
     own = usable.groupBy("node").agg(F.min("doc_id").alias("own_id"), F.count(F.lit(1)).alias("copies"))
     # nodes of one row that are linked with nothing need no name; a written table can be split where a node has many rows
     named = own.join(grouped, "node", "left").filter((F.col("copies") > 1) | F.col("joint_id").isNotNull()).select("node", F.coalesce("joint_id", "own_id").alias("component_id"))
-    out = made.select("doc_id", "n", "node").join(materialize(named, "names"), "node", "left")
+    out = made.select("doc_id", "n", "node", *carry).join(materialize(named, "names"), "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *carry)
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id. Rows without doc_id stay."""
+    """docs with one row of each component: the one of the smallest doc_id, and of the smallest md5
+    of its text where that doc_id has several. Rows without doc_id stay."""
     names = docs.columns
-    kept = near_duplicates(docs.select("doc_id", "text"), width).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    kept = materialize(kept, "kept")
-    again = kept.filter("copies > 1").select("doc_id")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), width, carry=("digest",)).filter("kept")
+    kept = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")).groupBy("doc_id").agg(F.min(F.struct("digest", "copies")).alias("x"))
+    mark = "kept"
+    while any(c.lower().startswith(mark) for c in names):
+        mark += "_"
+    kept = materialize(kept.select(F.col("doc_id").alias(f"{mark}id"), F.col("x.digest").alias(f"{mark}text"), F.col("x.copies").alias("copies")), "kept")
+    once, again = (kept.filter(x).drop("copies") for x in ("copies = 1", "copies > 1"))
+    same = (F.col("doc_id") == F.col(f"{mark}id")) & (digest == F.col(f"{mark}text"))
     # the ids grow with the corpus: merged at every size, never broadcast
-    out = docs.join(kept.filter("copies = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    out = docs.join(once.hint("merge"), same, "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
     if not again.isEmpty():
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*names)
 
 
