@@ -95,10 +95,13 @@ def _lines(text: bytes) -> tuple[int, int]:
 def statistics(data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
     """COUNTS of each text."""
 
+    full = np.flatnonzero(rows[1:] > rows[:-1])
+
     def per_row(mask: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(mask) + 1, np.int64)
-        np.cumsum(mask, out=sums[1:])
-        return sums[rows[1:]] - sums[rows[:-1]]
+        out = np.zeros(len(rows) - 1, np.int64)
+        if len(full):
+            out[full] = np.add.reduceat(mask.view(np.uint8), rows[full], dtype=np.int64)
+        return out
 
     words = Words(data, rows)
     distinct, index = words.coded()
