@@ -18,7 +18,6 @@ decode_thumbnails() and gives nulls in the column operator, as does a null media
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
