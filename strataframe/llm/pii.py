@@ -194,7 +194,8 @@ def normalised(text: str) -> Tape | None:
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """The plain spans; the spans that only the normalised text shows."""
+    """The plain spans; the spans that only the normalised text shows. Those may hold a plain span of
+    their kind, where a disguise left a shorter one, but don't lie in one."""
     base = detect(text)
     tape = normalised(text)
     if tape is None:
@@ -204,7 +205,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         if kind == "email" and not re.search(r"\.[A-Za-z]{2,}$", tape.text[a:b]):
             continue
         span = (kind, tape.starts[a], tape.ends[b - 1])
-        if not any(k == kind and s < span[2] and span[1] < e for k, s, e in base):
+        if not any(k == kind and s <= span[1] and span[2] <= e for k, s, e in base):
             added.append(span)
     return base, added
 
@@ -238,7 +239,7 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str =
 
 
 def redacted(text: str) -> str:
-    """The text with [KIND] in place of each span; spans that overlap count as the first of them."""
+    """The text with [KIND] in place of each span; spans that overlap give way together to the first one's."""
     base, added = find(text)
     out, at, end = [], 0, -1
     for kind, a, b in sorted(base + added, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):

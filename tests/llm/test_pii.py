@@ -62,6 +62,21 @@ def test_disguises_map_back_to_the_source(text, kind, shown):
     assert (kind, text.index(shown), text.index(shown) + len(shown)) in base + added
 
 
+@pytest.mark.parametrize(
+    "text,kind,shown,short",
+    [
+        ("mail jаne@mail.org now", "email", "jаne@mail.org", "ne@mail.org"),  # Cyrillic a
+        ("mail jane@mail.cоm now", "email", "jane@mail.cоm", "jane@mail.c"),  # Cyrillic o
+        ("mail jane dot roe@mail.com now", "email", "jane dot roe@mail.com", "roe@mail.com"),
+        ("call +1 555 123 456７ now", "phone", "+1 555 123 456７", "+1 555 123 456"),
+    ],
+)
+def test_longer_spans_stay_beside_the_plain_ones(text, kind, shown, short):
+    span = lambda x: (kind, text.index(x), text.index(x) + len(x))
+    assert op.find(text) == ([span(short)], [span(shown)])
+    assert op.redacted(text) == text.replace(shown, f"[{kind.upper()}]")
+
+
 @pytest.mark.parametrize("text", ["We met at noon dot by dot.", "one two three", "after the dot com boom", "one two three four", "un dos tres", "cat-at-arms and state_at_rest", "1 . 2 . 3", "версия 1.2.3", "x at y", "one, two, three, four and five"])
 def test_clean_texts_have_no_spans(text):
     assert op.find(text) == ([], [])
