@@ -10,8 +10,8 @@ from strataframe.llm.common import materialize, table
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
-#: The mix keeps this share of the tokens that reach it.
-TARGETS = mixing.Targets(budget=0.7)
+#: The mix keeps this share of the tokens that reach it, raked under the bound of 1.
+TARGETS = mixing.Targets(budget=0.7, bounded=True)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
