@@ -60,6 +60,29 @@ _WORDS_PART = re.compile(r" (at|dot|@|\.) |[_-](at|dot)[_-]", re.I)
 # Last parts of domains that may follow a bare "dot".
 ENDINGS = frozenset("com org net edu gov mil info biz name io co ai app dev me tv uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz se no dk fi eu ru ua in cn jp kr br mx ar cl test example invalid local".split())
 
+# Words that may follow a spelled "dot" in prose and are no endings.
+_NO_ENDINGS = frozenset("and or the of on for with was were that then which who but not from where when".split())
+_AT_NAME = re.compile(r" at [a-z0-9-]+(?: dot | \. |\.)[a-z0-9-]")
+#: A local part that no plain word is: parted inside, or a name with digits.
+_LOCAL_SIGN = re.compile(r"[A-Za-z0-9](?:[._%+]| dot )[A-Za-z0-9]|[A-Za-z][A-Za-z-]*[0-9]|[0-9]-?[A-Za-z]", re.I)
+# Words before a local part that tell an address, and words between that are none.
+_CUE = re.compile(r"(?<![^\W_])(?:e-?mails?|mail|contact|write|reach|kontakt|schreib\w*|courriel|écri\w*|correo|escrib\w*)(?:[ :,]+(?:to|is|me|us|an|à|a)){0,2}[ :,]+$", re.I)
+_NO_LOCALS = frozenset("me us him her them you it out back address addresses form page list team sent found here there or and to is".split())
+
+
+def _is_address(text: str, m: re.Match) -> bool:
+    """Whether a match of _WORDS with an at is an address, by the passage alone."""
+    local, domain = text[m.start() : m.start("at")], text[m.end("at") : m.end()].lower()
+    last = re.split(r"[. ]", domain)[-1]
+    named = last.isalpha() and len(last) > 1
+    if " dot " in domain:
+        return last in ENDINGS or named and last not in _NO_ENDINGS and text[m.end() : m.end() + 4].lower() != " dot"
+    if m["at"].lower() != " at ":
+        return last in ENDINGS or m["at"] == "@" and " . " not in domain and " dot " not in local.lower()
+    if " . " in domain:
+        return last in ENDINGS
+    return named and not local.endswith(".") and bool(_LOCAL_SIGN.search(local) or local.lower() not in _NO_LOCALS and _CUE.search(text[max(0, m.start() - 40) : m.start()]))
+
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -171,11 +194,10 @@ def normalised(text: str) -> Tape | None:
                     tape.ends[k] = tape.starts[k] + max(1, len(seen))
     if any(c in low for c in "([{<") and _BRACKET_SIGN.search(tape.text):
         tape.rewrite([(m.start(), m.end(), "@" if next(filter(None, m.groups())).lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text)])
-    if any(x in low for x in (" dot ", " . ", " @ ")) or " at " in low and tape.starts:
+    if any(x in low for x in (" dot ", " . ", " @ ")) or " at " in low and _AT_NAME.search(low):
         edits = []
         for m in _WORDS.finditer(tape.text):
-            bare = m["at"] and m["at"] != "@" or " dot " in m[0].lower() or " . " in m[0]
-            if m["at"] and bare and re.split(r"[. ]", m[0].lower())[-1] not in ENDINGS:
+            if m["at"] and not _is_address(tape.text, m):
                 continue
             edits += [(p.start(), p.end(), "@" if p[1].lower() in ("at", "@") else ".") for p in _WORDS_PART.finditer(tape.text, *m.span()) if p[1]]
         tape.rewrite(edits)

@@ -77,6 +77,25 @@ def test_longer_spans_stay_beside_the_plain_ones(text, kind, shown, short):
     assert op.redacted(text) == text.replace(shown, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("far", ["", "\u00a0", " – ", " １", " it costs 5 . "])
+@pytest.mark.parametrize(
+    "text,shown",
+    [
+        ("write to jane.roe at mail.com", "jane.roe at mail.com"),
+        ("write to jane at mail.com", "jane at mail.com"),
+        ("ask jane77 at mail.shop", "jane77 at mail.shop"),
+        ("jane at mail dot shop", "jane at mail dot shop"),
+        ("ask jane at mail dot example dot xyz", "jane at mail dot example dot xyz"),
+        ("look at example.com", None),
+        ("contact us at example.com", None),
+        ("stare at one dot and wait", None),
+    ],
+)
+def test_a_bare_at_is_judged_by_its_passage(text, shown, far):
+    text += f" now. Other words{far}follow."
+    assert op.find(text) == ([], [("email", text.index(shown), text.index(shown) + len(shown))] if shown else [])
+
+
 @pytest.mark.parametrize("text", ["We met at noon dot by dot.", "one two three", "after the dot com boom", "one two three four", "un dos tres", "cat-at-arms and state_at_rest", "1 . 2 . 3", "версия 1.2.3", "x at y", "one, two, three, four and five"])
 def test_clean_texts_have_no_spans(text):
     assert op.find(text) == ([], [])
