@@ -47,11 +47,14 @@ _ODD = re.compile(f"[{''.join(LOOKALIKES)}{''.join(SIGNS)}{HIDDEN}！-～Ⓐ-ⓩ
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPOKEN = re.compile(rf"(?<![^\W_])(?:plus[ ,-]+)?(?:(?:{_DIGIT_WORD}|[0-9])(?:[ ,-]+(?:(?:dot|point|punkt|punto)[ ,-]+)?|(?=[0-9]))){{3,}}(?:{_DIGIT_WORD}|[0-9])(?![^\W\d_])", re.I)
 _SPOKEN_SIGN = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD})[ ,-]+(?:(?:dot|point|punkt|punto)[ ,-]+)?(?:{_DIGIT_WORD})(?![^\W_])", re.I)
+_SPOKEN_MIXED = re.compile(rf"[0-9][ ,-]+(?:(?:dot|point|punkt|punto)[ ,-]+)?(?:{_DIGIT_WORD})[ ,-]+(?:(?:dot|point|punkt|punto)[ ,-]+)?[0-9]", re.I)
 _SPOKEN_PART = re.compile(rf"({_DIGIT_WORD})|(plus)|(dot|point|punkt|punto)|([0-9])", re.I)
 # Latin letters that stand for digits inside numbers.
 LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OolI](?:[ ().-]{0,2}[0-9OolI]){6,}(?![A-Za-z0-9])")
-_NEAR_DIGIT = re.compile(r"[0-9](?:(?=[OolI])|(?<=[OolI][0-9]))")
+_LETTERED_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OolI]{1,3}(?:\.[0-9OolI]{1,3}){3}(?!\.?[A-Za-z0-9])")
+#: Single letters at either end of a number are words of their own ("I", "o").
+_LONE_LETTERS = re.compile(r"^(?:[OolI] [ ().-]*)+|(?:[ ().-]* [OolI])+$")
 _BRACKET_SIGN = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]", re.I)
 _BRACKETS = re.compile(r"\s{0,3}(?:\[\s?(at|@|dot|\.)\s?\]|\(\s?(at|@|dot|\.)\s?\)|\{\s?(at|@|dot|\.)\s?\}|<\s?(at|dot)\s?>)\s{0,3}", re.I)
 _WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+)*(?P<at> at | @ |@)[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+|(?<![0-9.])[0-9]{1,3}(?:(?: dot | \. )[0-9]{1,3}){3}(?![0-9])", re.I)
@@ -172,19 +175,39 @@ def _may_be_spoken(low: str) -> bool:
     return any(b - a <= 2 for a, b in zip(at, at[1:], strict=False))
 
 
+def _digit_letters(text: str) -> list[int]:
+    """Where letters stand for digits: in candidates with a plain digit that are a number of some kind once they are read so."""
+    found = set()
+    for pattern in (_LETTERED, _LETTERED_IP):
+        for m in pattern.finditer(text):
+            if m[0].isascii() and not LETTER_DIGITS.keys().isdisjoint(m[0]):
+                start, part = m.start(), m[0]
+                if lone := _LONE_LETTERS.match(part):
+                    start, part = start + lone.end(), part[lone.end() :]
+                if lone := _LONE_LETTERS.search(part):
+                    part = part[: lone.start()]
+                for _, a, b in detect("".join(LETTER_DIGITS.get(c, c) for c in part)):
+                    if any(c in "0123456789" for c in part[a:b]):
+                        found.update(start + k for k in range(a, b) if part[k] in LETTER_DIGITS)
+    return sorted(found)
+
+
 def normalised(text: str) -> Tape | None:
     """The text without disguises, or None where it shows no sign of one."""
     tape = Tape(text)
     if _may_be_odd(text):
         tape.rewrite([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
-    if _may_be_spoken(low := tape.text.lower()) and _SPOKEN_SIGN.search(tape.text):
+    if _may_be_spoken(low := tape.text.lower()) and _SPOKEN_SIGN.search(tape.text) or _SPOKEN_MIXED.search(tape.text):
         edits = []
         for m in _SPOKEN.finditer(tape.text):
-            if _SPOKEN_SIGN.search(m[0]):
-                parts = list(_SPOKEN_PART.finditer(tape.text, *m.span()))
-                for k, p in enumerate(parts):  # what parts the digits goes with the digit before it
-                    end = parts[k + 1].start() if k + 1 < len(parts) else p.end()
-                    edits.append((p.start(), end, "+" if p[2] else "." if p[3] else p[4] or SPELLED[p[1].lower()]))
+            own = []
+            parts = list(_SPOKEN_PART.finditer(tape.text, *m.span()))
+            for k, p in enumerate(parts):  # what parts the digits goes with the digit before it
+                end = parts[k + 1].start() if k + 1 < len(parts) else p.end()
+                own.append((p.start(), end, "+" if p[2] else "." if p[3] else p[4] or SPELLED[p[1].lower()]))
+            # words apart from each other must make a number of some kind
+            if _SPOKEN_SIGN.search(m[0]) or _SPOKEN_MIXED.search(m[0]) and detect("+" * (tape.text[m.start() - 1 : m.start()] == "+") + "".join(x for _, _, x in own)):
+                edits += own
         tape.rewrite(edits)
         # a digit's span ends with the digit, not with what parts it from the next
         if edits and tape.ends:
@@ -206,12 +229,7 @@ def normalised(text: str) -> Tape | None:
         for m in _JOINED.finditer(tape.text):
             edits += [(p.start(), p.end(), "@" if p[2].lower() == "at" else ".") for p in _WORDS_PART.finditer(tape.text, *m.span()) if p[2]]
         tape.rewrite(edits)
-    edits = []
-    for m in _LETTERED.finditer(tape.text) if _NEAR_DIGIT.search(tape.text) else ():
-        letters = [k for k in range(*m.span()) if tape.text[k] in LETTER_DIGITS]
-        if letters and 2 * len(letters) <= sum(c in "0123456789" for c in m[0]):
-            edits += [(k, k + 1, LETTER_DIGITS[tape.text[k]]) for k in letters]
-    tape.rewrite(edits)
+    tape.rewrite([(k, k + 1, LETTER_DIGITS[tape.text[k]]) for k in _digit_letters(tape.text)])
     return tape if tape.starts else None
 
 

@@ -96,6 +96,28 @@ def test_a_bare_at_is_judged_by_its_passage(text, shown, far):
     assert op.find(text) == ([], [("email", text.index(shown), text.index(shown) + len(shown))] if shown else [])
 
 
+@pytest.mark.parametrize("far", ["", " and 5o more"])
+@pytest.mark.parametrize(
+    "kind,shown",
+    [
+        ("phone", "+1 555 OOO 4567"),
+        ("card", "4111 llll 1111 1111"),
+        ("ip", "1O.0.0.1"),
+        ("ip", "l92.l68.O.l"),
+        ("card", "4OOO OOOO OOOO OOO2"),
+        ("phone", "plus 4 nine 3 zero 1 two 3 four 5 six"),
+        ("phone", "+4 nine 3 zero 1 two 3 four 5 six"),
+        ("phone", "+4 nine 3 0 1 2 3 4 5 6"),
+        ("phone", "+1 555 123 4567 I said so"),
+    ],
+)
+def test_numbers_are_judged_by_themselves(kind, shown, far):
+    text = f"it is {shown} now{far}"
+    shown = shown.removesuffix(" I said so")
+    base, added = op.find(text)
+    assert base + added == [(kind, 6, 6 + len(shown))]
+
+
 @pytest.mark.parametrize("text", ["We met at noon dot by dot.", "one two three", "after the dot com boom", "one two three four", "un dos tres", "cat-at-arms and state_at_rest", "1 . 2 . 3", "версия 1.2.3", "x at y", "one, two, three, four and five"])
 def test_clean_texts_have_no_spans(text):
     assert op.find(text) == ([], [])
