@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Each thread's own, so that queries that run side by side don't delete each other's folders.
+_OWN = threading.local()
+
+
+def _made() -> dict[str, None]:
+    return _OWN.__dict__.setdefault("made", {})
+
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -16,4 +25,30 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/strataframe/{label}-{uuid.uuid4().hex}"
+    made = f"{at.rstrip('/')}/strataframe/{label}-{uuid.uuid4().hex}"
+    _made()[made] = None
+    return made
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as Parquet to a shared folder and reads it back: lineage ends there,
+    and a lost executor costs only the tasks that read it."""
+    at = shared_folder(df.sparkSession, label)
+    df.write.parquet(at)
+    made = df.sparkSession.read.schema(df.schema).parquet(at)
+    made.written_at = at
+    return made
+
+
+def made_folders() -> frozenset[str]:
+    """The shared folders that this thread has made and not deleted."""
+    return frozenset(_made())
+
+
+def discard(spark: SparkSession, before: frozenset[str] = frozenset(), *keep: DataFrame) -> None:
+    """Deletes the shared folders that this thread made after before, but for those of keep (from written())."""
+    kept = before | {df.written_at for df in keep}
+    for at in [x for x in _made() if x not in kept]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _made()[at]
