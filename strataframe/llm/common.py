@@ -7,7 +7,6 @@ depend on the size of its partition.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written as materialize
+
+__all__ = ["Words", "crc32_of", "lowered", "mapped", "materialize", "mixed", "slices", "table", "word_hashes"]
+
 #: Text bytes that a task looks at together.
 SLICE_BYTES = 1 << 20
 #: Bytes of rows that Spark hands to a Python worker at once, at most; Spark's own bound is eight times that.
@@ -34,32 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only a local session that names none (as in tests) gets a folder of its own.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there,
-    and a lost executor costs only the tasks that read it."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/strataframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow() over batches of BATCH_BYTES at most: long texts come a few at a time.
     The bound is a setting of the session, lowered here if it is higher."""

@@ -3,14 +3,20 @@
 1. A task turns each text into its set of distinct word shingles (64-bit hashes), the set's
    digest, ROWS * BANDS minima of universal hashes a*x+b, and a key for each band. Texts with
    equal sets are one node from here on, however many there are.
-2. Nodes that share a band's key are a bucket. Buckets of the same nodes count once. The texts
-   of a bucket meet in one task, which verifies pairs by their minima, then by their whole
-   sets, and returns only links that join what isn't joined yet: n - 1 at most for n nodes.
-3. A bucket that weighs more than BLOCK is dealt out in blocks. Its nodes are first linked with
-   its smallest, and the links' components found; then only nodes outside of its
-   largest component meet the others, block by block. So a family of any number of copies
-   costs in proportion to its size, and no bucket is capped.
-4. Components by alternating large-star and small-star.
+2. Nodes that share a band's key are a bucket. Buckets of the same nodes count once. The signatures
+   of a bucket meet in one task; nodes that they join are one family, and so are, without a look,
+   the nodes of a bucket that weighs more than BLOCK. Families are the components of these
+   loose links, by alternating large-star and small-star. Two nodes of different families share no
+   band or differ in their signatures, so links are looked for within families only.
+3. The text of each node of a family is fetched once and its set written. A family of BLOCK at most
+   meets in one task, which verifies pairs of like signatures on their whole sets.
+4. Nodes of a heavier family first meet in blocks around a node that is the least of most of their
+   buckets, and in blocks by chance; those links' components are known from then on. Where little of a family is left outside of its
+   largest component, that meets the others, block by block, by signatures first. Where much is left,
+   the nodes are dealt so by prefixes instead: sets in the order of their shingles' frequencies, of
+   which two similar ones share a rare one; this loses no link. So neither many copies of a text nor many pages of one
+   template cost their square, no family is capped, and no task takes more than two blocks. Components
+   of the links again by alternating large-star and small-star.
 
 The only loss is the bands' own: two sets of similarity s share no key with probability
 (1 - s**ROWS)**BANDS, below 3e-6 at 0.8; the minima let a pair of 0.8 through but for 1e-6.
@@ -28,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import discard, made_folders
 from .common import Words, lowered, mapped, materialize, mixed, slices, table, word_hashes
 from .components import connected_components
 
@@ -39,8 +46,11 @@ SHINGLE = 4
 SIMILARITY = (80, 100)
 ROWS, BANDS = 6, 42
 #: Weight of the texts that meet in one task: their shingles, and NODE for each text.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 NODE = 512
+#: Blocks of a family outside of its largest component up to which they meet all of it: each of its nodes is then
+#: dealt out so many times at most. Prefixes, which take a row for each shingle, are for more.
+REST = 16
 #: Share of equal minima below which a pair isn't looked at: nearly five deviations under 0.8.
 LEAST_EQUAL = 0.68
 #: Shingles hashed together: so many stay in cache.
@@ -189,10 +199,14 @@ def links_among(sets: list[np.ndarray], sigs: np.ndarray, groups: list) -> list[
         return g
 
     known = np.array(groups)
-    near = []
-    for k in range(m - 1):
-        close = np.flatnonzero((sigs[k + 1 :] == sigs[k]).mean(1) >= LEAST_EQUAL) + k + 1
-        near.append(close[known[close] != known[k]].astype(np.int32))
+    values, counts = np.unique(known, return_counts=True)
+    in_main = known == values[np.argmax(counts)]  # two of the same class needn't be compared, so the largest class comes last
+    order = np.concatenate([np.flatnonzero(~in_main), np.flatnonzero(in_main)])
+    mine, rest = sigs[order], m - int(in_main.sum())
+    near = [(np.zeros(0, np.int64))] * m
+    for k in range(rest):
+        close = order[k + 1 :][np.count_nonzero(mine[k + 1 :] == mine[k], axis=1) >= LEAST_EQUAL * sigs.shape[1]]
+        near[order[k]] = close[known[close] != known[order[k]]]
     found = []
     overlaps = _overlaps(sets) if sum(map(len, near)) > 4 * m else None
     for a, close in enumerate(near):
@@ -226,88 +240,228 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(left)
 
 
-def _linked(met: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) of the groups of met (meet, node, component, sig, text)."""
+def _groups(met: DataFrame, told, schema: str) -> DataFrame:
+    """told() of the rows of each meet, where there are two or more nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        names = [c.split()[0] for c in schema.split(", ")]
+        made: list[list] = [[] for _ in names]
         for group in _runs(batches, "meet"):
-            if group.num_rows < 2:
-                continue
             batch = group.combine_chunks().to_batches()[0]
-            sets = [x for _, data, rows in slices(batch, "text") for x in shingle_sets(data, rows, width)]
-            nodes = batch.column("node").to_numpy()
-            fits = np.flatnonzero(node_ids(sets) == nodes)  # a doc_id may have other texts beside the node's
-            _, first = np.unique(nodes[fits], return_index=True)
-            fits = fits[first]
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(sets), -1)[fits]
-            found = links_among([sets[k] for k in fits], sigs, batch.column("component").to_numpy()[fits].tolist())
-            a += [int(nodes[fits[x]]) for x, _ in found]
-            b += [int(nodes[fits[y]]) for _, y in found]
-            if len(a) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return mapped(met, run, "a long, b long")
-
-
-def _meeting(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
-    """The links of members (meet, node, component) among those of the same meet."""
-    met = members.join(nodes, "node").join(docs.select("doc_id", text), "doc_id").select("meet", "node", "component", "sig", F.col(text).alias("text"))
-    return materialize(_linked(met.repartition("meet").sortWithinPartitions("meet"), width).distinct(), "met")
-
-
-def _dealt(members: DataFrame, parts: DataFrame, block: int) -> DataFrame:
-    """meet, node, component: members (bucket, node, w) of large buckets dealt out so that each
-    pair of nodes meets somewhere, unless both belong to the bucket's largest component."""
-    rows = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            nodes, first = np.unique(batch.column("node").to_numpy(), return_index=True)
+            if len(nodes) < 2:
+                continue
+            for column, more in zip(made, told(batch.take(pa.array(first)), nodes), strict=True):
+                column += more
+            if len(made[0]) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=names)
+                made = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=names)
+
+    return mapped(met.repartition("meet").sortWithinPartitions("meet"), run, schema)
+
+
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+
+
+def _least_joined(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest place that each place in pairs is joined with."""
+    above: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while above.setdefault(k, k) != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        above[max(a, b)] = min(a, b)
+    return {k: root(k) for k in above}
+
+
+def _close(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: members (meet, node) whose signatures join them within a meet, each (b) with the smallest of them (a)."""
+
+    def told(batch: pa.RecordBatch, node: np.ndarray) -> tuple[list, list]:
+        sigs = _signatures(batch)
+        pairs = [(k, k + 1 + int(x)) for k in range(len(sigs) - 1) for x in np.flatnonzero(np.count_nonzero(sigs[k + 1 :] == sigs[k], axis=1) >= LEAST_EQUAL * sigs.shape[1])]
+        joined = [(a, b) for b, a in _least_joined(pairs).items() if a != b]
+        return node[[a for a, _ in joined]].tolist(), node[[b for _, b in joined]].tolist()
+
+    met = members.join(nodes.select("node", "sig"), "node").select("meet", "node", "sig")
+    return _groups(met, told, "a long, b long").distinct()
+
+
+def _sets(families: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
+    """node, sig, set (sorted hashes) of families (node, doc_id, sig): each text is moved once."""
+    schema = "node long, sig binary, set binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, rows in slices(batch, "text"):
+                sets = shingle_sets(data, rows, width)
+                nodes = part.column("node").to_numpy()
+                fits = np.flatnonzero(node_ids(sets) == nodes)  # a doc_id may have other texts beside the node's
+                fits = fits[np.unique(nodes[fits], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[fits]), part.column("sig").take(pa.array(fits)), pa.array([sets[k].tobytes() for k in fits], pa.binary())], names=["node", "sig", "set"])
+
+    met = families.select("node", "doc_id", "sig").join(docs.select("doc_id", F.col(text).alias("text")), "doc_id")
+    return mapped(met.select("node", "sig", "text"), run, schema)
+
+
+def _verified(members: DataFrame, sets: DataFrame, whole: bool = False) -> DataFrame:
+    """a, b: links between members (meet, node, component) of one meet and several components, verified
+    on whole sets. whole: a meet is all that its nodes can be linked with, so a is the least node joined with b."""
+
+    def told(batch: pa.RecordBatch, node: np.ndarray) -> tuple[list, list]:
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
+        found = links_among(own, _signatures(batch), batch.column("component").to_numpy().tolist())
+        if whole:
+            found = [(a, b) for b, a in _least_joined(found).items()]
+        return node[[a for a, _ in found]].tolist(), node[[b for _, b in found]].tolist()
+
+    return _groups(members.join(sets, "node").select("meet", "node", "component", "sig", "set"), told, "a long, b long")
+
+
+def _partnered(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """meet, node, component of members (meet, node, component, n, index) that have a partner by their
+    signatures in their meet: of another component, the smaller of the two by its index part."""
+
+    def told(batch: pa.RecordBatch, node: np.ndarray) -> tuple[list, list, list]:
+        sigs, index = _signatures(batch), batch.column("index").to_numpy(zero_copy_only=False)
+        n, component = batch.column("n").to_numpy(), batch.column("component").to_numpy()
+        hit = np.zeros(len(node), bool)
+        for k in np.flatnonzero(index):
+            some = np.flatnonzero((component != component[k]) & (n >= n[k]))
+            some = some[np.count_nonzero(sigs[some] == sigs[k], axis=1) >= LEAST_EQUAL * sigs.shape[1]]
+            hit[some] = True
+            hit[k] |= len(some) > 0
+        return batch.column("meet").to_numpy()[hit].tolist(), node[hit].tolist(), component[hit].tolist()
+
+    met = members.join(sets.select("node", "sig"), "node").select("meet", "node", "component", "n", "index", "sig")
+    return _groups(met, told, "meet long, node long, component long")
+
+
+def _blocks(w: Column, block: int) -> Column:
+    return F.greatest(F.ceil(w / F.lit(block)).cast("int"), F.lit(1))
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """meet and the columns of rows (bucket, node, component, n, index, w) dealt out so that each pair of a
+    bucket's nodes meets somewhere, unless both belong to the bucket's largest component."""
     sizes = rows.groupBy("bucket", "component").agg(F.sum("w").alias("w"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    blocks = lambda w: F.ceil(w / F.lit(block)).cast("int")
-    rows = rows.drop("w").join(main, "bucket").withColumns({"in_main": F.col("component") == F.col("main"), "n_main": blocks(F.col("w_main")), "n_rest": blocks(F.col("w") - F.col("w_main"))})
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"))
+    main = main.select("bucket", "main", _blocks(F.col("w_main"), block).alias("n_main"), _blocks(F.col("w") - F.col("w_main"), block).alias("n_rest"))
+    rows = rows.join(main, "bucket").withColumn("in_main", F.col("component") == F.col("main"))
     spread = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
     own = spread + F.when(F.col("in_main"), F.col("n_rest")).otherwise(0)  # blocks of the rest come first
     rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
     every = F.sequence(F.lit(0), F.col("n_rest") + F.col("n_main") - 1)
     others = F.when(F.col("in_main"), rest).otherwise(every)
-    rows = rows.withColumn("own", own).select("bucket", "node", "component", "own", F.explode(others).alias("other"))
-    return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meet"), "node", "component").distinct()
+    rows = rows.withColumn("own", own).select("bucket", "node", "component", "n", "index", "own", F.explode(others).alias("other"))
+    return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meet"), "node", "component", "n", "index")
+
+
+def _starred(heavy: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """meet, node, component: each node of heavy (family, node, w) with the node that is the least of most of its
+    buckets, in blocks of that one's followers, each with one copy of it, and with a block of its family by chance."""
+    big = members.join(heavy.select("node", "w"), "node")
+    least = big.groupBy("bucket").agg(F.min("node").alias("centre"))
+    often = big.join(least, "bucket").groupBy("node", "w", "centre").agg(F.count(F.lit(1)).alias("often"))
+    star = materialize(often.groupBy("node", "w").agg(F.max_by("centre", F.struct("often", -F.col("centre"))).alias("centre")), "stars")
+    blocks = star.groupBy("centre").agg(_blocks(F.sum("w"), block).alias("blocks"))
+    dealt = star.join(blocks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node")
+    centres = blocks.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.col("centre").alias("node"))
+    sizes = heavy.groupBy("family").agg(_blocks(F.sum("w"), block).alias("blocks"))
+    chance = heavy.join(sizes, "family").select("node", F.xxhash64("family", F.lit(True), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).alias("meet"))
+    by_centre = dealt.unionByName(centres).select("node", F.xxhash64("centre", "own").alias("meet"))
+    return by_centre.unionByName(chance).select("meet", "node", F.col("node").alias("component"))
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket (a shingle), node, component, n, w, index of the nodes of open_ (node, component, n, w): the shingles
+    that two similar sets can't but share one of. Each set in the order of its shingles' frequencies, the
+    rarest first: the first that two linked sets share is among the first n - ceil(s n) + 1 of the larger, and
+    among the first n - ceil(2 s n / (1 + s)) + 1 (its index part) of the smaller."""
+    part, of = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+
+    held = mapped(sets.select("node", "set").join(open_.select("node"), "node", "left_semi"), run, "node long, shingles array<long>")
+    held = held.select("node", F.explode("shingles").alias("bucket"))
+    often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    held = held.join(often, "bucket").join(open_.select("node", "component", "n", "w"), "node")
+    # shingles of one node only come first, so places are counted from the end
+    place = F.col("n") - F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), F.desc("bucket")))
+    held = held.withColumn("place", place)
+    up = lambda top, under: F.floor((F.col("n") * top + (under - 1)) / under)
+    held = held.filter(F.col("place") <= F.col("n") - up(part, of))
+    return held.select("bucket", "node", "component", "n", "w", (F.col("place") <= F.col("n") - up(2 * part, of + part)).alias("index"))
+
+
+def _heavy_parts(heavy: DataFrame, members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """node, component of heavy (family, node, n, w), nodes of families too heavy for one task, as far as they have links."""
+    first = connected_components(_verified(_starred(heavy, members, block), sets))
+    placed = heavy.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("family", "component").agg(F.sum("w").alias("w"))
+    several = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("components"), (F.sum("w") - F.max("w")).alias("rest")).filter("components > 1")
+    open_ = materialize(placed.join(several.select("family", "rest"), "family").select("family", "node", "component", "n", "w", "rest"), "open-nodes")
+    if open_.isEmpty():
+        return first
+    few, many = open_.filter(F.col("rest") <= REST * block), open_.filter(F.col("rest") > REST * block)
+    rows = few.select(F.col("family").alias("bucket"), "node", "component", "n", "w", F.lit(True).alias("index"))
+    if not many.isEmpty():
+        prefixes = materialize(_prefixes(many, sets), "prefixes")
+        told = prefixes.groupBy("bucket").agg(F.bool_or("index").alias("index"), F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node", "index")).alias("p"), F.bit_xor(F.xxhash64("node", "index", F.lit(1))).alias("q"))
+        unlike = told.filter("index AND x < y").groupBy("m", "p", "q").agg(F.min("bucket").alias("bucket"))
+        rows = rows.unionByName(prefixes.join(unlike.select("bucket"), "bucket", "left_semi"))
+    near = materialize(_partnered(_dealt(materialize(rows, "dealt"), block), sets), "partners")
+    return connected_components(_verified(near, sets).unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and the columns in carry of every row of docs (doc_id, text).
     carry: names other than the operator's own."""
+    before = made_folders()
     made = materialize(signed(docs, width, text, carry), "minima")
     usable = made.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     rows = usable.select("node", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = materialize(rows.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "members")
     # the node's smallest doc_id first, so that many copies of a text are one row before rows move by node
-    chosen = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
-    nodes = usable.join(chosen, ["node", "doc_id"]).dropDuplicates(["node"])
-    nodes = materialize(nodes.select("node", "doc_id", (F.col("n") + NODE).alias("w"), "sig"), "nodes")
+    own = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = usable.join(own.join(members.select("node").distinct(), "node", "left_semi"), ["node", "doc_id"]).dropDuplicates(["node"])
+    nodes = materialize(nodes.select("node", "doc_id", "n", (F.col("n") + NODE).alias("w"), "sig"), "nodes")
     # buckets of the same nodes are one
     sized = members.join(nodes.select("node", "w"), "node")
     buckets = sized.groupBy("bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("least"))
     buckets = materialize(buckets.groupBy("w", "m", "x", "y", "least").agg(F.min("bucket").alias("bucket")), "unlike-buckets")
     small, large = buckets.filter(F.col("w") <= block), buckets.filter(F.col("w") > block)
-    links = _meeting(members.join(small.select("bucket"), "bucket").select(F.col("bucket").alias("meet"), "node", F.col("node").alias("component")), nodes, docs, width, text)
-    if not large.isEmpty():
-        big = materialize(sized.join(large.select("bucket", "least"), "bucket"), "large-buckets")
-        star = big.filter(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        ends = F.array("a", "b")
-        pairs = star.select(F.xxhash64("a", "b").alias("meet"), F.explode(ends).alias("node")).withColumn("component", F.col("node"))
-        links = links.unionByName(_meeting(pairs, nodes, docs, width, text))
-        dealt = materialize(_dealt(big.select("bucket", "node", "w"), connected_components(links), block), "dealt")
-        links = links.unionByName(_meeting(dealt, nodes, docs, width, text))
-    parts = connected_components(links)
-    least = made.filter(F.col("doc_id").isNotNull()).join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    grouped = parts.join(least, "component").select("node", F.col("component_id").alias("joint_id"))
-    own = usable.groupBy("node").agg(F.min("doc_id").alias("own_id"), F.count(F.lit(1)).alias("copies"))
+    loose = _close(members.join(small.select("bucket"), "bucket").select(F.col("bucket").alias("meet"), "node"), nodes)
+    starred = members.join(large.select("bucket", "least"), "bucket").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    families = connected_components(loose.unionByName(starred)).withColumnRenamed("component", "family")
+    families = materialize(families.join(nodes, "node"), "families")
+    weights = families.groupBy("family").agg(F.sum("w").alias("total"))
+    sets = materialize(_sets(families, docs, width, text), "sets")
+    light = families.join(weights.filter(F.col("total") <= block), "family", "left_semi")
+    parts = _verified(light.select(F.col("family").alias("meet"), "node", F.col("node").alias("component")), sets, whole=True).select(F.col("b").alias("node"), F.col("a").alias("component"))
+    heavy = materialize(families.join(weights.filter(F.col("total") > block), "family", "left_semi").select("family", "node", "n", "w"), "heavy-families")
+    if not heavy.isEmpty():
+        parts = parts.unionByName(_heavy_parts(heavy, members, sets, block))
     # nodes of one row that are linked with nothing need no name; a written table can be split where a node has many rows
-    named = own.join(grouped, "node", "left").filter((F.col("copies") > 1) | F.col("joint_id").isNotNull()).select("node", F.coalesce("joint_id", "own_id").alias("component_id"))
-    out = made.select("doc_id", "n", "node", *carry).join(materialize(named, "names"), "node", "left")
+    parts = materialize(parts, "parts")
+    least = own.join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("joint_id"))
+    joint = parts.join(least, "component").select("node", "joint_id")
+    named = own.join(joint, "node", "left").filter((F.col("copies") > 1) | F.col("joint_id").isNotNull()).select("node", F.coalesce("joint_id", "doc_id").alias("component_id"))
+    named = materialize(named, "names")
+    discard(docs.sparkSession, before, made, named)
+    out = made.select("doc_id", "n", "node", *carry).join(named, "node", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *carry)
 
