@@ -6,6 +6,9 @@ words or brackets); each writes characters with the source span that they stand
 detectors run over the normalised text, and what they find beyond the plain spans is mapped
 back to source characters.
 
+Every pattern looks at a character a bounded number of times, and the places of edits are all that is kept
+of a long text beside copies of itself, so time and memory stay linear in it.
+
 Defined results: null text counts as empty and holds nothing; rows are kept one for one,
 repeated rows and null doc_id included. Spans are code points, end exclusive. Redaction keeps a
 null text null.
@@ -14,10 +17,14 @@ null text null.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_ENDING = re.compile(r"\.[A-Za-z]{2,}\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A run of digits that fails at its first digit fails at each, so matches begin at runs.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -57,7 +65,9 @@ _LETTERED_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OolI]{1,3}(?:\.[0-9OolI]{1,3}){
 _LONE_LETTERS = re.compile(r"^(?:[OolI] [ ().-]*)+|(?:[ ().-]* [OolI])+$")
 _BRACKET_SIGN = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]", re.I)
 _BRACKETS = re.compile(r"\s{0,3}(?:\[\s?(at|@|dot|\.)\s?\]|\(\s?(at|@|dot|\.)\s?\)|\{\s?(at|@|dot|\.)\s?\}|<\s?(at|dot)\s?>)\s{0,3}", re.I)
-_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+)*(?P<at> at | @ |@)[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+|(?<![0-9.])[0-9]{1,3}(?:(?: dot | \. )[0-9]{1,3}){3}(?![0-9])", re.I)
+_AT = re.compile(r" at | @ |@", re.I)
+_WORD_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+", re.I)
+_WORD_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?: dot | \. )[0-9]{1,3}){3}(?![0-9])", re.I)
 _JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+]+([_-])at\1[A-Za-z0-9]+(?:\1dot\1[A-Za-z0-9]+)+(?![A-Za-z0-9_-])", re.I)
 _WORDS_PART = re.compile(r" (at|dot|@|\.) |[_-](at|dot)[_-]", re.I)
 # Last parts of domains that may follow a bare "dot".
@@ -73,18 +83,38 @@ _CUE = re.compile(r"(?<![^\W_])(?:e-?mails?|mail|contact|write|reach|kontakt|sch
 _NO_LOCALS = frozenset("me us him her them you it out back address addresses form page list team sent found here there or and to is".split())
 
 
-def _is_address(text: str, m: re.Match) -> bool:
-    """Whether a match of _WORDS with an at is an address, by the passage alone."""
-    local, domain = text[m.start() : m.start("at")], text[m.end("at") : m.end()].lower()
+def _worded(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Where an address with at or dot in words may begin, its at begin and end, and it end: from each at
+    outwards, so that a long chain of dots is looked at once."""
+    free = 0
+    for m in _AT.finditer(text):
+        start, domain = m.start(), _WORD_DOMAIN.match(text, m.end())
+        if start < free or not domain:
+            continue
+        while start > free:
+            if text[start - 1] in _LOCAL:
+                start -= 1
+            elif start < m.start() and start - 5 > free and text[start - 5 : start].lower() == " dot " and text[start - 6] in _LOCAL:
+                start -= 5
+            else:
+                break
+        if start < m.start():
+            free = domain.end()
+            yield start, m.start(), m.end(), free
+
+
+def _is_address(text: str, start: int, at: int, after: int, end: int) -> bool:
+    """Whether a find of _worded() is an address, by the passage alone."""
+    local, sign, domain = text[start:at], text[at:after].lower(), text[after:end].lower()
     last = re.split(r"[. ]", domain)[-1]
     named = last.isalpha() and len(last) > 1
     if " dot " in domain:
-        return last in ENDINGS or named and last not in _NO_ENDINGS and text[m.end() : m.end() + 4].lower() != " dot"
-    if m["at"].lower() != " at ":
-        return last in ENDINGS or m["at"] == "@" and " . " not in domain and " dot " not in local.lower()
+        return last in ENDINGS or named and last not in _NO_ENDINGS and text[end : end + 4].lower() != " dot"
+    if sign != " at ":
+        return last in ENDINGS or sign == "@" and " . " not in domain and " dot " not in local.lower()
     if " . " in domain:
         return last in ENDINGS
-    return named and not local.endswith(".") and bool(_LOCAL_SIGN.search(local) or local.lower() not in _NO_LOCALS and _CUE.search(text[max(0, m.start() - 40) : m.start()]))
+    return named and not local.endswith(".") and bool(_LOCAL_SIGN.search(local) or local.lower() not in _NO_LOCALS and _CUE.search(text[max(0, start - 40) : start]))
 
 
 def _luhn(digits: str) -> bool:
@@ -123,35 +153,68 @@ def detect(text: str) -> list[Span]:
 
 
 class Tape:
-    """A text whose characters know the source span that they stand for."""
+    """A text that knows which source span each of its characters stands for. It keeps the places of
+    its edits only, so a long text with few of them costs little more than itself."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, None, None
+        self.text, self.changed, self.edits = text, False, []
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """edits: (start, end, what stands there instead), in order and apart."""
-        if not edits:
-            return
-        if self.starts is None:
-            self.starts, self.ends = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        text, starts, ends, at = [], [], [], 0
+    def replace(self, text: str) -> None:
+        """Another text, character for character."""
+        self.changed |= text != self.text
+        self.text = text
+
+    def rewrite(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """edits: (start, end, what stands there instead), in order and apart. The span of what stands
+        there ends without the blanks, commas and hyphens at its end, if anything is left."""
+        starts, ends, seen, sizes, out, at = array("q"), array("q"), array("q"), array("q"), io.StringIO(), 0
         for a, b, new in edits:
-            text += self.text[at:a], new
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            out.write(self.text[at:a])
+            out.write(new)
+            last = b
+            while last > a + 1 and self.text[last - 1] in " ,-":
+                last -= 1
+            for column, x in zip((starts, ends, seen, sizes), (a, b, last, len(new)), strict=True):
+                column.append(x)
             at = b
-        self.text = "".join(text) + self.text[at:]
-        self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
-
-
-def _plain(c: str) -> str:
-    if c in HIDDEN:
-        return ""
-    if "！" <= c <= "～":
-        return chr(ord(c) - 0xFEE0)
-    if c >= "\U0001d400" or "Ⓐ" <= c <= "ⓩ":  # letters and digits of other styles
-        return unicodedata.normalize("NFKC", c)
-    return LOOKALIKES.get(c) or SIGNS.get(c) or str(unicodedata.decimal(c, c))
+        if not starts:
+            return
+        starts, ends, seen, sizes = (np.frombuffer(x, np.int64) for x in (starts, ends, seen, sizes))
+        gone = np.cumsum(ends - starts - sizes)
+        self.edits.append((starts - gone + (ends - starts - sizes), sizes, starts, ends, seen))
+        self.text, self.changed = out.getvalue() + self.text[at:], True
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of a span of the text."""
+        last = end - 1
+        for at, sizes, starts, ends, seen in reversed(self.edits):
+            k, j = (int(np.searchsorted(at, x, "right")) - 1 for x in (start, last))
+            inside = lambda x, k: k >= 0 and x < at[k] + sizes[k]
+            after = lambda x, k: x if k < 0 else int(ends[k] + x - at[k] - sizes[k])
+            start = int(starts[k]) if inside(start, k) else after(start, k)
+            last = int(seen[j]) - 1 if inside(last, j) else after(last, j)
+        return start, last + 1
+
+
+class _Plain(dict):
+    """For str.translate(): the plain character that an odd one stands for."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        plain = c
+        if _ODD.match(c) and c not in HIDDEN:
+            if "！" <= c <= "～":
+                plain = chr(code - 0xFEE0)
+            elif c >= "\U0001d400" or "Ⓐ" <= c <= "ⓩ":  # letters and digits of other styles
+                plain = unicodedata.normalize("NFKC", c)
+            else:
+                plain = LOOKALIKES.get(c) or SIGNS.get(c) or str(unicodedata.decimal(c, c))
+        self[code] = plain if len(plain) == 1 else c
+        return self[code]
+
+
+_PLAIN = _Plain()
+_HIDDEN_RUN = re.compile(f"[{HIDDEN}]+")
 
 
 def _may_be_odd(text: str) -> bool:
@@ -165,14 +228,26 @@ def _may_be_odd(text: str) -> bool:
     return "\u00a0" in text or "\u00ad" in text
 
 
+#: Characters of a text whose words are listed at once.
+_PIECE = 1 << 20
+
+
 def _may_be_spoken(low: str) -> bool:
     """Whether digits in words can follow each other, or a word after each other; low: the text in lower case."""
-    words = _ALPHABETIC.findall(low)
-    names = SPELLED.keys() & set(words)
-    if not names:
-        return False
-    at = [k for k, w in enumerate(words) if w in names]
-    return any(b - a <= 2 for a, b in zip(at, at[1:], strict=False))
+    at, n, last = 0, 0, -3
+    while at < len(low):
+        to = low.find(" ", at + _PIECE)
+        to = len(low) if to < 0 else to
+        words = _ALPHABETIC.findall(low, at, to)
+        names = SPELLED.keys() & set(words)
+        if names:
+            for k, w in enumerate(words, n):
+                if w in names:
+                    if k - last <= 2:
+                        return True
+                    last = k
+        n, at = n + len(words), to
+    return False
 
 
 def _digit_letters(text: str) -> list[int]:
@@ -192,45 +267,54 @@ def _digit_letters(text: str) -> list[int]:
     return sorted(found)
 
 
+def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of numbers in words."""
+    for m in _SPOKEN.finditer(text):
+        own, before = [], None
+        for p in _SPOKEN_PART.finditer(text, *m.span()):  # what parts the digits goes with the digit before it
+            if before:
+                own.append((before[0], p.start(), before[2]))
+            before = p.start(), p.end(), "+" if p[2] else "." if p[3] else p[4] or SPELLED[p[1].lower()]
+        own.append(before)
+        # words apart from each other must make a number of some kind
+        if _SPOKEN_SIGN.search(m[0]) or _SPOKEN_MIXED.search(m[0]) and detect("+" * (text[m.start() - 1 : m.start()] == "+") + "".join(x for _, _, x in own)):
+            yield from own
+
+
+def _at_words(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of addresses and of parts of ips that at and dot in words join."""
+    spans = [(x[0], x[3]) for x in _worded(text) if _is_address(text, *x)]
+    starts = [a for a, _ in spans]
+    for m in _WORD_IP.finditer(text):
+        k = bisect_right(starts, m.end() - 1) - 1
+        if k < 0 or spans[k][1] <= m.start():
+            spans.append(m.span())
+    for a, b in sorted(spans):
+        yield from ((p.start(), p.end(), "@" if p[1].lower() in ("at", "@") else ".") for p in _WORDS_PART.finditer(text, a, b) if p[1])
+
+
+def _joined(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _JOINED.finditer(text):
+        yield from ((p.start(), p.end(), "@" if p[2].lower() == "at" else ".") for p in _WORDS_PART.finditer(text, *m.span()) if p[2])
+
+
 def normalised(text: str) -> Tape | None:
     """The text without disguises, or None where it shows no sign of one."""
     tape = Tape(text)
     if _may_be_odd(text):
-        tape.rewrite([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
-    if _may_be_spoken(low := tape.text.lower()) and _SPOKEN_SIGN.search(tape.text) or _SPOKEN_MIXED.search(tape.text):
-        edits = []
-        for m in _SPOKEN.finditer(tape.text):
-            own = []
-            parts = list(_SPOKEN_PART.finditer(tape.text, *m.span()))
-            for k, p in enumerate(parts):  # what parts the digits goes with the digit before it
-                end = parts[k + 1].start() if k + 1 < len(parts) else p.end()
-                own.append((p.start(), end, "+" if p[2] else "." if p[3] else p[4] or SPELLED[p[1].lower()]))
-            # words apart from each other must make a number of some kind
-            if _SPOKEN_SIGN.search(m[0]) or _SPOKEN_MIXED.search(m[0]) and detect("+" * (tape.text[m.start() - 1 : m.start()] == "+") + "".join(x for _, _, x in own)):
-                edits += own
-        tape.rewrite(edits)
-        # a digit's span ends with the digit, not with what parts it from the next
-        if edits and tape.ends:
-            for k in range(len(tape.ends) - 1):
-                if tape.ends[k] - tape.starts[k] > 1:
-                    seen = text[tape.starts[k] : tape.ends[k]].rstrip(" ,-")
-                    tape.ends[k] = tape.starts[k] + max(1, len(seen))
+        tape.replace(text.translate(_PLAIN))
+        tape.rewrite((m.start(), m.end(), "") for m in _HIDDEN_RUN.finditer(tape.text))
+    low = tape.text.lower()
+    if _may_be_spoken(low) and _SPOKEN_SIGN.search(tape.text) or _SPOKEN_MIXED.search(tape.text):
+        tape.rewrite(_spoken(tape.text))
     if any(c in low for c in "([{<") and _BRACKET_SIGN.search(tape.text):
-        tape.rewrite([(m.start(), m.end(), "@" if next(filter(None, m.groups())).lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text)])
+        tape.rewrite((m.start(), m.end(), "@" if next(filter(None, m.groups())).lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text))
     if any(x in low for x in (" dot ", " . ", " @ ")) or " at " in low and _AT_NAME.search(low):
-        edits = []
-        for m in _WORDS.finditer(tape.text):
-            if m["at"] and not _is_address(tape.text, m):
-                continue
-            edits += [(p.start(), p.end(), "@" if p[1].lower() in ("at", "@") else ".") for p in _WORDS_PART.finditer(tape.text, *m.span()) if p[1]]
-        tape.rewrite(edits)
+        tape.rewrite(_at_words(tape.text))
     if "_at_" in low or "-at-" in low:
-        edits = []
-        for m in _JOINED.finditer(tape.text):
-            edits += [(p.start(), p.end(), "@" if p[2].lower() == "at" else ".") for p in _WORDS_PART.finditer(tape.text, *m.span()) if p[2]]
-        tape.rewrite(edits)
-    tape.rewrite([(k, k + 1, LETTER_DIGITS[tape.text[k]]) for k in _digit_letters(tape.text)])
-    return tape if tape.starts else None
+        tape.rewrite(_joined(tape.text))
+    tape.rewrite((k, k + 1, LETTER_DIGITS[tape.text[k]]) for k in _digit_letters(tape.text))
+    return tape if tape.changed else None
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -240,13 +324,15 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     tape = normalised(text)
     if tape is None:
         return base, []
+    ends = {kind: ([a for k, a, _ in base if k == kind], [b for k, _, b in base if k == kind]) for kind in KINDS}
     added = []
     for kind, a, b in detect(tape.text):
-        if kind == "email" and not re.search(r"\.[A-Za-z]{2,}$", tape.text[a:b]):
+        if kind == "email" and not _ENDING.search(tape.text, a, b):
             continue
-        span = (kind, tape.starts[a], tape.ends[b - 1])
-        if not any(k == kind and s <= span[1] and span[2] <= e for k, s, e in base):
-            added.append(span)
+        start, end = tape.source(a, b)
+        k = bisect_right(ends[kind][0], start) - 1  # plain spans of a kind are apart: only this one can hold it
+        if k < 0 or ends[kind][1][k] < end:
+            added.append((kind, start, end))
     return base, added
 
 
