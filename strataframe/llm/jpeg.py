@@ -8,7 +8,8 @@ tables are decoded together, a step of numpy for each symbol.
 
 A payload is stored losslessly as such an image: 64 blocks a row, each block's mean one
 byte, a restart interval for each row of blocks. A text too long for one image (8191 rows)
-goes on in further images, one behind the other.
+goes on in further images, one behind the other. Images are coded and decoded some at a time, so a
+long text takes a few times its own size and no more.
 
 Defined results: null text counts as empty (64 bytes 0); equal texts have equal values; rows
 are kept one for one, repeated rows and null doc_id included. Media that isn't baseline JPEG
@@ -19,7 +20,7 @@ decode_thumbnails() and gives nulls in the column operator, as does a null media
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -231,8 +232,20 @@ def _hard_block(bits: _Bits, at: np.ndarray, dc, ac, most: int) -> tuple[np.ndar
     return difference, pos - at
 
 
-def decode_thumbnails(images: list[bytes]) -> list[np.ndarray]:
-    """DC-only luminance thumbnails (uint8, one pixel for each 8x8 block) of baseline JPEGs."""
+def decode_thumbnails(images: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """DC-only luminance thumbnails (uint8, one pixel for each 8x8 block) of baseline JPEGs, some
+    SLICE_BYTES of them decoded together."""
+    some, size = [], 0
+    for image in images:
+        if some and size + len(image) > SLICE_BYTES:
+            yield from _decoded(some)
+            some, size = [], 0
+        some.append(image)
+        size += len(image)
+    yield from _decoded(some)
+
+
+def _decoded(images: list[bytes]) -> list[np.ndarray]:
     frames = [parse(x) for x in images]
     out: list[np.ndarray] = [None] * len(images)
     alike: dict = {}
@@ -354,20 +367,36 @@ def encode_rows(pixels: np.ndarray, rows: np.ndarray) -> list[bytes]:
 
 
 def encode_payloads(payloads: list[np.ndarray]) -> list[list[bytes]]:
-    """Each payload (bytes, a positive multiple of 64) as one or more JPEGs."""
-    runs = [[min(MOST_ROWS, len(p) // WIDE - a) for a in range(0, len(p) // WIDE, MOST_ROWS)] for p in payloads]
-    images = iter(encode_rows(np.concatenate(payloads).reshape(-1, WIDE), np.array([k for r in runs for k in r])))
-    return [[next(images) for _ in r] for r in runs]
+    """Each payload (bytes, a positive multiple of 64) as one or more JPEGs. Rows of one image at most
+    are coded together."""
+    out: list[list[bytes]] = [[] for _ in payloads]
+    some, rows = [], 0
+
+    def code() -> None:
+        pixels = np.concatenate([payloads[k][a:b] for k, a, b in some]).reshape(-1, WIDE)
+        for (k, _, _), image in zip(some, encode_rows(pixels, np.array([(b - a) // WIDE for _, a, b in some])), strict=True):
+            out[k].append(image)
+
+    for k, p in enumerate(payloads):
+        for a in range(0, len(p), MOST_ROWS * WIDE):
+            b = min(a + MOST_ROWS * WIDE, len(p))
+            if some and rows + (b - a) // WIDE > MOST_ROWS:
+                code()
+                some, rows = [], 0
+            some.append((k, a, b))
+            rows += (b - a) // WIDE
+    if some:
+        code()
+    return out
 
 
-def split(media: bytes) -> list[bytes]:
+def split(media: bytes) -> Iterator[bytes]:
     """The JPEGs that stand one behind the other."""
-    out, at = [], 0
+    at = 0
     while at < len(media):
         end = parse(media, at).end
-        out.append(media[at:end])
+        yield media[at:end]
         at = end
-    return out
 
 
 def difference_hash(thumb: np.ndarray) -> str:
@@ -415,9 +444,18 @@ def read_media(media: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFr
 
     def decoded(items: list[bytes | None]) -> list[tuple]:
         try:
-            images = [split(x) if x else [] for x in items]
-            thumbs = iter(decode_thumbnails([i for x in images for i in x]))
-            return [told([next(thumbs) for _ in x]) for x in images]
+            owners: list[int] = []
+
+            def images() -> Iterator[bytes]:
+                for k, x in enumerate(items):
+                    for image in split(x or b""):
+                        owners.append(k)
+                        yield image
+
+            thumbs: list[list[np.ndarray]] = [[] for _ in items]
+            for n, thumb in enumerate(decode_thumbnails(images())):
+                thumbs[owners[n]].append(thumb)
+            return [told(x) for x in thumbs]
         except (ValueError, IndexError, KeyError):
             if len(items) == 1:
                 return [told(None)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ def test_any_bytes_come_back():
     r = np.random.default_rng(0)
     payloads = [r.integers(0, 256, 64 * n, np.uint8) for n in (1, 2, 9, 300)] + [np.full(640, v, np.uint8) for v in (0, 255, 128)] + [np.tile(np.array([0, 255], np.uint8), 640)]
     media = op.encode_payloads(payloads)
-    thumbs = op.decode_thumbnails([x for m in media for x in m])
+    thumbs = list(op.decode_thumbnails([x for m in media for x in m]))
     assert [t.tobytes() for t in thumbs] == [p.tobytes() for p in payloads]
 
 
@@ -35,7 +36,7 @@ def test_long_payloads_go_on_in_further_images(monkeypatch):
     monkeypatch.setattr(op, "MOST_ROWS", 3)
     p = np.arange(64 * 8, dtype=np.uint64).astype(np.uint8)
     (images,) = op.encode_payloads([p])
-    assert len(images) == 3 and op.split(b"".join(images)) == images
+    assert len(images) == 3 and list(op.split(b"".join(images))) == images
     assert b"".join(t.tobytes() for t in op.decode_thumbnails(images)) == p.tobytes()
 
 
@@ -118,3 +119,17 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert sorted((repr(r["doc_id"]), bytes(r["payload"])) for r in got) == sorted((repr(r["doc_id"]), padded(r["text"])) for r in rows)
     assert len({bytes(r["media"]) for r in got if r["doc_id"] in (6, 7)}) == 1
     assert op.store_texts(no_documents).count() == 0
+
+
+def test_memory_of_a_long_text(spark):
+    """Images are coded and decoded some at a time."""
+    p = np.random.default_rng(1).integers(0, 256, 12 << 20, np.uint8)
+    tracemalloc.start()
+    try:
+        (images,) = op.encode_payloads([p])
+        size = 0
+        for t in op.decode_thumbnails(iter(images)):
+            size += t.size
+        assert size == len(p) and tracemalloc.get_traced_memory()[1] < 130 << 20
+    finally:
+        tracemalloc.stop()
