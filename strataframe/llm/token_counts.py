@@ -8,7 +8,11 @@ doesn't depend on what came before. If two neighbours share no such place, the o
 that text is widened fourfold, at last to the whole text, which then is one chunk.
 
 Texts below that length are cut at every such place: the words between ASCII whitespace
-are encoded once for each task's table and their counts summed.
+are encoded once for each task's table and their counts summed. Texts that repeat are cut and encoded
+once; what is cut is read from a table of the different long texts, also where overlaps widen.
+
+Whether a tokenizer parts texts at whitespace is tried at the start (parts_at_blanks()); one that
+doesn't encodes whole texts.
 
 Defined results: null text counts as empty and has 0 tokens; one row per row of docs, repeated
 rows and null doc_id included; columns other than doc_id and the text are not looked at.
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import discard, made_folders
 from .common import Words, mapped, materialize, slices, table
 
 #: Longer texts (code points) are cut into chunks.
@@ -48,6 +53,29 @@ def _tokenizer(path: str):
     return t
 
 
+#: Words of letters, digits, marks, contractions and other scripts that are tried beside each other.
+_PROBES = ("hello", "a", "I", "42", "it's", "'s", "é", "e\u0301", "\u0301", "日本", "ﬁ", "…", "--", "x_y", "<|endoftext|>", "\u00a0", "\U0001f600")
+
+
+def parts_at_blanks(path: str) -> bool:
+    """Whether the tokens of two words with ASCII whitespace between are those of each word."""
+    encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer = _tokenizer(path)
+    own = {w: encode(w) for w in _PROBES}
+    gaps = [*sorted(BLANK), "  ", "\r\n", " \t "]
+    return all(encode(a + gap + b) == own[a] + own[b] for gap in gaps for a in _PROBES for b in _PROBES) and all(encode(gap + a + gap) == own[a] for gap in gaps for a in _PROBES)
+
+
+def _whole(path: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        for batch in batches:
+            n = [len(tokenizer.encode(t.as_py(), add_special_tokens=False)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=names)
+
+    return run
+
+
 def _short(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = _tokenizer(path), {}
@@ -134,19 +162,24 @@ def _spliced(chunks: DataFrame) -> DataFrame:
 
 def count_long(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """texts: key, text; rows of a key have one text. Returns key, n_tokens, one row a key."""
+    before = made_folders()
+    texts = materialize(texts.groupBy("key").agg(F.first("text").alias("text")), "long-texts")
     done, left = None, texts
     while True:
         cut = mapped(left, _cut(chunk, overlap), "key string, i long, start long, is_last boolean, chunk string")
         made = mapped(cut.repartition(F.col("key"), F.col("i")), _encode(path, overlap), "key string, i long, is_last boolean, n long, head array<long>, head_k array<long>, tail array<long>, tail_k array<long>")
-        got = materialize(_spliced(made.dropDuplicates(["key", "i"])), "token-splices")
+        got = materialize(_spliced(made), "token-splices")
         settled = got.filter(F.col("n_tokens").isNotNull())
         done = settled if done is None else done.unionByName(settled)
         failed = got.filter(F.col("n_tokens").isNull())
         if failed.isEmpty():
-            return done
+            break
         left = texts.join(failed.select("key"), "key", "left_semi")
         overlap *= 4
         chunk = max(chunk, 4 * overlap)
+    done = materialize(done, "long-counts")
+    discard(texts.sparkSession, before, done)
+    return done
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -157,8 +190,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, long: int = LON
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("n_bytes", F.octet_length("text").cast("long"))
     is_long = F.length("text") > long
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    short = mapped(texts.filter(~is_long), _short(path, ["doc_id", "n_bytes", "n_tokens"]), f"doc_id {id_type}, n_bytes long, n_tokens long")
+    names = ["doc_id", "n_bytes", "n_tokens"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
+    if not parts_at_blanks(path):
+        return mapped(texts, _whole(path, names), schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    short = mapped(texts.filter(~is_long), _short(path, names), schema)
     rest = texts.filter(is_long).withColumn("key", F.concat_ws("-", F.md5("text"), F.col("n_bytes")))
     counted = count_long(rest.select("key", "text"), path, chunk, overlap)
     rest = rest.select("doc_id", "n_bytes", "key").join(counted, "key").select("doc_id", "n_bytes", "n_tokens")

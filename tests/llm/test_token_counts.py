@@ -39,3 +39,25 @@ def test_overlap_widens_where_nothing_aligns(spark):
 
 def test_no_documents(spark, no_documents):
     assert op.count_tokens(no_documents, PATH).count() == 0
+
+
+def test_repeated_long_texts_are_cut_once(spark, monkeypatch):
+    text = "some words of a long text " * 300
+    docs = spark.createDataFrame([(k, text) for k in range(50)] + [(99, text + "x")], "doc_id long, text string")
+    kept = []
+    monkeypatch.setattr(op, "materialize", lambda df, label: kept.append((label, real(df, label))) or kept[-1][1])
+    monkeypatch.setattr(op, "discard", lambda *x: None)
+    got = {r["doc_id"]: r["n_tokens"] for r in op.count_tokens(docs, PATH, long=1_000, chunk=2_000, overlap=64).collect()}
+    assert [got[0], got[99]] == whole([text, text + "x"]) and len(set(got.values()) - {got[99]}) == 1
+    assert dict(kept)["long-texts"].count() == 2
+
+
+real = op.materialize
+
+
+def test_a_tokenizer_that_keeps_blanks_encodes_whole_texts(spark, odd_documents):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert op.parts_at_blanks(PATH) and not op.parts_at_blanks(other)
+    t = op._tokenizer(other)
+    want = sorted(((r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd_documents.collect()), key=repr)
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in op.count_tokens(odd_documents, other, long=100).collect()), key=repr) == want
