@@ -2,7 +2,8 @@
 
 If no piece of the vocabulary holds a whitespace marker after another character, no merge
 can cross from a word into the next marker. So a text falls into marked words, each a run of
-markers and the characters up to the next run, that the model segments independently. A task
+markers and the characters up to the next run, that the model segments independently. A marker that
+is written in a text counts as the space that it stands for. A task
 collects the distinct marked words of a slice of texts, segments each once, and joins ids and
 decoded text back by position through the dictionary's indices.
 
@@ -43,6 +44,8 @@ class ChunkTable:
         self.splits = all(MARK not in p.lstrip(MARK) for p in pieces)
         #: The table needs plain text before the segmentation: nothing but the marker changes.
         self.splits &= sp.normalize("A  bÉ① ") == f"{MARK}A{MARK}{MARK}bÉ①{MARK}"
+        #: A marker that is written in a text reads as a space does.
+        self.splits &= sp.normalize(f"{MARK}a{MARK}{MARK} b{MARK}") == sp.normalize(" a   b ")
         self.lone = [sp.piece_to_id(MARK)]
         self.before = sp.encode("a")
         self.skip = len(sp.decode(self.before))
@@ -74,11 +77,24 @@ def _marked(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, np.searchsorted(starts, rows)
 
 
+def _spaced(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a space in place of each marker that is written in them."""
+    a, b, c = MARK.encode()
+    hit = np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c))
+    data = data.copy()
+    data[hit] = 0x20
+    keep = np.ones(len(data), bool)
+    keep[hit + 1] = keep[hit + 2] = False
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[rows]
+
+
 def encoded(batch: pa.RecordBatch, text: str, chunks: ChunkTable) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes], list[bytes]]]:
     """For slices of a batch: per row the number of ids, the ids as "1,2,3", the decoded UTF-8."""
     for part, data, rows in slices(batch, text):
         texts = data.tobytes()
-        if not chunks.splits or MARK.encode() in texts:  # a marker written in the text, or a model that the table doesn't fit
+        if chunks.splits and MARK.encode() in texts:
+            data, rows = _spaced(data, rows)
+        if not chunks.splits:  # a model that the table doesn't fit
             whole = [texts[a:b].decode() for a, b in zip(rows[:-1], rows[1:], strict=True)]
             ids = chunks.sp.encode(whole, num_threads=1)
             yield part, [len(x) for x in ids], [",".join(map(str, x)).encode() for x in ids], [chunks.sp.decode(x).encode() if x else b"" for x in ids]
