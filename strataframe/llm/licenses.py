@@ -9,6 +9,8 @@ collide with probability 1 - 0.55**BANDS, over 0.9999994.
 A band's minima can be equal only where the window holds the shingle that is the template's
 minimum. So windows are made only around such shingles (GATE: at most BANDS for each template):
 no other window can collide, and texts without any are done after one pass over their shingles.
+Gates are a hashed table within the plan, so a shingle's lookup costs the same with any number of
+templates; those are given by the driver, so they fit there.
 
 Defined results: words are runs of characters other than ASCII blanks, controls and
 punctuation, A-Z in lower case; a template shorter than a shingle is one shingle of its own
@@ -19,23 +21,22 @@ place. Other columns aren't looked at.
 
 from __future__ import annotations
 
+import json
 import re
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import TEXTS
 
 SHINGLE = 5
 #: Share of a template's distinct shingles that a window holds, in hundredths.
 CONTAINED = 80
 BANDS = 24
-#: Words of all templates at most: their shingles travel with the plan.
-MOST_WORDS = 200_000
 
 # Notices and grants as the licenses word them.
-TEMPLATES = {
+NOTICES = {
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -49,6 +50,7 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "all-rights-reserved": ("All rights reserved.",),
 }
+TEMPLATES = {name: (*NOTICES.get(name, ()), *TEXTS.get(name, ())) for name in [*NOTICES, *(x for x in TEXTS if x not in NOTICES)]}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,11 +60,18 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _APART), lambda w: w != "")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value bound by a lambda: no rewrite of the plan makes it more than once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _hashed(words: Column, width: int) -> Column:
+    """The hashes of the shingles of a list of words in order."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, width))))
+
+
 def _shingles(text: Column, width: int) -> Column:
-    """The hashes of a text's shingles in order. The words are bound by a lambda, so that no
-    rewrite of the plan splits the text more than once."""
-    hashes = lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (width - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *(F.get(ws, i + k) for k in range(1, width))))
-    return F.get(F.transform(F.array(_words(text)), hashes), F.lit(0))
+    return _bound(_words(text), lambda ws: _hashed(ws, width))
 
 
 def _minima(shingles: Column) -> Column:
@@ -81,8 +90,8 @@ def _plain_words(text: str) -> list[str]:
 def _indexed(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """license, part, words, width, shingles, minima, gate of every template, made as for texts."""
     rows = [(name, k, len(_plain_words(t)), t) for name, ts in templates.items() for k, t in enumerate(ts)]
-    if not all(n for _, _, n, _ in rows) or sum(n for _, _, n, _ in rows) > MOST_WORDS:
-        raise ValueError(f"templates need words, and {MOST_WORDS} of them at most")
+    if not all(n for _, _, n, _ in rows):
+        raise ValueError("templates need words")
     out = None
     for width in sorted({min(SHINGLE, n) for _, _, n, _ in rows}):
         items = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(k).alias("part"), F.lit(n).alias("words"), F.lit(t).alias("text")) for name, k, n, t in rows if min(SHINGLE, n) == width))
@@ -99,13 +108,34 @@ def _window(words: int, width: int) -> tuple[int, int]:
     return stride, words + stride - 1 - width + 1
 
 
-def _around(words: int, width: int, gate: Column) -> Column:
-    """The windows for templates of so many words that cover a hit of their gate."""
-    stride, size = _window(words, width)
-    mine = F.filter("hits", lambda p: F.array_contains(gate, p["x"]))
-    around = F.transform(mine, lambda p: F.sequence(F.ceil(F.greatest(p["i"] - (size - 1), F.lit(0)) / stride).cast("int"), F.floor(p["i"] / stride).cast("int")))
-    window = lambda j: F.struct(F.lit(words).alias("words"), (j * stride).alias("at"), F.array_distinct(F.slice("h", j * stride + 1, F.lit(size))).alias("w"))
-    return F.transform(F.array_distinct(F.flatten(around)), window)
+def _constant(value, schema: str) -> Column:
+    """A constant of nested lists, folded once when the plan is made."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def _windows(h: Column, width: int, gates: list[tuple[int, int]]) -> Column:
+    """The windows (width, words, at, w: its distinct shingles) of a text's shingles that hold one of
+    gates (shingle, words of its template)."""
+    size = 1 << max(1, len(gates)).bit_length()
+    place = lambda x: x.bitwiseAND(F.lit(size - 1)).cast("int")
+    slots: list[list[dict]] = [[] for _ in range(size)]
+    for x, words in gates:
+        slots[x & (size - 1)].append({"x": x, "words": words})
+    any_gate = _constant(sorted({x for x, _ in gates}), "array<bigint>")
+    known = _constant([sorted({e["x"] for e in slot}) for slot in slots], "array<array<bigint>>")
+    entries = _constant(slots, "array<array<struct<x: bigint, words: int>>>")
+
+    def around(i: Column, words: Column) -> Column:
+        stride = F.greatest(F.lit(1), F.floor(words / 2).cast("int"))
+        length = words + stride - width
+        first = F.ceil(F.greatest(i - (length - 1), F.lit(0)) / stride).cast("int")
+        return F.transform(F.sequence(first, F.floor(i / stride).cast("int")), lambda j: F.struct(words.alias("words"), (j * stride).alias("at"), length.alias("length")))
+
+    hits = F.filter(F.transform(h, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains(F.get(known, place(p["x"])), p["x"]))
+    mine = lambda p: F.filter(F.get(entries, place(p["x"])), lambda e: e["x"] == p["x"])
+    places = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.flatten(F.transform(mine(p), lambda e: around(p["i"], e["words"]))))))
+    window = lambda v: F.struct(F.lit(width).alias("width"), v["words"].alias("words"), v["at"].alias("at"), F.array_distinct(F.slice(h, v["at"] + 1, v["length"])).alias("w"))
+    return F.when(F.arrays_overlap(h, any_gate), F.transform(places, window)).otherwise(F.array().cast("array<struct<width: int, words: int, at: int, w: array<bigint>>>"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, text: str = "text") -> DataFrame:
@@ -113,20 +143,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     first_word (where the first such window begins, in words) of docs (doc_id, text)."""
     spark = docs.sparkSession
     known = _indexed(spark, templates or TEMPLATES)
-    classes = defaultdict(set)
+    gates: dict[int, set] = {}
     for words, width, gate in known.select("words", "width", "gate").collect():
-        classes[words, width] |= set(gate)
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in sorted(values)))
-    found = None
-    for width in sorted({w for _, w in classes}):
-        own = {words: gate for (words, w), gate in classes.items() if w == width}
-        all_gates = longs(set().union(*own.values()))
-        made = docs.select("doc_id", _shingles(F.coalesce(F.col(text), F.lit("")), width).alias("h")).filter(F.arrays_overlap("h", all_gates))
-        hits = F.filter(F.transform("h", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains(all_gates, p["x"]))
-        made = made.withColumn("hits", hits)
-        per_class = [_around(words, width, longs(gate)) for words, gate in sorted(own.items())]
-        windows = made.select("doc_id", F.explode(F.concat(*per_class)).alias("v")).select("doc_id", F.lit(width).alias("width"), "v.*")
-        found = windows if found is None else found.unionByName(windows)
+        gates.setdefault(width, set()).update((x, words) for x in gate)
+
+    def windows_of(words: Column, width: int) -> Column:
+        return _bound(_hashed(words, width), lambda h: _windows(h, width, sorted(gates[width])))
+
+    def all_windows(words: Column) -> Column:
+        return F.concat(*(windows_of(words, width) for width in sorted(gates)))
+
+    found = docs.select("doc_id", F.explode(_bound(_words(F.coalesce(F.col(text), F.lit(""))), all_windows)).alias("v")).select("doc_id", "v.*")
     bands = found.select("doc_id", "width", "words", "at", "w", F.posexplode(_minima(F.col("w"))).alias("band", "least"))
     keys = known.select("width", "words", "license", "part", F.posexplode("minima").alias("band", "least"))
     retrieved = bands.join(F.broadcast(keys), ["width", "words", "band", "least"]).select("doc_id", "license", "part", "at", "w").distinct()

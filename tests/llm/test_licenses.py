@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import random
 
 from strataframe.llm import licenses as op
@@ -44,3 +46,23 @@ def test_odd_rows(spark, odd_documents, no_documents):
     got = {(r["doc_id"], r["license"]) for r in op.scan_licenses(odd_documents).collect()}
     assert got == {(9, "CC-BY-NC-4.0"), (9, "all-rights-reserved")}
     assert op.scan_licenses(no_documents).count() == 0
+
+
+def test_documents_are_read_once(spark, sf_dir):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        op.op4_license_scan(spark, sf_dir).explain("simple")
+    assert out.getvalue().count("documents.parquet") == 1
+
+
+def test_many_templates(spark):
+    r = random.Random(5)
+    own = {f"l{k}": (" ".join(f"t{r.randrange(10**6)}" for _ in range(r.randrange(3, 90))),) for k in range(400)}
+    texts = [f"{own[f'l{k}'][0]} and more" if k % 2 else f"more {own[f'l{k}'][0]}" for k in range(0, 400, 7)]
+    assert {(k, f"l{7 * k}") for k in range(len(texts))} == set(found(spark, texts, templates=own))
+
+
+def test_a_very_long_text(spark):
+    filler = " ".join(f"w{k}" for k in range(150_000))
+    got = found(spark, [f"{filler} {op.TEXTS['Zlib'][0]} {filler}"])
+    assert (0, "Zlib") in got and 150_000 - 200 < got[0, "Zlib"]["first_word"] <= 150_000
