@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct buckets of its words, pairs of neighbours and pairs with one
-or two words between. A bounded sample of labelled rows (SAMPLE, those of the smallest hashes)
+or two words between. A bounded sample of labelled rows (SAMPLE, those of the smallest hashes, and SAMPLE_FEATURES, so that long texts stay bounded too)
 teaches the model in one task: each coordinate has its own rate, and the L1 term keeps all but
 some hundred weights at zero; a fifth of it sets the scores' slope and bias. The weights that are left go to every task with the function
 that scores, at most BUCKETS of them; a text's score needs a look at each of its features only.
@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, made_folders
 from .common import Words, crc32_of, lowered, mapped, materialize, mixed, slices, table, word_hashes
 
 #: Labelled rows that teach the model, at most.
 SAMPLE = 16_000
+#: Features of the rows that teach it, at most (256 MB): rows in the order of their hashes, up to this sum.
+SAMPLE_FEATURES = 1 << 26
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 #: Words between the two of a pair, from none.
@@ -146,16 +149,23 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     return made.agg(F.min_by("features", F.struct(F.octet_length("features"), F.xxhash64("features"))).alias("features"))
 
 
-def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """The weights, learned in one task from the bounded sample; only those other than zero leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(f.as_buffer(), np.uint32), t.as_py()) for b in batches for f, t in zip(b.column("features"), b.column("toxic"), strict=True)]
+        rows, left = [], features
+        for batch in batches:
+            for buckets, label in zip(batch.column("features"), batch.column("toxic"), strict=True):
+                left -= len(buckets.as_buffer()) // 4
+                if left >= 0:
+                    rows.append((np.frombuffer(buckets.as_py(), np.uint32), label.as_py()))
         at, w = trained(rows)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "w"])
 
     rows = labelled_features(docs, labels, sample).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("features"))
+    before = made_folders()
     got = materialize(mapped(rows, run, "at long, w double"), "toxicity-weights").toPandas()
+    discard(docs.sparkSession, before)
     return got["at"].to_numpy(), got["w"].to_numpy()
 
 

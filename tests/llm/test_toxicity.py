@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import xxhash
 
 from strataframe.llm import toxicity as op
 
@@ -63,3 +66,72 @@ def test_odd_rows(spark, odd_documents, no_documents, labels):
     assert op.score(no_documents, model).count() == 0
     none = op.model_of(odd_documents, labels.limit(0))
     assert len(none[0]) == 0 and {r["score"] for r in op.score(odd_documents, none).collect()} == {0.0}
+
+
+def plain_features(text):
+    """The buckets of a text, one word, pair and skip-pair at a time."""
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    h, mask, out = [xxhash.xxh64_intdigest(w.encode()) for w in words], 2**64 - 1, set()
+
+    def spread(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    out.update(x >> 64 - op.BUCKET_BITS for x in h)
+    for skip in op.SKIPS:
+        out.update(spread(h[k] * (0x9E3779B97F4A7C15 + 2 * skip) + h[k + skip + 1] & mask) >> 64 - op.BUCKET_BITS for k in range(len(h) - skip - 1))
+    return sorted(out)
+
+
+def plain_ftrl(rows, order):
+    """FTRL-proximal as published: one coordinate at a time, in a dictionary."""
+    z, n, w = {}, {}, {}
+    for k in order:
+        features, label = rows[k]
+        at = [*features, op.BUCKETS]
+        for i in at:
+            zi, l1 = z.get(i, 0.0), 0.0 if i == op.BUCKETS else op.L1
+            w[i] = 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((op.BETA + math.sqrt(n.get(i, 0.0))) / op.ALPHA + op.L2)
+        g = 1 / (1 + math.exp(-sum(w[i] for i in at))) - label
+        for i in at:
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / op.ALPHA
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: -(zi - math.copysign(l1, zi)) / ((op.BETA + math.sqrt(n[i])) / op.ALPHA + op.L2) for i, zi in z.items() if abs(zi) > (l1 := 0.0 if i == op.BUCKETS else op.L1)}
+
+
+def test_features_and_weights_equal_brute_force():
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["Ab", "cd,", "ef", "Gü", "h1", "ij!"]) for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    data = [t.encode() for t in texts]
+    lists = op.feature_lists(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert [x.tolist() for x in lists] == [plain_features(t) for t in texts]
+    rows = [(x, int("ef ij" in t or "Gü" in t[:4])) for x, t in zip(lists, texts, strict=True)]
+    learned = [x for k, x in enumerate(rows) if k % op.CALIBRATED]
+    order = np.random.Generator(np.random.PCG64(5))
+    want = plain_ftrl([(x.tolist(), y) for x, y in learned], [k for _ in range(op.EPOCHS) for k in order.permutation(len(learned))])
+    at, w = op.trained(rows)
+    some = [k for k in at.tolist() if k != op.BUCKETS]
+    assert some and some == sorted(k for k in want if k != op.BUCKETS)
+    slope = w[0] / want[some[0]]
+    assert np.allclose(w[: len(some)], [slope * want[k] for k in some], rtol=1e-6)
+
+
+def test_query_has_every_document_and_its_score(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    at, w = op.model_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    weights = dict(zip(at.tolist(), w.tolist(), strict=True))
+    got = op.op5_toxicity(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs) and got[0].__fields__[:4] == ["doc_id", "held_out", "score", "predicted"]
+    for r in got:
+        total = weights.get(op.BUCKETS, 0.0) + sum(weights.get(k, 0.0) for k in plain_features(docs[r["doc_id"]] or ""))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_features_of_the_sample_are_bounded(spark):
+    docs, labels = corpus(spark, 300)
+    assert len(op.model_of(docs, labels, features=3)[0]) == 0  # no row fits
+    few, all_ = op.model_of(docs, labels, features=20_000), op.model_of(docs, labels)
+    assert 0 < len(few[0]) and few[1].tolist() != all_[1].tolist()
