@@ -7,7 +7,8 @@ list leaves as one ordered Spark conditional expression, so it is applied inside
 
 Defined results: null text has no words and fails the base rules; rows are kept one for one,
 repeated rows and null doc_id included; without labels the list is empty and only the base
-rules reject. A doc_id with several labels counts as so many rows of the sample.
+rules reject. A doc_id with several labels counts as so many rows of the sample; equal labels of one
+doc_id teach once, by the text of the smallest counts where it has several texts.
 """
 
 from __future__ import annotations
@@ -259,8 +260,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Ru
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality").orderBy(*order).limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    made = with_statistics(rows, ["doc_id", "quality"]).filter(~base_failed()).orderBy(*order, *COUNTS).limit(2 * sample)
-    got = made.select("doc_id", F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *(feature(f).alias(f"f_{f}") for f in FEATURES)).toPandas()
+    made = with_statistics(rows, ["doc_id", "quality"]).filter(~base_failed())
+    once = made.groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("x")).select("doc_id", "quality", "x.*").orderBy(*order)
+    got = once.select("doc_id", F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *(feature(f).alias(f"f_{f}") for f in FEATURES)).toPandas()
     x = {f: got[f"f_{f}"].to_numpy() for f in FEATURES}
     return learn(x, got["quality"].to_numpy() == 0, got["fold"].to_numpy() == 0)
 

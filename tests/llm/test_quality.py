@@ -36,12 +36,28 @@ def test_query_equals_brute_force(spark, sf_dir):
     check(rows, texts)
 
 
-def test_learned_list_agrees_with_labels(spark):
-    at = "/root/testdata/sf0.1"
-    labels = {r["doc_id"]: r["quality"] for r in table(spark, at, "labels").collect()}
-    got = [(r["kept"], labels[r["doc_id"]]) for r in op.op9_quality_rules(spark, at).collect() if r["doc_id"] in labels and not r["base_failed"]]
+def test_learned_list_agrees_with_labels_it_has_not_seen(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
+    held = op.F.pmod(op.F.crc32(op.F.col("doc_id").cast("string").cast("binary")), op.F.lit(5)) == 0
+    truth = {r["doc_id"]: r["quality"] for r in labels.filter(held).collect()}
+    got = [(r["kept"], truth[r["doc_id"]]) for r in op.judged(docs, labels.filter(~held), ["doc_id"]).collect() if r["doc_id"] in truth and not r["base_failed"]]
     good, bad = [k for k, y in got if y == 1], [k for k, y in got if y == 0]
-    assert np.mean(good) > 0.995 and np.mean(bad) < 0.05
+    assert len(good) > 200 and len(bad) > 10
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+
+
+def test_one_text_teaches_for_each_label(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, long + " more" * k) for k in range(6)] + [(2, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    seen = []
+    real = op.learn
+    try:
+        op.learn = lambda x, bad, fold: seen.append(bad.tolist()) or real(x, bad, fold)
+        op.learned(docs, labels)
+    finally:
+        op.learn = real
+    assert sorted(seen[0]) == [False, False, True]
 
 
 def test_repeats_overlap_and_stop_at_texts(spark):
