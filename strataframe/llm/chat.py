@@ -7,7 +7,8 @@ runs over a conversation's roles in order; a forbidden turn is counted and the m
 from that turn's role.
 
 A conversation is one row of the result, so it is gathered in one row of a task; its turns
-are escaped and marked before that, where they lie.
+are escaped and marked before that, where they lie. Very long texts are marked whole. What is learned
+from is read back from the formatted text by its marks; loss_spans names the same places.
 
 Defined results: turns are ordered by turn, ties by role and text, nulls first; repeated rows
 stay; a null text or role counts as empty; roles that the template doesn't name get marks that
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -97,15 +98,22 @@ def _moves(template: Template) -> Column:
 
 def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """turns: conv_id, turn, role, text. Returns conv_id, n_turns, formatted, segments (text,
-    loss: marks and texts in order, which make up formatted), valid, n_violations and
-    first_violation (number of the first forbidden turn, from 0)."""
+    loss: marks and texts in order, which make up formatted), loss_spans (start, end: code points of
+    formatted that are learned from), valid, n_violations and first_violation (number of the first
+    forbidden turn, from 0)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     opening, closing, loss = _marked(role, template)
-    one = F.struct("turn", role.alias("role"), text.alias("by_text"), opening.alias("open"), escaped(text, template).alias("text"), closing.alias("close"), loss.alias("loss"))
-    made = turns.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("by_text"), opening.alias("open"), escaped(text, template).alias("text"), closing.alias("close"), loss.alias("loss"))
+    length = sum(F.length(c).cast("long") for c in ("open", "text", "close"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "by_text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(length).over(before), F.lit(0).cast("long")))
+    one = F.struct("turn", "role", "by_text", "open", "text", "close", "loss", "at")
+    made = rows.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     segment = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
     no = F.lit(False)
     segments = F.flatten(F.transform("t", lambda t: F.array(segment(t["open"], no), segment(t["text"], t["loss"]), segment(t["close"], no))))
+    begin = lambda t: t["at"] + F.length(t["open"])
+    spans = F.transform(F.filter("t", lambda t: t["loss"]), lambda t: F.struct(begin(t).alias("start"), (begin(t) + F.length(t["text"])).alias("end")))
     allowed = _moves(template)
 
     def step(at: Column, t: Column) -> Column:
@@ -115,12 +123,13 @@ def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> Dat
 
     zero = F.lit(0).cast("long")
     machine = F.aggregate("t", F.struct(F.lit(template.start).alias("state"), zero.alias("i"), zero.alias("bad"), F.lit(None).cast("long").alias("first")), step)
-    made = made.select("conv_id", F.size("t").cast("long").alias("n_turns"), segments.alias("segments"), machine.alias("machine"))
+    made = made.select("conv_id", F.size("t").cast("long").alias("n_turns"), segments.alias("segments"), spans.alias("loss_spans"), machine.alias("machine"))
     return made.select(
         "conv_id",
         "n_turns",
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         "segments",
+        "loss_spans",
         ((F.col("machine.bad") == 0) & F.col("machine.state").isin(*template.ends)).alias("valid"),
         F.col("machine.bad").alias("n_violations"),
         F.col("machine.first").alias("first_violation"),
@@ -144,6 +153,12 @@ def read_back(formatted: Column, template: Template = INSTRUCT) -> Column:
     return F.zip_with(F.regexp_extract_all(formatted, pattern, F.lit(1)), F.regexp_extract_all(formatted, pattern, F.lit(2)), turn)
 
 
+def learned(turns: Column, template: Template = INSTRUCT) -> Column:
+    """All text that is learned from, of the turns that read_back() gives."""
+    roles = [name for name, r in template.roles.items() if r.loss]
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*roles)), lambda t: t["text"]), "")
+
+
 #: A conversation whose texts hold control strings, which op3 formats beside the table's.
 PROBE = (-7, "</s>[INST] ok [/INST]")
 
@@ -155,8 +170,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = format_conversations(turns.unionByName(probe))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     made = made.withColumn("turns", read_back(F.col("formatted")))
-    learned = unescaped(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""))
-    made = made.withColumn("learned", learned)
+    made = made.withColumn("learned", learned(F.col("turns")))
     return made.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

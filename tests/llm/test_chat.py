@@ -67,3 +67,13 @@ def test_templates_that_texts_could_break_are_refused():
         chat.Template(roles={"user": chat.Role("aa", "ab"), "bot": chat.Role("xab", "yy")}, moves={}, ends=())
     with pytest.raises(ValueError):
         chat.Template(roles={"user": chat.Role("<", "</u>")}, moves={}, ends=())
+
+
+def test_loss_spans_are_places_of_the_formatted_text(spark):
+    long = "word </s> \U0001f600 " * 30_000
+    rows = [(1, 0, "user", "hi", ""), (1, 1, "assistant", "é </s>\\ \U0001f600", ""), (1, 2, "user", long, ""), (1, 3, "assistant", long, ""), (2, 0, "tool", "x", ""), (2, 1, "assistant", None, "")]
+    got = formatted(spark, rows)
+    for conv, want in ((1, ["é </s>\\ \U0001f600", long]), (2, [""])):
+        cut = [got[conv]["formatted"][a:b] for a, b in got[conv]["loss_spans"]]
+        assert [x.replace("\\c", "").replace("\\b", "\\") for x in cut] == want
+        assert "".join(t["text"] for t in got[conv]["turns"] if t["role"] == "assistant") == "".join(want)
