@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import tracemalloc
 import re
 
 import pytest
@@ -124,10 +126,32 @@ def test_clean_texts_have_no_spans(text):
 
 
 def test_long_runs_stay_linear():
+    mb = 1 << 20
+    for text in ("a dot " * (mb // 6), "1 dot " * (mb // 6), "x at " + "a dot " * (mb // 6), "a at b " * (mb // 7), "a@b.com " * (mb // 8) + " j at x dot com", "one two three " * (mb // 14), "l l l 1 " * (mb // 8), "a_at_b_dot_c " * (mb // 13), "( at ) " * (mb // 7), "аео " * (mb // 7)):
+        began = time.process_time()
+        op.find(text)
+        assert time.process_time() - began < 8
     for text in ("a" * 200_000, "1" * 200_000, "a." * 100_000, "1 " * 100_000, "@" * 100_000, "+1" * 100_000, "a@" * 100_000):
         op.find(text)
 
 
+def test_a_long_text_with_one_disguise_costs_little_more_than_itself():
+    text = "plain words and more of them here. " * (8 << 20 >> 5)
+    text = f"{text[:999]}\u00a0{text[999:]} jane at mail dot shop"
+    tracemalloc.start()
+    try:
+        base, added = op.find(text)
+        assert not base and [text[a:b] for _, a, b in added] == ["jane at mail dot shop"]
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+def test_spans_through_several_edits():
+    text = "x\u200by \u00ad jаne dot r\u200boe at mail dot com, plus four nine three zero one two three four five six and then 1 dot 2 dot 3 dot 4 end"
+    assert [text[a:b] for _, a, b in op.find(text)[1]] == ["jаne dot r\u200boe at mail dot com", "1 dot 2 dot 3 dot 4", "plus four nine three zero one two three four five six"]
+
+
 def test_query_digests(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = op.op6_pii(spark, sf_dir).collect()
