@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm import mixing, neardup, pii, quality, sentencepieces
 from strataframe.llm.common import materialize, table
+from strataframe.sources.scratch import discard, made_folders
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -59,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), made_folders()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, before, docs)  # what the stage wrote for itself, and its input
     return docs
