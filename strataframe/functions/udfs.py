@@ -29,13 +29,13 @@ def geometric_mean(x: pd.Series) -> float:
 
 def demeaned(frame: pd.DataFrame) -> pd.DataFrame:
     """For applyInPandas: the group's rows with their distance from the group's mean."""
-    return frame.assign(distance=frame["c_acctbal"] - frame["c_acctbal"].mean())[["c_custkey", "distance"]]
+    return frame.assign(distance=frame["o_totalprice"] - frame["o_totalprice"].mean())[["o_orderkey", "distance"]]
 
 
 def matched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """For cogroup: how many rows both sides have of a key."""
     key = (left if len(left) else right).iloc[0, 0]
-    return pd.DataFrame({"nation": [key], "customers": [len(left)], "suppliers": [len(right)]})
+    return pd.DataFrame({"customer": [key], "orders": [len(left)], "known": [len(right)]})
 
 
 def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +69,12 @@ def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a6_bucketed_table", "SELECT o_custkey, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey")
 def bucketed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides are bucketed by the join key, so join and grouping need no exchange."""
+    """Both sides are bucketed by the join key, so join and grouping need no exchange. The tables stay,
+    one pair for each input, and are written anew when the query runs again."""
     names = {}
     for source, key in (("orders", "o_custkey"), ("customer", "c_custkey")):
-        at = shared_folder(spark, f"bucketed-{source}")
-        names[source] = f"{source}_{at[-12:]}"
-        table(spark, sf_dir, source).select(key).write.option("path", at).bucketBy(8, key).sortBy(key).saveAsTable(names[source])
+        names[source] = f"{source}_by_customer_{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
+        table(spark, sf_dir, source).select(key).write.mode("overwrite").bucketBy(8, key).sortBy(key).saveAsTable(names[source])
     orders, customer = (spark.table(names[x]) for x in ("orders", "customer"))
     joined = orders.hint("merge").join(customer, orders.o_custkey == customer.c_custkey)
     return joined.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))

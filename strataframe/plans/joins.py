@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.antijoin import not_in
 from ..operators.asof import asof_join
 from ..operators.ranges import band_join, interval_join
 from ..operators.salting import salted_join
@@ -30,7 +31,14 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
-register_sql("c4_null_aware_anti_join", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT CASE WHEN c_acctbal > 9900 THEN c_nationkey ELSE -1 END FROM customer)")
+
+
+@register("c4_null_aware_anti_join", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT CASE WHEN c_acctbal > 9900 THEN c_nationkey ELSE -1 END FROM customer)")
+def null_aware_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 9900, F.col("c_nationkey")).otherwise(-1).alias("k"))
+    return not_in(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", rich).select("s_suppkey")
+
+
 register_sql("c5_theta_join", "SELECT s_suppkey, r_regionkey FROM supplier JOIN region ON s_nationkey > r_regionkey * 5 AND s_acctbal > 1000 * r_regionkey")
 register_sql("c5_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 
@@ -61,11 +69,11 @@ def _seconds(c: str):
     """,
 )
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each purchase with its user's latest view."""
+    """Each purchase with its user's latest view; a user's days are apart, so one of many events is many tasks' work."""
     events = table(spark, sf_dir, "events")
     purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.filter("event_type = 'view'").select("event_id", "user_id", "ts", "value")
-    return asof_join(purchases, views, ["user_id"], "ts", prefix="last_", tie="event_id").select("event_id", "user_id", "ts", "last_event_id", "last_value")
+    return asof_join(purchases, views, ["user_id"], "ts", prefix="last_", tie="event_id", span=lambda t: F.unix_date(F.to_date(t))).select("event_id", "user_id", "ts", "last_event_id", "last_value")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.antijoin import not_in
 from ..sources.tables import table
 from .registry import register, register_sql
 
@@ -59,8 +60,19 @@ register_sql("b5_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1
 register_sql("b5_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 register_sql("b5_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1.9 * (SELECT avg(o_totalprice) FROM orders)")
 register_sql("b5_correlated_subquery", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE l_quantity < (SELECT 0.2 * avg(m.l_quantity) FROM lineitem m WHERE m.l_partkey = l.l_partkey)")
-register_sql("b6_not_in_with_null", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
-register_sql("b6_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+
+
+@register("b6_not_in_with_null", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
+def not_in_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordering = table(spark, sf_dir, "orders").select(F.nullif(F.col("o_custkey"), F.lit(1)).alias("k"))
+    return not_in(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", ordering)
+
+
+@register("b6_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def not_in_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_in(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_partkey"))
+
+
 register_sql(
     "b7_casts",
     "SELECT o_orderkey, CAST(o_totalprice AS INT) AS whole, CAST(o_orderkey AS STRING) AS name, try_cast(substring(o_orderpriority, 1, 1) AS INT) AS level, try_cast(o_orderpriority AS INT) AS none, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price FROM orders",
@@ -77,8 +89,8 @@ def explode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register_sql(
     "b8_lateral_view",
-    "SELECT vec_id, pos, x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 4)) t AS pos, x",
-    "SELECT vec_id, CAST(unnest(range(4)) AS INT) AS pos, unnest(embedding[1:4]) AS x FROM embeddings",
+    "SELECT vec_id, pos, x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x",
+    "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS pos, unnest(embedding) AS x FROM embeddings",
 )
 register_sql(
     "b9_pivot",
@@ -95,7 +107,7 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register_sql("b10_recursive_cte", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 60) SELECT n, total FROM t")
-register_sql("f1_sort", "SELECT p_partkey, p_size, nullif(p_brand, 'Brand#11') AS brand FROM part ORDER BY brand DESC NULLS LAST, p_size ASC NULLS FIRST, p_partkey LIMIT 500")
+register_sql("f1_sort", "SELECT p_partkey, p_size, nullif(p_brand, 'Brand#11') AS brand FROM part ORDER BY brand DESC NULLS LAST, p_size ASC NULLS FIRST, p_partkey")
 register_sql("f2_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 
 
@@ -123,6 +135,12 @@ register_sql("f5_except_all", "SELECT o_custkey AS k FROM orders EXCEPT ALL SELE
 register_sql("f6_distinct", "SELECT DISTINCT l_partkey, l_returnflag FROM lineitem")
 
 
+@register("f6_drop_duplicates", "SELECT DISTINCT event_type, user_id FROM events")
+def drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of a key stays isn't defined, so the keys are what can be told."""
+    return table(spark, sf_dir, "events").dropDuplicates(["event_type", "user_id"]).select("event_type", "user_id")
+
+
 @register("f6_first_of_each", "SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY event_type, user_id")
 def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dropDuplicates() keeps any row of a key; the smallest id makes the choice defined."""

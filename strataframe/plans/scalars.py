@@ -87,14 +87,14 @@ register_sql(
 register_sql(
     "g6_arrays",
     """
-    WITH x AS (SELECT doc_id, slice(split(text, ' '), 1, 12) AS w FROM documents)
+    WITH x AS (SELECT doc_id, split(text, ' ') AS w FROM documents)
     SELECT doc_id, CAST(size(w) AS BIGINT) AS n, array_join(array_distinct(w), '|') AS d, array_join(sort_array(w), '|') AS s, array_contains(w, 'the') AS has, element_at(w, 1) AS head, array_join(slice(w, 2, 3), ' ') AS mid,
       array_join(transform(w, x -> concat(left(x, 2), '.')), ',') AS up, CAST(size(filter(w, x -> length(x) > 4)) AS BIGINT) AS n_long, CAST(aggregate(w, 0L, (a, x) -> a + length(x)) AS BIGINT) AS chars,
       exists(w, x -> x LIKE '%th%') AS some, forall(w, x -> length(x) < 40) AS every_one, CAST(array_position(w, 'the') AS BIGINT) AS at, array_join(flatten(array(slice(w, 1, 1), slice(w, 2, 1))), '+') AS fl, CAST(array_max(transform(w, x -> length(x))) AS BIGINT) AS longest, array_join(reverse(w), ' ') AS rev
     FROM x
     """,
     """
-    WITH x AS (SELECT doc_id, string_split(text, ' ')[1:12] AS w FROM documents)
+    WITH x AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
     SELECT doc_id, len(w) AS n, (SELECT string_agg(v, '|' ORDER BY i) FROM (SELECT u.v, min(u.i) AS i FROM (SELECT unnest(w) AS v, generate_subscripts(w, 1) AS i) u GROUP BY u.v)) AS d, array_to_string(list_sort(w), '|') AS s, list_contains(w, 'the') AS has, w[1] AS head, array_to_string(w[2:4], ' ') AS mid,
       array_to_string(list_transform(w, lambda x: left(x, 2) || '.'), ',') AS up, len(list_filter(w, lambda x: length(x) > 4)) AS n_long, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars,
       len(list_filter(w, lambda x: x LIKE '%th%')) > 0 AS some, len(list_filter(w, lambda x: length(x) >= 40)) = 0 AS every_one, CAST(coalesce(list_position(w, 'the'), 0) AS BIGINT) AS at, array_to_string(w[1:2], '+') AS fl, list_max(list_transform(w, lambda x: length(x))) AS longest, array_to_string(list_reverse(w), ' ') AS rev
@@ -175,13 +175,13 @@ register_sql(
 )
 
 
-@register("g3_row_hashes", "SELECT CAST(count(*) AS BIGINT) AS n, true AS spread, true AS repeatable FROM lineitem")
+@register("g3_row_hashes", "SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS n_keys, true AS spread, true AS repeatable FROM lineitem")
 def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hash, xxhash64 and crc32 are Spark's own: they must repeat and tell the rows' keys apart."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf_dir, "lineitem").select(F.xxhash64(*keys).alias("x"), F.hash(*keys).alias("h"), F.crc32(F.concat_ws(",", *keys).cast("binary")).alias("c"), (F.xxhash64(*keys) == F.xxhash64(*keys)).alias("same"), F.struct(*keys).alias("k"))
     made = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("x"), F.approx_count_distinct("h").alias("h"), F.approx_count_distinct("c").alias("c"), F.countDistinct("k").alias("k"), F.bool_and("same").alias("repeatable"))
-    return made.select("n", ((F.col("x") == F.col("k")) & (F.col("h") > 0.85 * F.col("k")) & (F.col("c") > 0.85 * F.col("k"))).alias("spread"), "repeatable")
+    return made.select("n", F.col("x").alias("n_keys"), ((F.col("x") == F.col("k")) & (F.col("h") > 0.85 * F.col("k")) & (F.col("c") > 0.85 * F.col("k"))).alias("spread"), "repeatable")
 
 
 register_sql(
@@ -217,15 +217,15 @@ register_sql(
 register_sql(
     "g6_more_arrays",
     """
-    WITH x AS (SELECT vec_id, label, transform(slice(embedding, 1, 5), v -> CAST(floor(v * 100) AS INT)) AS a FROM embeddings)
+    WITH x AS (SELECT vec_id, label, transform(embedding, v -> CAST(floor(v * 100) AS INT)) AS a FROM embeddings)
     SELECT vec_id, array_min(a) AS mn, array_max(a) AS mx, array_join(array_append(a, label), ',') AS ap, array_join(array_prepend(a, 7), ',') AS pp, array_join(array_insert(a, 2, 0), ',') AS ins, array_join(array_remove(a, a[0]), ',') AS rm, array_join(array_compact(array(1, NULL, label)), ',') AS cp,
-      arrays_zip(a, slice(a, 2, 4))[0]['a'] AS z, get(a, 9) AS none, try_element_at(a, -1) AS final, array_join(array_repeat(label, 3), ',') AS rp, CAST(cardinality(a) AS BIGINT) AS n, array_join(array_sort(a, (l, r) -> r - l), ',') AS down, array_join(zip_with(a, a, (l, r) -> l + r), ',') AS twice, array_join(filter(a, (v, i) -> i % 2 = 0), ',') AS even
+      arrays_zip(a, slice(a, 2, 4))[0]['a'] AS z, get(a, 99) AS none, try_element_at(a, -1) AS final, array_join(array_repeat(label, 3), ',') AS rp, CAST(cardinality(a) AS BIGINT) AS n, array_join(array_sort(a, (l, r) -> r - l), ',') AS down, array_join(zip_with(a, a, (l, r) -> l + r), ',') AS twice, array_join(filter(a, (v, i) -> i % 2 = 0), ',') AS even
     FROM x
     """,
     """
-    WITH x AS (SELECT vec_id, label, list_transform(embedding[1:5], lambda v: CAST(floor(CAST(v AS FLOAT) * 100::FLOAT) AS INT)) AS a FROM embeddings)
+    WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(CAST(v AS FLOAT) * 100::FLOAT) AS INT)) AS a FROM embeddings)
     SELECT vec_id, list_min(a) AS mn, list_max(a) AS mx, array_to_string(list_append(a, label), ',') AS ap, array_to_string(list_prepend(7, a), ',') AS pp, array_to_string(list_concat(list_append(a[1:1], 0), a[2:]), ',') AS ins, array_to_string(list_filter(a, lambda v: v <> a[1]), ',') AS rm, '1,' || label AS cp,
-      a[1] AS z, NULL::INT AS none, a[5] AS final, label || ',' || label || ',' || label AS rp, len(a) AS n, array_to_string(list_reverse_sort(a), ',') AS down, array_to_string(list_transform(a, lambda v: v + v), ',') AS twice, array_to_string([a[1], a[3], a[5]], ',') AS even
+      a[1] AS z, NULL::INT AS none, a[len(a)] AS final, label || ',' || label || ',' || label AS rp, len(a) AS n, array_to_string(list_reverse_sort(a), ',') AS down, array_to_string(list_transform(a, lambda v: v + v), ',') AS twice, array_to_string(list_filter(a, lambda v, i: i % 2 = 1), ',') AS even
     FROM x
     """,
 )
@@ -242,3 +242,25 @@ register_sql(
     "SELECT event_id, j.c0 AS k, array_join(json_object_keys(props), ',') AS names, schema_of_json('{\"k\": 1}') AS s, to_json(from_json(props, 'MAP<STRING, INT>')) AS back, is_variant_null(parse_json('null')) AS vn FROM events LATERAL VIEW json_tuple(props, 'k') j AS c0",
     "SELECT event_id, props->>'$.k' AS k, 'k' AS names, 'STRUCT<k: BIGINT>' AS s, '{\"k\":' || (props->>'$.k') || '}' AS back, true AS vn FROM events",
 )
+register_sql(
+    "g1_collations",
+    """
+    SELECT c_custkey, c_mktsegment COLLATE UTF8_LCASE = lower(c_mktsegment) AS folded, c_mktsegment COLLATE UTF8_BINARY = lower(c_mktsegment) AS exact, collation(c_mktsegment COLLATE UNICODE_CI) LIKE '%UNICODE_CI' AS named,
+      contains(c_name COLLATE UTF8_LCASE, 'CUSTOMER') AS has, decode(unhex(hex(c_mktsegment)), 'UTF-8') AS back, mod(c_custkey, 7) AS m
+    FROM customer
+    """,
+    "SELECT c_custkey, true AS folded, c_mktsegment = lower(c_mktsegment) AS exact, true AS named, contains(lower(c_name), 'customer') AS has, c_mktsegment AS back, c_custkey % 7 AS m FROM customer",
+)
+register_sql(
+    "g4_timestamps",
+    """
+    SELECT o_orderkey, CAST(to_timestamp(CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 04:05:06', 'yyyy-MM-dd HH:mm:ss') AS TIMESTAMP_NTZ) AS parsed,
+      CAST(make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), 7, 8, 9.5) AS TIMESTAMP_NTZ) AS made, try_to_timestamp('no time') IS NULL AS none FROM orders
+    """,
+    "SELECT o_orderkey, o_orderdate + INTERVAL '4 hours 5 minutes 6 seconds' AS parsed, o_orderdate + INTERVAL '7 hours 8 minutes 9500 milliseconds' AS made, true AS none FROM orders",
+)
+register_sql(
+    "g8_xpath",
+    "SELECT n_nationkey, array_join(xpath(doc, 'n/v/text()'), '|') AS all, xpath_int(doc, 'n/k') AS k, xpath_boolean(doc, 'n/k > 9') AS high, xpath_double(doc, 'sum(n/k)') AS total FROM (SELECT n_nationkey, concat('<n><k>', n_nationkey, '</k><v>', n_name, '</v><v>', n_regionkey, '</v></n>') AS doc FROM nation)",
+    "SELECT n_nationkey, n_name || '|' || n_regionkey AS all, n_nationkey AS k, n_nationkey > 9 AS high, CAST(n_nationkey AS DOUBLE) AS total FROM nation",
+)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.scratch import shared_folder
+from ..sources.tables import SCHEMAS, table
 from ..streaming.events import RunningTotals, replayed, sessions, tumbling, with_event_time, written
 from .registry import register
 
@@ -32,6 +35,11 @@ def sliding_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tumbling(table(spark, sf_dir, "events"), "1 hour", slide="15 minutes"))
 
 
+@register("h2_sliding_stream", "SELECT b - INTERVAL 15 MINUTE * k AS window_start, b - INTERVAL 15 MINUTE * k + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS b FROM events), range(4) r(k) GROUP BY ALL")
+def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(written(tumbling(replayed(spark, sf_dir), "1 hour", slide="15 minutes"), "sliding", "complete"))
+
+
 _SESSIONS = """
     WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     y AS (SELECT user_id, ts, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
@@ -56,6 +64,20 @@ def watermark_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(written(tumbling(replayed(spark, sf_dir), "6 hours", "10 minutes"), "watermark"))
 
 
+@register("h4_late_rows_stream", f"SELECT * FROM ({_TUMBLING.format(width='6 hours')}) WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def late_rows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream is stopped, clicks come once more with another value, and it goes on: they are behind
+    the watermark that it kept, so its result is that without them."""
+    events, source, at = table(spark, sf_dir, "events"), shared_folder(spark, "late-source"), shared_folder(spark, "late")
+    days = events.agg(F.max("ts").alias("last"))
+    late = events.join(days).filter((F.col("event_type") == "click") & (F.col("ts") < F.col("last") - F.expr("INTERVAL 1 DAY"))).drop("last").withColumn("value", F.lit(1e6))
+    for rows in (events, late):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(source)
+        made = written(tumbling(stream, "6 hours", "10 minutes"), "late", at=at)
+    return _rounded(made)
+
+
 @register("h5_dedup_stream", "SELECT event_id, user_id, event_type FROM events")
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives twice in the stream; one of each passes."""
@@ -96,6 +118,15 @@ def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(views.join(purchases, soon).select("view_id", "purchase_id"), "stream-join")
 
 
+@register("h8_memory_sink", "SELECT event_type, max(value) AS most FROM events GROUP BY event_type")
+def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table on the driver, for results of few rows: one for each event type."""
+    name = f"most_{uuid.uuid4().hex}"
+    stream = replayed(spark, sf_dir).groupBy("event_type").agg(F.max("value").alias("most"))
+    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 @register("h8_foreach_batch", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(replayed(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "foreach-batch", "complete")

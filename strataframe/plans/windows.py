@@ -72,5 +72,5 @@ register_sql(
 )
 register_sql(
     "e8_share_of_total",
-    "SELECT l_suppkey, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 8) AS share FROM lineitem GROUP BY l_suppkey",
+    "SELECT l_suppkey, round(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 8) AS share FROM lineitem GROUP BY l_suppkey",
 )

@@ -58,14 +58,15 @@ class RunningTotals(StatefulProcessor):
         pass
 
 
-def written(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is to Parquet in the shared folder, and reads it back.
+def written(stream: DataFrame, label: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over what there is to Parquet in the shared folder, and reads it back. at: the folder of
+    an earlier run of the same query, which goes on from its state and watermark.
 
     append: all rows. complete: the last batch's table. update: every batch's rows, with the
     batch's number in column batch. A batch that is run again writes over its own files only.
     """
     spark = stream.sparkSession
-    at = shared_folder(spark, label)
+    at = at or shared_folder(spark, label)
     schema = stream.schema
     writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataframe.functions.vectors import cosine_similarity, dot, l2_distance
+from strataframe.operators.antijoin import not_in
 from strataframe.operators.asof import asof_join
+from strataframe.operators.quantiles import exact_quantile
 from strataframe.operators.ranges import band_join, interval_join
 from strataframe.operators.salting import salted_distinct_count, salted_join
 
@@ -75,3 +78,41 @@ def test_salted_distinct_count(spark):
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>").select(dot(F.col("a"), F.col("b")), cosine_similarity(F.col("a"), F.col("b")), l2_distance(F.col("a"), F.col("b")), cosine_similarity(F.col("a"), F.col("z"))).first()
     assert row[0] == 24.0 and abs(row[1] - 0.96) < 1e-12 and abs(row[2] - 2**0.5) < 1e-12 and row[3] is None
+
+
+@few
+@given(st.lists(number, max_size=8), st.lists(number, max_size=6))
+def test_not_in_equals_sql(spark, left, right):
+    a, b = spark.createDataFrame([(x,) for x in left], "x int"), spark.createDataFrame([(x,) for x in right], "y int")
+    want = [x for x in left if not right or None not in (x, *right) and x not in right]
+    assert sorted((r["x"] for r in not_in(a, "x", b).collect()), key=repr) == sorted(want, key=repr)
+
+
+@few
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.integers(-9, 9))), max_size=40), st.sampled_from([0.0, 0.25, 0.5, 0.9, 1.0]))
+def test_exact_quantile_equals_numpy(spark, rows, q):
+    groups = {k: [v for j, v in rows if j == k and v is not None] for k, _ in rows}
+    got = {r["k"]: r["x"] for r in exact_quantile(spark.createDataFrame(rows, "k int, v int"), "k", "v", q, "x").collect()}
+    assert got == pytest.approx({k: float(np.quantile(v, q)) for k, v in groups.items() if v})
+
+
+@few
+@given(pairs, pairs, st.integers(1, 5))
+def test_asof_by_spans_equals_asof(spark, left, right, width):
+    right = [(k, t, n) for n, (k, t) in enumerate(right)]
+    a, b = spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "k int, t int, v int")
+    whole, parts = (asof_join(a, b, ["k"], "t", tie="v", span=span) for span in (None, lambda t: F.floor(t / width)))
+    assert sorted(map(tuple, parts.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_folders_are_deleted_but_those_kept(spark):
+    from strataframe.sources.scratch import discard, made_folders, written
+
+    before = made_folders()
+    a, b = written(spark.range(3), "a"), written(spark.range(4), "b")
+    discard(spark, before, b)
+    assert made_folders() - before == {b.written_at} and b.count() == 4
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST|cannot read"):
+        a.collect()
+    discard(spark, before)
+    assert made_folders() == before

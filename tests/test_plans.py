@@ -52,3 +52,17 @@ def test_declared_schemas_are_those_of_the_files(spark, sf_dir):
     for name in SCHEMAS:
         files = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
         assert [(f.name, f.dataType) for f in table(spark, sf_dir, name).schema] == [(f.name, f.dataType) for f in files]
+
+
+def test_not_in_broadcasts_no_unbounded_side(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("b6_not_in", "b6_not_in_with_null", "c4_null_aware_anti_join"):
+            got = plan(QUERIES[name](spark, sf_dir))
+            assert "SortMergeJoin" in got and "LeftAnti" in got and "Broadcast" not in got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_global_sort_is_by_ranges(spark, sf_dir):
+    assert "rangepartitioning" in plan(QUERIES["f1_sort"](spark, sf_dir)) and "TakeOrdered" not in plan(QUERIES["f1_sort"](spark, sf_dir))
