@@ -24,8 +24,8 @@ The only loss is the bands' own: two sets of similarity s share no key with prob
 Defined results: words are runs of bytes other than space and 0x09-0x0D, A-Z in lower case. A
 text of fewer words than a shingle is one shingle; null text or no words give the empty set,
 linked with nothing, its component its own doc_id. Repeated rows of a doc_id each count; a
-doc_id with several texts links their components through none but their own sets. A row
-without doc_id has n_shingles, no component, and isn't kept.
+doc_id with several texts links their components through none but their own sets. A very long
+text is one set, in memory whole. A row without doc_id has n_shingles, no component, and isn't kept.
 """
 
 from __future__ import annotations
@@ -367,9 +367,8 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
 def _starred(heavy: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """meet, node, component: each node of heavy (family, node, w) with the node that is the least of most of its
     buckets, in blocks of that one's followers, each with one copy of it, and with a block of its family by chance."""
-    big = members.join(heavy.select("node", "w"), "node")
-    least = big.groupBy("bucket").agg(F.min("node").alias("centre"))
-    often = big.join(least, "bucket").groupBy("node", "w", "centre").agg(F.count(F.lit(1)).alias("often"))
+    big = members.withColumnRenamed("least", "centre").join(heavy.select("node", "w"), "node")
+    often = big.groupBy("node", "w", "centre").agg(F.count(F.lit(1)).alias("often"))
     star = materialize(often.groupBy("node", "w").agg(F.max_by("centre", F.struct("often", -F.col("centre"))).alias("centre")), "stars")
     blocks = star.groupBy("centre").agg(_blocks(F.sum("w"), block).alias("blocks"))
     dealt = star.join(blocks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node")
@@ -433,18 +432,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", b
     usable = made.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     rows = usable.select("node", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    members = materialize(rows.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "members")
+    members = materialize(rows.join(shared.select("bucket", "least"), "bucket").distinct(), "members")
     # the node's smallest doc_id first, so that many copies of a text are one row before rows move by node
     own = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     nodes = usable.join(own.join(members.select("node").distinct(), "node", "left_semi"), ["node", "doc_id"]).dropDuplicates(["node"])
     nodes = materialize(nodes.select("node", "doc_id", "n", (F.col("n") + NODE).alias("w"), "sig"), "nodes")
     # buckets of the same nodes are one
     sized = members.join(nodes.select("node", "w"), "node")
-    buckets = sized.groupBy("bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("least"))
-    buckets = materialize(buckets.groupBy("w", "m", "x", "y", "least").agg(F.min("bucket").alias("bucket")), "unlike-buckets")
+    buckets = sized.groupBy("bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = materialize(buckets.groupBy("w", "m", "x", "y").agg(F.min("bucket").alias("bucket")), "unlike-buckets")
     small, large = buckets.filter(F.col("w") <= block), buckets.filter(F.col("w") > block)
     loose = _close(members.join(small.select("bucket"), "bucket").select(F.col("bucket").alias("meet"), "node"), nodes)
-    starred = members.join(large.select("bucket", "least"), "bucket").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    starred = members.join(large.select("bucket"), "bucket").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     families = connected_components(loose.unionByName(starred)).withColumnRenamed("component", "family")
     families = materialize(families.join(nodes, "node"), "families")
     weights = families.groupBy("family").agg(F.sum("w").alias("total"))
