@@ -16,7 +16,7 @@ Defined results: words are runs of characters other than ASCII blanks, controls
 punctuation, A-Z in lower case; a template shorter than a shingle is one shingle of its own
 words. One row for each doc_id and license with a match; rows of one doc_id count together;
 null text holds nothing; a null doc_id counts as a doc_id; ties in containment give the first
-place. Other columns aren't looked at.
+place. A very long text is one row with a list of its shingles, read whole. Other columns aren't looked at.
 """
 
 from __future__ import annotations

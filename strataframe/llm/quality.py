@@ -5,6 +5,8 @@ rows (SAMPLE) that the base rules pass teaches the list: each rule is a conjunct
 of the rows by information gain, pruned on the rest, and taken while it is precise there. The
 list leaves as one ordered Spark conditional expression, so it is applied inside the plan.
 
+Very long texts are measured whole, one in memory at a time.
+
 Defined results: null text has no words and fails the base rules; rows are kept one for one,
 repeated rows and null doc_id included; without labels the list is empty and only the base
 rules reject. A doc_id with several labels counts as so many rows of the sample; equal labels of one

@@ -12,7 +12,7 @@ would shuffle every word of every text (several times the input), where a task's
 moves nothing and is bounded (TABLE_WORDS).
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to an empty
-text; rows are kept one for one, repeated rows and null doc_id included; other columns pass
+text; very long texts are encoded whole, one in memory at a time; rows are kept one for one, repeated rows and null doc_id included; other columns pass
 by name only where asked for (carry).
 """
 
