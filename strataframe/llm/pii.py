@@ -10,7 +10,7 @@ Every pattern looks at a character a bounded number of times, and the places of
 of a long text beside copies of itself, so time and memory stay linear in it.
 
 Defined results: null text counts as empty and holds nothing; rows are kept one for one,
-repeated rows and null doc_id included. Spans are code points, end exclusive. Redaction keeps a
+repeated rows and null doc_id included. Very long texts are searched whole. Spans are code points, end exclusive. Redaction keeps a
 null text null.
 """
 
@@ -217,6 +217,16 @@ _PLAIN = _Plain()
 _HIDDEN_RUN = re.compile(f"[{HIDDEN}]+")
 
 
+def _without_odd(text: str) -> str:
+    """The text with plain characters for odd ones, a replacement for each where they are few."""
+    odd = [c for c in set(text) if c > "\x7f" and _PLAIN[ord(c)] != c]
+    if len(odd) > 16:
+        return text.translate(_PLAIN)
+    for c in odd:
+        text = text.replace(c, _PLAIN[ord(c)])
+    return text
+
+
 def _may_be_odd(text: str) -> bool:
     """Whether a search for look-alikes can succeed: Latin-1 has two of the odd characters."""
     if text.isascii():
@@ -302,7 +312,7 @@ def normalised(text: str) -> Tape | None:
     """The text without disguises, or None where it shows no sign of one."""
     tape = Tape(text)
     if _may_be_odd(text):
-        tape.replace(text.translate(_PLAIN))
+        tape.replace(_without_odd(text))
         tape.rewrite((m.start(), m.end(), "") for m in _HIDDEN_RUN.finditer(tape.text))
     low = tape.text.lower()
     if _may_be_spoken(low) and _SPOKEN_SIGN.search(tape.text) or _SPOKEN_MIXED.search(tape.text):
