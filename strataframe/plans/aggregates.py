@@ -39,7 +39,7 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.join(high, "l_returnflag").select("l_returnflag", "middle", F.round("high", 4).alias("high"))
 
 
-register_sql("d8_percentile_function", "SELECT o_orderpriority, percentile(o_totalprice, 0.25) AS low, median(o_totalprice) AS middle FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS low, median(o_totalprice) AS middle FROM orders GROUP BY o_orderpriority")
+register_sql("d8_percentile_function", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.25), 4) AS low, round(median(o_totalprice), 4) AS middle FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS low, round(median(o_totalprice), 4) AS middle FROM orders GROUP BY o_orderpriority")
 
 
 @register("d9_sketches")
