@@ -16,6 +16,8 @@ MODULES = {
     "op8_jpeg": "jpeg",
     "op9_quality_rules": "quality",
     "op10_near_duplicates": "neardup",
+    "op11_resampling": "resampling",
+    "op12_fingerprints": "fingerprints",
 }
 
 
