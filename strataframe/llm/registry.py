@@ -18,6 +18,7 @@ MODULES = {
     "op10_near_duplicates": "neardup",
     "op11_resampling": "resampling",
     "op12_fingerprints": "fingerprints",
+    "op13_prefix_trie": "trie",
 }
 
 
