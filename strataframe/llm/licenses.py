@@ -125,16 +125,21 @@ def _windows(h: Column, width: int, gates: list[tuple[int, int]]) -> Column:
     known = _constant([sorted({e["x"] for e in slot}) for slot in slots], "array<array<bigint>>")
     entries = _constant(slots, "array<array<struct<x: bigint, words: int>>>")
 
+    stride_of = lambda words: F.greatest(F.lit(1), F.floor(words / 2).cast("int"))
+
     def around(i: Column, words: Column) -> Column:
-        stride = F.greatest(F.lit(1), F.floor(words / 2).cast("int"))
-        length = words + stride - width
-        first = F.ceil(F.greatest(i - (length - 1), F.lit(0)) / stride).cast("int")
-        return F.transform(F.sequence(first, F.floor(i / stride).cast("int")), lambda j: F.struct(words.alias("words"), (j * stride).alias("at"), length.alias("length")))
+        """words and the place of each window around i, in one number: distinct ones are then found by hashing."""
+        stride = stride_of(words)
+        first = F.ceil(F.greatest(i - (words + stride - width - 1), F.lit(0)) / stride).cast("int")
+        return F.transform(F.sequence(first, F.floor(i / stride).cast("int")), lambda j: F.shiftleft(words.cast("long"), 32) + j * stride)
+
+    def window(packed: Column) -> Column:
+        words, at = F.shiftright(packed, 32).cast("int"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return F.struct(F.lit(width).alias("width"), words.alias("words"), at.alias("at"), F.array_distinct(F.slice(h, at + 1, words + stride_of(words) - width)).alias("w"))
 
     hits = F.filter(F.transform(h, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains(F.get(known, place(p["x"])), p["x"]))
     mine = lambda p: F.filter(F.get(entries, place(p["x"])), lambda e: e["x"] == p["x"])
     places = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.flatten(F.transform(mine(p), lambda e: around(p["i"], e["words"]))))))
-    window = lambda v: F.struct(F.lit(width).alias("width"), v["words"].alias("words"), v["at"].alias("at"), F.array_distinct(F.slice(h, v["at"] + 1, v["length"])).alias("w"))
     return F.when(F.arrays_overlap(h, any_gate), F.transform(places, window)).otherwise(F.array().cast("array<struct<width: int, words: int, at: int, w: array<bigint>>>"))
 
 

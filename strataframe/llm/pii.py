@@ -62,7 +62,7 @@ LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OolI](?:[ ().-]{0,2}[0-9OolI]){6,}(?![A-Za-z0-9])")
 _LETTERED_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OolI]{1,3}(?:\.[0-9OolI]{1,3}){3}(?!\.?[A-Za-z0-9])")
 #: Single letters at either end of a number are words of their own ("I", "o").
-_LONE_LETTERS = re.compile(r"^(?:[OolI] [ ().-]*)+|(?:[ ().-]* [OolI])+$")
+_LONE_LETTERS = re.compile(r"(?:[OolI] [ ().-]*)+")
 _BRACKET_SIGN = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]", re.I)
 _BRACKETS = re.compile(r"\s{0,3}(?:\[\s?(at|@|dot|\.)\s?\]|\(\s?(at|@|dot|\.)\s?\)|\{\s?(at|@|dot|\.)\s?\}|<\s?(at|dot)\s?>)\s{0,3}", re.I)
 _AT = re.compile(r" at | @ |@", re.I)
@@ -76,8 +76,8 @@ ENDINGS = frozenset("com org net edu gov mil info biz name io co ai app dev me t
 # Words that may follow a spelled "dot" in prose and are no endings.
 _NO_ENDINGS = frozenset("and or the of on for with was were that then which who but not from where when".split())
 _AT_NAME = re.compile(r" at [a-z0-9-]+(?: dot | \. |\.)[a-z0-9-]")
-#: A local part that no plain word is: parted inside, or a name with digits.
-_LOCAL_SIGN = re.compile(r"[A-Za-z0-9](?:[._%+]| dot )[A-Za-z0-9]|[A-Za-z][A-Za-z-]*[0-9]|[0-9]-?[A-Za-z]", re.I)
+#: A local part that no plain word is: parted inside, or a name with digits. A run of letters is looked at once, from its begin.
+_LOCAL_SIGN = re.compile(r"[A-Za-z0-9](?:[._%+]| dot )[A-Za-z0-9]|(?<![A-Za-z-])-*+[A-Za-z][A-Za-z-]*+[0-9]|[0-9]-?[A-Za-z]", re.I)
 # Words before a local part that tell an address, and words between that are none.
 _CUE = re.compile(r"(?<![^\W_])(?:e-?mails?|mail|contact|write|reach|kontakt|schreib\w*|courriel|écri\w*|correo|escrib\w*)(?:[ :,]+(?:to|is|me|us|an|à|a)){0,2}[ :,]+$", re.I)
 _NO_LOCALS = frozenset("me us him her them you it out back address addresses form page list team sent found here there or and to is".split())
@@ -260,6 +260,16 @@ def _may_be_spoken(low: str) -> bool:
     return False
 
 
+def _before_lone_letters(part: str) -> int:
+    """Where the single letters at the end of a number begin, each with a space before it; from the end, so that each is looked at once."""
+    end = len(part)
+    while end > 1 and part[end - 1] in LETTER_DIGITS and part[end - 2] == " ":
+        end -= 2
+        while end and part[end - 1] in " ().-":
+            end -= 1
+    return end
+
+
 def _digit_letters(text: str) -> list[int]:
     """Where letters stand for digits: in candidates with a plain digit that are a number of some kind once they are read so."""
     found = set()
@@ -269,8 +279,7 @@ def _digit_letters(text: str) -> list[int]:
                 start, part = m.start(), m[0]
                 if lone := _LONE_LETTERS.match(part):
                     start, part = start + lone.end(), part[lone.end() :]
-                if lone := _LONE_LETTERS.search(part):
-                    part = part[: lone.start()]
+                part = part[: _before_lone_letters(part)]
                 for _, a, b in detect("".join(LETTER_DIGITS.get(c, c) for c in part)):
                     if any(c in "0123456789" for c in part[a:b]):
                         found.update(start + k for k in range(a, b) if part[k] in LETTER_DIGITS)

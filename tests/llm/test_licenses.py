@@ -3,6 +3,9 @@ from __future__ import annotations
 import contextlib
 import io
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from strataframe.llm import licenses as op
 
@@ -66,3 +69,14 @@ def test_a_very_long_text(spark):
     filler = " ".join(f"w{k}" for k in range(150_000))
     got = found(spark, [f"{filler} {op.TEXTS['Zlib'][0]} {filler}"])
     assert (0, "Zlib") in got and 150_000 - 200 < got[0, "Zlib"]["first_word"] <= 150_000
+
+
+def test_a_notice_that_a_text_repeats_costs_its_length(spark):
+    took, found = [], []
+    for n in (16_000, 32_000):
+        df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("All rights reserved. "), n).alias("text"))
+        began = time.perf_counter()
+        found.append(sorted(map(tuple, op.scan_licenses(df).collect())))
+        took.append(time.perf_counter() - began)
+    assert found[0] == found[1] and len(found[0]) == 1 and found[0][0][2:] == (1.0, 0)
+    assert took[1] < 10

@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 import tracemalloc
-import re
 
 import pytest
 from hypothesis import given, settings
@@ -127,7 +127,7 @@ def test_clean_texts_have_no_spans(text):
 
 def test_long_runs_stay_linear():
     mb = 1 << 20
-    for text in ("a dot " * (mb // 6), "1 dot " * (mb // 6), "x at " + "a dot " * (mb // 6), "a at b " * (mb // 7), "a@b.com " * (mb // 8) + " j at x dot com", "one two three " * (mb // 14), "l l l 1 " * (mb // 8), "a_at_b_dot_c " * (mb // 13), "( at ) " * (mb // 7), "аео " * (mb // 7)):
+    for text in ("a dot " * (mb // 6), "1 dot " * (mb // 6), "x at " + "a dot " * (mb // 6), "a at b " * (mb // 7), "a@b.com " * (mb // 8) + " j at x dot com", "one two three " * (mb // 14), "l l l 1 " * (mb // 8), "a_at_b_dot_c " * (mb // 13), "( at ) " * (mb // 7), "аео " * (mb // 7), "a" * mb + " at example.com", "a-" * (mb // 2) + " at example.com", "-" * mb + " at example.com", "5 " + "O " * (mb // 2) + "5", "5 " + "O " * (mb // 2), "O " * (mb // 2) + "5"):
         began = time.process_time()
         op.find(text)
         assert time.process_time() - began < 8
@@ -172,3 +172,15 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert kept.schema == odd_documents.schema
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert texts[None] == "no id here at all, mail me at [EMAIL]" and texts[2] is None and texts[3] == ""
+
+
+@pytest.mark.parametrize("part", ["5 5 O I", "5 O", "5 (O", "5.- O ) I", "5O", " O", "5", "", "O I l", "5 O I5", "5  O", "5 -I"])
+def test_single_letters_at_the_end_as_a_pattern_finds_them(part):
+    found = re.search(r"(?:[ ().-]* [OolI])+$", part)
+    assert op._before_lone_letters(part) == (found.start() if found else len(part))
+
+
+@pytest.mark.parametrize("local", ["ab-c1", "-a1", "a-", "--", "1a", "1-a", "ab", "a b1", "x-9", "-9", "9-", "a--9", "a.b"])
+def test_signs_of_a_local_part_are_those_of_the_plain_pattern(local):
+    plain = re.compile(r"[A-Za-z0-9](?:[._%+]| dot )[A-Za-z0-9]|[A-Za-z][A-Za-z-]*[0-9]|[0-9]-?[A-Za-z]", re.I)
+    assert bool(op._LOCAL_SIGN.search(local)) == bool(plain.search(local))
