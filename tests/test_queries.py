@@ -16,7 +16,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_those_without_sql_are_known():
-    assert sorted(set(QUERIES) - set(SQL)) == ["d9_sketches", "f7_sample"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["d9_sketches", "f7_sample", "g10_nearest_by_index"]
 
 
 def test_sample_is_repeatable_and_near_its_share(spark, sf_dir):
