@@ -14,7 +14,7 @@ from ..sources.tables import SCHEMAS, views
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when they are imported.
-MODULES = ("catalog", "files", "relational", "joins", "aggregates", "windows", "scalars", "vectors", "streams", "extensions")
+MODULES = ("catalog", "files", "databases", "relational", "joins", "aggregates", "windows", "scalars", "vectors", "streams", "extensions")
 
 
 @dataclass(frozen=True)
