@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import avro
 from ..sources.files import read, round_trip, write
 from ..sources.scratch import shared_folder
 from ..sources.tables import table
@@ -48,6 +49,15 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.regexp_count(text, F.lit("\n")).alias("lines"), "length").agg(F.sum("lines").cast("long").alias("n_lines"), F.sum("length").alias("n_bytes"))
 
 
+@register("a4_avro_round_trip", _EVENTS)
+def avro_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in Avro containers, read back in splits of 64 KB."""
+    avro.register(spark)
+    events, at = table(spark, sf_dir, "events").withColumn("value", F.round("value", 4)), shared_folder(spark, "avro")
+    events.write.format("avro_container").mode("append").save(at)
+    return spark.read.format("avro_container").option("splitBytes", 1 << 16).load(at).select("event_id", "user_id", "event_type", "value", "ts", "props")
+
+
 @register("a5_inline_rows", "SELECT * FROM (VALUES (1, 'one', 1.5::DOUBLE), (2, 'two', NULL), (3, NULL, 3.5)) t(k, name, x)")
 def inline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(1, "one", 1.5), (2, "two", None), (3, None, 3.5)], "k int, name string, x double")
