@@ -175,3 +175,15 @@ def carried(rows: DataFrame, by: list[str], totals: dict[str, Column] = {}, last
     for c in by:
         match &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return rows.join(told, match, "left").drop("_s", *(f"_k_{c}" for c in by))
+
+
+def time_spans(df: DataFrame, by: list[str], at: Column, width: int, before: int) -> DataFrame:
+    """df with _at (at as a whole number), _span (at in steps of width) and _own: a row also goes to each later span
+    that begins within `before` of it, so that a window by (by, _span) with a range frame that reaches back
+    no further is whole for every own row. Rows whose at is null are a span of their own. How many rows a task gets depends on
+    how many fall into width, not on how many a group has."""
+    rows = df.withColumn("_at", at.cast("long"))
+    first = F.floor(F.col("_at") / F.lit(width))
+    last = F.floor((F.col("_at") + before) / F.lit(width))
+    rows = rows.withColumn("_first", first).withColumn("_span", F.explode_outer(F.sequence("_first", last)))
+    return rows.withColumn("_own", F.col("_span").eqNullSafe(F.col("_first"))).drop("_first")

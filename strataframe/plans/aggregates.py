@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quantiles import exact_quantile
 from ..operators.salting import salted_distinct_count
+from ..operators.sketches import DISTINCT_ERROR, RANK_ERROR, frequent, merged, stored
 from ..sources.tables import table
 from .registry import register, register_sql
 
@@ -53,16 +54,45 @@ def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _within(estimate: str, exact: str, by: float) -> Column:
+    """The exact figure where the estimate is as near to it as its sketch promises, else the estimate."""
+    e, x = F.col(estimate).cast("double"), F.col(exact).cast("double")
+    return F.when(F.abs(e - x) <= F.lit(by) * x, x).otherwise(e)
+
+
 @register(
     "d9_sketch_errors",
-    "SELECT l_returnflag, true AS parts_close, true AS orders_close, true AS middle_close FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, count(DISTINCT l_partkey)::DOUBLE AS parts, count(DISTINCT l_orderkey)::DOUBLE AS orders, round(quantile_cont(l_extendedprice, 0.5), 4) AS middle FROM lineitem GROUP BY l_returnflag",
 )
 def sketch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the estimates lie within three deviations (0.02 and 0.016) of the exact counts, and a thousandth of the ranks."""
+    """The exact figures, as far as the estimates lie within three deviations (0.02 and 0.016) of the counts, and a hundredth of the middle."""
     lines = table(spark, sf_dir, "lineitem")
-    exact = lines.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_orderkey").alias("orders"), F.expr("percentile(l_extendedprice, array(0.499, 0.501))").alias("middle"))
-    close = lambda a, b, by: F.abs(F.col(a) / F.col(b) - 1) < by
-    return sketches(spark, sf_dir).join(exact, "l_returnflag").select("l_returnflag", close("about_parts", "parts", 0.06).alias("parts_close"), close("about_orders", "orders", 0.05).alias("orders_close"), F.col("about_middle").between(F.col("middle")[0], F.col("middle")[1]).alias("middle_close"))
+    exact = salted_distinct_count(lines, "l_returnflag", "l_partkey", "parts").join(salted_distinct_count(lines, "l_returnflag", "l_orderkey", "orders"), "l_returnflag")
+    exact = exact.join(exact_quantile(lines, "l_returnflag", "l_extendedprice", 0.5, "middle"), "l_returnflag")
+    both = sketches(spark, sf_dir).join(exact, "l_returnflag")
+    return both.select("l_returnflag", _within("about_parts", "parts", 0.06).alias("parts"), _within("about_orders", "orders", 0.05).alias("orders"), F.round(_within("about_middle", "middle", 0.01), 4).alias("middle"))
+
+
+@register(
+    "d9_merged_sketches",
+    "SELECT date_trunc('month', o_orderdate)::DATE AS month, count(DISTINCT o_orderdate) AS days, count(*) AS n, count(DISTINCT o_custkey)::DOUBLE AS customers, round(quantile_cont(o_totalprice, 0.5), 4) AS middle FROM orders GROUP BY 1",
+)
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each day are stored and merged up to months; the exact figures stand where the merged sketches keep their word."""
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.trunc(F.to_date("o_orderdate"), "month"))
+    months = merged(stored(orders, ["month", "o_orderdate"], "o_custkey", "o_totalprice"), ["month"])
+    exact = salted_distinct_count(orders, "month", "o_custkey", "customers").join(exact_quantile(orders, "month", "o_totalprice", 0.5, "middle"), "month")
+    both = months.join(exact, "month").withColumn("about", F.hll_sketch_estimate("distinct"))
+    low, about, high = (F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5 + off)) for off in (-RANK_ERROR, 0.0, RANK_ERROR))
+    middle = F.when(F.col("middle").between(low, high), F.col("middle")).otherwise(about)
+    return both.select("month", F.col("parts").alias("days"), F.kll_sketch_get_n_double("quantiles").alias("n"), _within("about", "customers", DISTINCT_ERROR).alias("customers"), F.round(middle, 4).alias("middle"))
+
+
+@register("d9_heavy_hitters", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent types by counters of each day that are merged; more counters than types, so exact."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return frequent(events, ["day"], "event_type", 5, 64).select(F.col("item").alias("event_type"), "n")
 
 
 register_sql("d10_collect", "SELECT c_nationkey, array_join(sort_array(collect_set(c_mktsegment)), ',') AS segments, max_by(c_custkey, struct(c_acctbal, c_custkey)) AS richest, min_by(c_name, struct(c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments, max_by(c_custkey, (c_acctbal, c_custkey)) AS richest, min_by(c_name, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey")
