@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_folder
 from ..sources.tables import SCHEMAS, table
-from ..streaming.events import RunningTotals, replayed, sessions, tumbling, with_event_time, written
+from ..streaming.events import IDLE_MS, Activity, RunningTotals, TimedSessions, idle_users, replayed, sessions, tumbling, with_event_time, written
 from .registry import register
 
 _TUMBLING = "SELECT time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{width}' AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
@@ -69,8 +71,8 @@ def late_rows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream is stopped, clicks come once more with another value, and it goes on: they are behind
     the watermark that it kept, so its result is that without them."""
     events, source, at = table(spark, sf_dir, "events"), shared_folder(spark, "late-source"), shared_folder(spark, "late")
-    days = events.agg(F.max("ts").alias("last"))
-    late = events.join(days).filter((F.col("event_type") == "click") & (F.col("ts") < F.col("last") - F.expr("INTERVAL 1 DAY"))).drop("last").withColumn("value", F.lit(1e6))
+    last = events.agg(F.max("ts")).scalar()
+    late = events.filter((F.col("event_type") == "click") & (F.col("ts") < last - F.expr("INTERVAL 1 DAY"))).withColumn("value", F.lit(1e6))
     for rows in (events, late):
         rows.write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMAS["events"]).parquet(source)
@@ -86,36 +88,110 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(once.select("event_id", "user_id", "event_type"), "dedup")
 
 
+@contextlib.contextmanager
+def _state_in_rocksdb(spark: SparkSession, empty_batches: bool = True) -> Iterator[None]:
+    """The state store that state of one's own logic needs, for the time of a query. empty_batches: whether batches
+    without rows run, for timers; by processing time one would follow the other for ever."""
+    names = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @register("h6_stateful_stream", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
 def stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals of each user in a state store of one's own logic."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _state_in_rocksdb(spark):
         totals = replayed(spark, sf_dir).select("user_id", "value").groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id long, n long, total double", "Update", "None")
         made = written(totals, "stateful", "update")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     last = made.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
     return _rounded(last.select("user_id", "x.n", "x.total"))
 
 
+def _with_micros(events: DataFrame) -> DataFrame:
+    return with_event_time(events).withColumn("micros", F.unix_micros("ts"))
+
+
+def timed_sessions(events: DataFrame) -> DataFrame:
+    """Sessions of half an hour of a stream of events, ten minutes late at most, by timers."""
+    rows = _with_micros(events).withWatermark("ts", "10 minutes").select("user_id", "ts", "micros")
+    return rows.groupBy("user_id").transformWithStateInPandas(TimedSessions(30 * 60_000), "user_id long, session_start timestamp_ntz, session_end timestamp_ntz, n long", "Append", "EventTime")
+
+
+@register("h6_timer_sessions", f"SELECT * FROM ({_SESSIONS}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def timer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What h3_sessions_stream does, by timers of one's own: a session leaves without another event of its user."""
+    with _state_in_rocksdb(spark):
+        return written(timed_sessions(replayed(spark, sf_dir)), "timer-sessions")
+
+
+@register(
+    "h6_map_and_list_state",
+    """
+    SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS counts, any_value(last_events) AS last_events
+    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+    JOIN (SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS last_events FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3) GROUP BY user_id) USING (user_id) GROUP BY user_id
+    """,
+)
+def map_and_list_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each type in a map, the last three events in a list that is forgotten after an hour without change."""
+    rows = _with_micros(replayed(spark, sf_dir)).select("user_id", "event_id", "event_type", "micros")
+    with _state_in_rocksdb(spark, empty_batches=False):
+        activity = rows.groupBy("user_id").transformWithStateInPandas(Activity(), "user_id long, counts string, last_events string", "Update", "ProcessingTime")
+        made = written(activity, "activity", "update")
+    last = made.groupBy("user_id").agg(F.max_by(F.struct("counts", "last_events"), "batch").alias("x"))
+    return last.select("user_id", "x.counts", "x.last_events")
+
+
+@register("h6_group_state_timeout", f"SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id HAVING max(ts) + INTERVAL {IDLE_MS} MILLISECOND < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def group_state_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that have been idle for three days, told by the timeout of their state."""
+    rows = _with_micros(replayed(spark, sf_dir)).withWatermark("ts", "10 minutes").select("user_id", "ts", "micros")
+    idle = rows.groupBy("user_id").applyInPandasWithState(idle_users, "user_id long, n long, last timestamp_ntz", "n long, last long", "append", "EventTimeTimeout")
+    return written(idle, "idle")
+
+
 @register("h7_stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'")
 def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = replayed(spark, sf_dir).filter("event_type = 'purchase'")
     return written(stream.join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_mktsegment"), "static-join")
 
 
+def views_and_purchases(one: DataFrame, two: DataFrame, how: str) -> DataFrame:
+    """Views of a stream of events with the purchases of another in the hour after them."""
+    side = lambda df, kind: with_event_time(df).filter(F.col("event_type") == kind).select(F.col("user_id").alias(f"user_{kind}"), F.col("event_id").alias(f"{kind}_id"), F.col("ts").alias(f"at_{kind}")).withWatermark(f"at_{kind}", "10 minutes")
+    soon = (F.col("user_view") == F.col("user_purchase")) & (F.col("at_purchase") >= F.col("at_view")) & (F.col("at_purchase") <= F.col("at_view") + F.expr("INTERVAL 1 HOUR"))
+    return side(one, "view").join(side(two, "purchase"), soon, how).select("view_id", "purchase_id")
+
+
 @register(
     "h7_stream_stream_join",
     "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
 )
 def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases within an hour after a view; the watermarks bound both sides' state."""
-    side = lambda kind, k: with_event_time(replayed(spark, sf_dir)).filter(F.col("event_type") == kind).select(F.col("user_id").alias(f"user_{k}"), F.col("event_id").alias(f"{k}_id"), F.col("ts").alias(f"at_{k}")).withWatermark(f"at_{k}", "10 minutes")
-    views, purchases = side("view", "view"), side("purchase", "purchase")
-    soon = (F.col("user_view") == F.col("user_purchase")) & (F.col("at_purchase") >= F.col("at_view")) & (F.col("at_purchase") <= F.col("at_view") + F.expr("INTERVAL 1 HOUR"))
-    return written(views.join(purchases, soon).select("view_id", "purchase_id"), "stream-join")
+    return written(views_and_purchases(replayed(spark, sf_dir), replayed(spark, sf_dir), "inner"), "stream-join")
+
+
+_SOON = "v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR"
+_WATERMARK = "(SELECT least(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 10 MINUTE FROM events)"
+
+
+@register(
+    "h7_stream_outer_join",
+    f"""
+    SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON {_SOON}
+    WHERE p.event_id IS NOT NULL OR v.ts + INTERVAL 1 HOUR < {_WATERMARK}
+    """,
+)
+def stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with the purchases of the hour after them; one without any leaves when the watermark has passed its hour."""
+    return written(views_and_purchases(replayed(spark, sf_dir), replayed(spark, sf_dir), "left_outer"), "outer-join")
 
 
 @register("h8_memory_sink", "SELECT event_type, max(value) AS most FROM events GROUP BY event_type")
