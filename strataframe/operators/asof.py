@@ -21,6 +21,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, prefix:
     times match nothing; left rows stay as they are, repeated ones too.
     """
     values = [c for c in right.columns if c not in by]
+    complete = F.col(on).isNotNull()
+    for c in by:
+        complete &= F.col(c).isNotNull()
+    right, unmatched, left = right.filter(complete), left.filter(~complete), left.filter(complete)  # those with a null meet nothing and no window
     row = F.struct(*values)
     one = left.select(*(F.col(c).alias(f"_l_{c}") for c in left.columns), *by, F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("_row"))
     if tie:
@@ -36,19 +40,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, prefix:
     keys = [*by, *(["_span"] if span else [])]
     latest = F.last("_row", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     joined = one.unionByName(two).withColumn("_found", latest).filter("_side = 1")
-    usable = F.col("_at").isNotNull()
-    for c in by:
-        usable &= F.col(c).isNotNull()
-    usable &= F.col(f"_found.{on}").isNotNull()
+    usable = F.col(f"_found.{on}").isNotNull()
     if tolerance is not None:
         usable &= F.col(f"_found.{on}") >= F.col("_at") - tolerance
-    return joined.select(*(F.col(f"_l_{c}").alias(c) for c in left.columns), *(F.when(usable, F.col(f"_found.{c}")).alias(prefix + c) for c in values))
+    made = joined.select(*(F.col(f"_l_{c}").alias(c) for c in left.columns), *(F.when(usable, F.col(f"_found.{c}")).alias(prefix + c) for c in values))
+    return made.unionByName(unmatched.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(prefix + c) for c in values)))
 
 
 def _carried(left: DataFrame, right: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """by, _span and _last (the latest right row of the spans before) of each span with left rows."""
-    usable = right.filter(F.col("_at").isNotNull())
-    own = usable.groupBy(*by, "_span").agg(F.max_by(F.struct(*order, "_row"), F.struct(*order)).alias("_own"))
+    own = right.groupBy(*by, "_span").agg(F.max_by(F.struct(*order, "_row"), F.struct(*order)).alias("_own"))
     asked = left.groupBy(*by, "_span").agg(F.lit(True).alias("_asked"))
     spans = own.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_own", F.lit(None).cast(own.schema["_own"].dataType)))
     spans = spans.groupBy(*by, "_span").agg(F.max("_asked").alias("_asked"), F.first("_own", ignorenulls=True).alias("_own"))

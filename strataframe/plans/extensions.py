@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.udfs import Words, demeaned, discounted, doubled, flags, geometric_mean, matched
+from ..functions.udfs import Sessions, Words, demeaned, discounted, doubled, flags, known, log_sum, matched
 from ..sources.tables import table
 from .registry import register
+from .streams import SESSIONS
 
 
 @register("i1_pandas_udf", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 45")
@@ -23,23 +24,32 @@ def arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("i2_pandas_aggregate", "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 4) AS mean FROM part GROUP BY p_brand")
 def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(geometric_mean("p_retailprice").alias("mean")).select("p_brand", F.round("mean", 4).alias("mean"))
+    """A pandas aggregate takes a group's rows as one series, so a brand's parts come some at a time: those of 4,096 keys
+    are one series at most. The sums of the logarithms are then added."""
+    some = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 4096).alias("some"))
+    sums = some.agg(log_sum("p_retailprice").alias("logs"), known("p_retailprice").alias("n"))
+    return sums.groupBy("p_brand").agg(F.round(F.exp(F.sum("logs") / F.sum("n")), 4).alias("mean"))
 
 
-@register("i3_grouped_map", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS distance FROM orders")
+@register("i3_grouped_map", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS distance FROM lineitem WHERE l_quantity > 40")
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A group is a customer's orders: it doesn't grow with the table."""
-    made = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(demeaned, "o_orderkey long, distance double")
-    return made.select("o_orderkey", F.round("distance", 6).alias("distance"))
+    """A frame has the lines of 256 orders: their number is the orders' own, however many orders there are, and a frame for
+    each order would cost more than its work."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    made = lines.groupBy(F.floor(F.col("l_orderkey") / 256).alias("some")).applyInPandas(demeaned, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, distance double")
+    return made.withColumn("distance", F.round("distance", 6))
 
 
 @register(
     "i3_cogrouped_map",
-    "SELECT coalesce(o.k, c.k) AS customer, coalesce(o.n, 0) AS orders, coalesce(c.n, 0) AS known FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o FULL JOIN (SELECT c_custkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) c USING (k)",
+    "SELECT coalesce(o.k, l.k) AS order_key, coalesce(o.n, 0) AS orders, coalesce(l.n, 0) AS lines FROM (SELECT o_orderkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) o FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY 1) l USING (k)",
 )
 def cogrouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_custkey").groupBy("o_custkey")
-    return orders.cogroup(table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey").groupBy("c_custkey")).applyInPandas(matched, "customer long, orders long, known long")
+    """256 orders and their lines at a time."""
+    some = lambda key: F.floor(F.col(key) / 256).alias("some")
+    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select("o_orderkey").groupBy(some("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select("l_orderkey").groupBy(some("l_orderkey"))
+    return orders.cogroup(lines).applyInPandas(matched, "order_key long, orders long, lines long")
 
 
 @register("i4_map_in_arrow", "SELECT event_id, value * 2 AS twice FROM events")
@@ -52,3 +62,11 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("words_of", Words)
     table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
     return spark.sql("SELECT item_id, word, place FROM benchmark, LATERAL words_of(text)")
+
+
+@register("i5_table_argument", SESSIONS)
+def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function over a table, a user's events in the order of their times: its sessions are those of h3."""
+    spark.udtf.register("sessions_of", Sessions)
+    table(spark, sf_dir, "events").select("user_id", "ts").createOrReplaceTempView("events_in_order")
+    return spark.sql("SELECT * FROM sessions_of(rows => TABLE(events_in_order) PARTITION BY user_id ORDER BY ts, key => 'user_id', at => 'ts', minutes => 30)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,14 +58,20 @@ def avro_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("avro_container").option("splitBytes", 1 << 16).load(at).select("event_id", "user_id", "event_type", "value", "ts", "props")
 
 
-@register("a5_inline_rows", "SELECT * FROM (VALUES (1, 'one', 1.5::DOUBLE), (2, 'two', NULL), (3, NULL, 3.5)) t(k, name, x)")
+@register("a5_inline_rows", "SELECT name, count(o_orderkey) AS n, max(weight) AS weight FROM (VALUES ('1-URGENT', 'urgent', 1.5::DOUBLE), ('5-LOW', 'low', NULL), ('6-NONE', NULL, 3.5)) t(k, name, weight) LEFT JOIN orders ON o_orderpriority = k GROUP BY name")
 def inline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(1, "one", 1.5), (2, "two", None), (3, None, 3.5)], "k int, name string, x double")
+    """Rows in the query itself, with nulls, beside a table."""
+    named = spark.createDataFrame([("1-URGENT", "urgent", 1.5), ("5-LOW", "low", None), ("6-NONE", None, 3.5)], "k string, name string, weight double")
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("o_orderkey").alias("n"))
+    made = named.join(orders, F.col("k") == F.col("o_orderpriority"), "left")
+    return made.groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("weight").alias("weight"))
 
 
-@register("a5_range", "SELECT range AS id, range * range AS squared FROM range(0, 1000, 7)")
+@register("a5_range", "SELECT k * 50000 AS begins, count(o_orderkey) AS n FROM range(0, 12) r(k) LEFT JOIN orders ON floor(o_totalprice / 50000) = k GROUP BY k")
 def number_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 1000, 7).select("id", (F.col("id") * F.col("id")).alias("squared"))
+    """Steps made by range(), the empty ones too, with the orders in each."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_totalprice") / 50_000).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(0, 12).join(orders, "id", "left").select((F.col("id") * 50_000).alias("begins"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @register("a6_partitioned_write", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
@@ -79,12 +85,20 @@ def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a6_bucketed_table", "SELECT o_custkey, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey")
 def bucketed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides are bucketed by the join key, so join and grouping need no exchange. The tables stay,
-    one pair for each input, and are written anew when the query runs again."""
-    names = {}
+    """Both sides are bucketed by the join key, so join and grouping need no exchange. The tables
+    have names of their own in each run, as the result reads them later; dropped() drops those of a session."""
+    names, mark = {}, uuid.uuid4().hex[:8]
     for source, key in (("orders", "o_custkey"), ("customer", "c_custkey")):
-        names[source] = f"{source}_by_customer_{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
-        table(spark, sf_dir, source).select(key).write.mode("overwrite").bucketBy(8, key).sortBy(key).saveAsTable(names[source])
+        names[source] = f"{source}_by_customer_{mark}"
+        table(spark, sf_dir, source).select(key).write.bucketBy(8, key).sortBy(key).saveAsTable(names[source])
     orders, customer = (spark.table(names[x]) for x in ("orders", "customer"))
     joined = orders.hint("merge").join(customer, orders.o_custkey == customer.c_custkey)
     return joined.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dropped(spark: SparkSession) -> int:
+    """Drops the tables that a6_bucketed_table made, and tells how many."""
+    found = [t.name for t in spark.catalog.listTables() if "_by_customer_" in t.name and not t.isTemporary]
+    for name in found:
+        spark.sql(f"DROP TABLE {name} PURGE")
+    return len(found)

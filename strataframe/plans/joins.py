@@ -9,6 +9,7 @@ from ..operators.antijoin import not_in
 from ..operators.asof import asof_join
 from ..operators.ranges import band_join, interval_join
 from ..operators.salting import salted_join
+from ..operators.scans import ranks
 from ..sources.tables import table
 from .registry import register, register_sql
 
@@ -110,11 +111,16 @@ register_sql(
 )
 
 
-@register("c10_self_join", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@register(
+    "c10_self_join",
+    "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(b.s_acctbal - a.s_acctbal, 2) AS more FROM supplier a JOIN supplier b ON b.s_suppkey = (SELECT min(c.s_suppkey) FROM supplier c WHERE c.s_nationkey = a.s_nationkey AND c.s_suppkey > a.s_suppkey)",
+)
 def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
+    """Each supplier with the next of its nation, by their places: as many rows as suppliers."""
+    s = ranks(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"], [F.col("s_suppkey")])
     a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+    following = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("b._row") == F.col("a._row") + 1)
+    return a.join(b, following).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(F.col("b.s_acctbal") - F.col("a.s_acctbal"), 2).alias("more"))
 
 
 @register("c11_salted_join", "SELECT event_type, name, count(*) AS n FROM events JOIN (VALUES ('click', 'pointer'), ('view', 'page'), ('purchase', 'shop')) v(kind, name) ON event_type = kind GROUP BY event_type, name")

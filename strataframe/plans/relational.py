@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.antijoin import not_in
-from ..sources.tables import table
+from ..operators.sampling import smallest_hashes
+from ..sources.tables import table, views
 from .registry import register, register_sql
 
 
@@ -62,10 +63,23 @@ register_sql("b5_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalp
 register_sql("b5_correlated_subquery", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE l_quantity < (SELECT 0.2 * avg(m.l_quantity) FROM lineitem m WHERE m.l_partkey = l.l_partkey)")
 
 
-@register("b6_not_in_with_null", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
+@register(
+    "b6_not_in_with_null",
+    """
+    SELECT 'with null' AS kind, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_totalprice > 300000)
+    UNION ALL SELECT 'without' AS kind, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_totalprice > 300000 AND o_custkey <> 1)
+    UNION ALL SELECT 'no values' AS kind, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)
+    """,
+)
 def not_in_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordering = table(spark, sf_dir, "orders").select(F.nullif(F.col("o_custkey"), F.lit(1)).alias("k"))
-    return not_in(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", ordering)
+    """A null among the values leaves no row; without it those of no large order stay; without values all do."""
+    orders = table(spark, sf_dir, "orders")
+    large = orders.filter("o_totalprice > 300000")
+    out = None
+    for kind, some in (("with null", large.select(F.nullif(F.col("o_custkey"), F.lit(1)).alias("k"))), ("without", large.filter("o_custkey <> 1").select("o_custkey")), ("no values", orders.filter("o_totalprice < 0").select("o_custkey"))):
+        kept = not_in(table(spark, sf_dir, "customer").select(F.lit(kind).alias("kind"), "c_custkey"), "c_custkey", some)
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 @register("b6_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -106,7 +120,17 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot(["l_orderkey", "l_linenumber", "l_partkey"], ["l_discount", "l_tax"], "kind", "amount")
 
 
-register_sql("b10_recursive_cte", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 60) SELECT n, total FROM t")
+register_sql(
+    "b10_recursive_cte",
+    """
+    WITH RECURSIVE follows AS (SELECT o_custkey, o_orderkey, o_totalprice, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key FROM orders),
+    firsts AS (SELECT min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey),
+    chain(o_custkey, o_orderkey, next_key, place, most) AS (
+      SELECT o_custkey, o_orderkey, next_key, 1, o_totalprice FROM follows JOIN firsts ON o_orderkey = first_key
+      UNION ALL SELECT f.o_custkey, f.o_orderkey, f.next_key, c.place + 1, greatest(c.most, f.o_totalprice) FROM chain c JOIN follows f ON f.o_orderkey = c.next_key WHERE c.place < 5)
+    SELECT o_custkey, o_orderkey, CAST(place AS BIGINT) AS place, most FROM chain
+    """,
+)
 register_sql("f1_sort", "SELECT p_partkey, p_size, nullif(p_brand, 'Brand#11') AS brand FROM part ORDER BY brand DESC NULLS LAST, p_size ASC NULLS FIRST, p_partkey")
 register_sql("f2_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 
@@ -153,6 +177,25 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@register("f7_table_sample")
+def table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TABLESAMPLE in SQL, repeatable by its seed; other engines draw other rows, so it has no SQL."""
+    views(spark, sf_dir, "orders")
+    return spark.sql("SELECT o_orderkey, o_custkey FROM orders TABLESAMPLE (20 PERCENT) REPEATABLE (11)")
+
+
+@register("f7_exact_strata", "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('3:' || o_orderkey), o_orderkey) <= 100")
+def exact_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred orders of each priority, the same on every run and engine."""
+    return smallest_hashes(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey", 100, seed=3)
+
+
+@register("f7_fixed_size", "SELECT event_id, user_id FROM events ORDER BY md5('5:' || event_id), event_id LIMIT 250")
+def fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform sample of 250 events."""
+    return smallest_hashes(table(spark, sf_dir, "events").select("event_id", "user_id"), [], "event_id", 250, seed=5)
+
+
 @register("f7_hash_sample", "SELECT o_orderkey, o_custkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 4) AS INT) < 6554")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the orders by their keys' hashes: the same rows on every run and engine."""

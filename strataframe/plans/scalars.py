@@ -175,13 +175,16 @@ register_sql(
 )
 
 
-@register("g3_row_hashes", "SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS n_keys, true AS spread, true AS repeatable FROM lineitem")
+_ROW = "concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@register("g3_row_hashes", f"SELECT l_returnflag, count(*) AS n, count(DISTINCT {_ROW}) AS n_keys, CAST(sum(CAST('0x' || substr(md5({_ROW}), 1, 8) AS BIGINT)) AS BIGINT) AS md5_sum, CAST(bit_xor(CAST('0x' || substr(sha256({_ROW}), 1, 8) AS BIGINT)) AS BIGINT) AS sha_xor FROM lineitem GROUP BY l_returnflag")
 def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hash, xxhash64 and crc32 are Spark's own: they must repeat and tell the rows' keys apart."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = table(spark, sf_dir, "lineitem").select(F.xxhash64(*keys).alias("x"), F.hash(*keys).alias("h"), F.crc32(F.concat_ws(",", *keys).cast("binary")).alias("c"), (F.xxhash64(*keys) == F.xxhash64(*keys)).alias("same"), F.struct(*keys).alias("k"))
-    made = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("x"), F.approx_count_distinct("h").alias("h"), F.approx_count_distinct("c").alias("c"), F.countDistinct("k").alias("k"), F.bool_and("same").alias("repeatable"))
-    return made.select("n", F.col("x").alias("n_keys"), ((F.col("x") == F.col("k")) & (F.col("h") > 0.85 * F.col("k")) & (F.col("c") > 0.85 * F.col("k"))).alias("spread"), "repeatable")
+    """Rows' hashes as checksums of a table: xxhash64 tells the keys apart, md5 and sha2 are those of other engines."""
+    row = F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    start = lambda digest: F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.xxhash64(row).alias("x"), start(F.md5(row.cast("binary"))).alias("m"), start(F.sha2(row.cast("binary"), 256)).alias("s"))
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("n_keys"), F.sum("m").alias("md5_sum"), F.bit_xor("s").alias("sha_xor"))
 
 
 register_sql(

@@ -42,19 +42,19 @@ def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(written(tumbling(replayed(spark, sf_dir), "1 hour", slide="15 minutes"), "sliding", "complete"))
 
 
-_SESSIONS = """
+SESSIONS = """
     WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     y AS (SELECT user_id, ts, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, k
     """
 
 
-@register("h3_sessions_batch", _SESSIONS)
+@register("h3_sessions_batch", SESSIONS)
 def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"), "30 minutes")
 
 
-@register("h3_sessions_stream", f"SELECT * FROM ({_SESSIONS}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+@register("h3_sessions_stream", f"SELECT * FROM ({SESSIONS}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append mode: sessions that the watermark, ten minutes behind the last event, has closed."""
     return written(sessions(replayed(spark, sf_dir), "30 minutes", "10 minutes"), "sessions")
@@ -123,7 +123,7 @@ def timed_sessions(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(TimedSessions(30 * 60_000), "user_id long, session_start timestamp_ntz, session_end timestamp_ntz, n long", "Append", "EventTime")
 
 
-@register("h6_timer_sessions", f"SELECT * FROM ({_SESSIONS}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+@register("h6_timer_sessions", f"SELECT * FROM ({SESSIONS}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def timer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What h3_sessions_stream does, by timers of one's own: a session leaves without another event of its user."""
     with _state_in_rocksdb(spark):

@@ -16,7 +16,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_those_without_sql_are_known():
-    assert sorted(set(QUERIES) - set(SQL)) == ["d9_sketches", "f7_sample", "g10_nearest_by_index"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["d9_sketches", "f7_sample", "f7_table_sample", "g10_nearest_by_index"]
 
 
 def test_sample_is_repeatable_and_near_its_share(spark, sf_dir):
@@ -25,6 +25,16 @@ def test_sample_is_repeatable_and_near_its_share(spark, sf_dir):
     assert 400 < len(a) < 800
 
 
+def test_table_sample_is_repeatable_and_near_its_share(spark, sf_dir):
+    a, b = (sorted(map(tuple, QUERIES["f7_table_sample"](spark, sf_dir).collect())) for _ in range(2))
+    assert a == b and 200 < len(a) < 400
+
+
+def test_exact_strata_have_their_size(spark, sf_dir):
+    got = QUERIES["f7_exact_strata"](spark, sf_dir).groupBy("o_orderpriority").count().collect()
+    assert len(got) == 5 and {r["count"] for r in got} == {100}
+
+
 def test_entry(spark):
     import __spark_entry__
 
