@@ -11,8 +11,8 @@ Texts below that length are cut at every such place: the words between ASCII whi
 are encoded once for each task's table and their counts summed. Texts that repeat are cut and encoded
 once; what is cut is read from a table of the different long texts, also where overlaps widen.
 
-Whether a tokenizer parts texts at whitespace is tried at the start (parts_at_blanks()); one that
-doesn't encodes whole texts.
+Whether a tokenizer parts texts at whitespace is read from its file (tells_of_blanks()) and tried at the start
+(parts_at_blanks()); one that doesn't encodes whole texts.
 
 Defined results: null text counts as empty and has 0 tokens; one row per row of docs, repeated
 rows and null doc_id included; columns other than doc_id and the text are not looked at.
@@ -57,8 +57,46 @@ def _tokenizer(path: str):
 _PROBES = ("hello", "a", "I", "42", "it's", "'s", "é", "e\u0301", "\u0301", "日本", "ﬁ", "…", "--", "x_y", "<|endoftext|>", "\u00a0", "\U0001f600")
 
 
+#: Kinds of normalisers and pre-tokenizers that join nothing across whitespace, whatever they are set to.
+_SAFE = frozenset("NFC NFD NFKC NFKD Lowercase StripAccents Sequence BertNormalizer ByteLevel Whitespace WhitespaceSplit BertPreTokenizer Punctuation Digits".split())
+
+
+def tells_of_blanks(path: str) -> list[str]:
+    """Why a tokenizer, by its file, might hold whitespace in a token: added tokens or entries of the vocabulary with
+    whitespace or that take it from beside them, and parts of its normaliser or pre-tokenizer that aren't known to
+    part or keep it. What is left is tried by parts_at_blanks()."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    out = [f"added token {t['content']!r}" for t in told.get("added_tokens") or [] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c in BLANK or c == "\u2581" for c in t["content"])]
+    vocabulary = told["model"].get("vocab") or {}
+    names = vocabulary if isinstance(vocabulary, dict) else [v[0] for v in vocabulary]
+    out += [f"entry {w!r}" for w in names if not BLANK.isdisjoint(w)][:9]
+
+    def parts(x):
+        if isinstance(x, dict):
+            yield x
+            for more in x.get("normalizers") or x.get("pretokenizers") or []:
+                yield from parts(more)
+
+    for part in (p for name in ("normalizer", "pre_tokenizer") for p in parts(told.get(name))):
+        kind, pattern = part["type"], (part.get("pattern") or {})
+        if kind == "Replace" and part.get("content") == " " and pattern.get("Regex") == r"\s+":
+            continue  # runs of whitespace become one space
+        if kind == "Split" and part.get("behavior") == "Removed" and part.get("invert"):
+            continue  # only what the pattern finds is kept; whether it finds whitespace is tried
+        if kind not in _SAFE:
+            out.append(f"{kind} {pattern or ''}".strip())
+    if not told.get("pre_tokenizer"):
+        out.append("no pre-tokenizer")
+    return out
+
+
 def parts_at_blanks(path: str) -> bool:
     """Whether the tokens of two words with ASCII whitespace between are those of each word."""
+    if tells_of_blanks(path):
+        return False
     encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     tokenizer = _tokenizer(path)
     own = {w: encode(w) for w in _PROBES}

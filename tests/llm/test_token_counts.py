@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 import pytest
 
@@ -61,3 +63,36 @@ def test_a_tokenizer_that_keeps_blanks_encodes_whole_texts(spark, odd_documents)
     t = op._tokenizer(other)
     want = sorted(((r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd_documents.collect()), key=repr)
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in op.count_tokens(odd_documents, other, long=100).collect()), key=repr) == want
+
+
+def _changed(tmp_path, change):
+    told = json.load(open(PATH, encoding="utf-8"))
+    change(told)
+    at = tmp_path / "changed.json"
+    at.write_text(json.dumps(told), encoding="utf-8")
+    return str(at)
+
+
+def _token(content, **more):
+    return {"id": 49408, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False} | more
+
+
+@pytest.mark.parametrize("token", [_token("New York"), _token("<mask>", lstrip=True), _token("<mask>", rstrip=True), _token("in", single_word=True)])
+def test_a_tokenizer_whose_added_tokens_touch_whitespace(spark, tmp_path, token):
+    path = _changed(tmp_path, lambda told: told["added_tokens"].append(token))
+    assert op.tells_of_blanks(path) and not op.parts_at_blanks(path)
+    texts = ["in New York now", "a <mask> b", "New  York", None, "word " * 20_000 + "New York"]
+    t = op._tokenizer(path)
+    got = op.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    assert [r["n_tokens"] for r in got.orderBy("doc_id").collect()] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+@pytest.mark.parametrize("name,part", [("normalizer", {"type": "Replace", "pattern": {"String": "a b"}, "content": "c"}), ("pre_tokenizer", {"type": "Metaspace", "replacement": "\u2581", "prepend_scheme": "always", "split": False}), ("pre_tokenizer", None)])
+def test_a_tokenizer_whose_file_may_join_words(tmp_path, name, part):
+    path = _changed(tmp_path, lambda told: told.__setitem__(name, part))
+    assert op.tells_of_blanks(path)
+
+
+def test_the_given_tokenizer_parts_at_blanks():
+    assert op.tells_of_blanks(PATH) == [] and op.parts_at_blanks(PATH)
+    assert not op.parts_at_blanks(public_tokenizers.path("byte_bpe_50k.json"))
