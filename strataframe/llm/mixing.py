@@ -9,7 +9,7 @@ of tokens in expectation, and a document stays if its hash is below its cell's p
 Where cells reach 1, that scale keeps the budget but not the marginals. Bounded targets are raked
 under the bound instead: a source's factor is solved exactly with its cells capped at 1, those of
 languages and topics take what the capped cells leave. A value that has less than its part of the
-budget gives all it has, and the others of its marginal share the rest. Either way Mix.shares has
+budget gives all it has, and the others of its marginal share the rest. Cycles go on until the sums settle, by one rule at every number of sources. Either way Mix.shares has
 wanted and reached shares, and those that are missed are logged as a warning.
 
 Defined results: tokens are runs of characters other than space and 0x09-0x0D; a null text has
@@ -54,19 +54,22 @@ class Targets:
     topic_column: str | None = None
 
 
-#: Cycles at most, and the relative change of the factors at which they end.
-CYCLES = 60
+#: Cycles at most, at any number of sources, and the relative change of the factors at which they end. Marginals that contradict
+#: each other near their limit slowly or not at all: then Mix.settled and the result's column settled are false.
+CYCLES = 5_000
 SETTLED = 1e-9
-#: Rounds that the scale of the probabilities takes at most.
-SCALE_ROUNDS = 40
-#: Sources up to so many are raked under the bound on the driver, without a job for each cycle: some MB.
+#: Rounds that the scale of the probabilities takes at most; each caps more cells, or it is the last.
+SCALE_ROUNDS = 400
+#: Sources up to so many are raked under the bound on the driver, without a job for each cycle: some MB. The cycles, and
+#: when they end, are the same.
 FEW = 10_000
-#: Cycles that bounded raking takes at most, on the driver and by jobs, and the change of the cells' sums, as a share of all tokens, at which it ends.
-#: Marginals that contradict each other near their limit slowly: at the bound that is told, and what it misses is too.
-FEW_CYCLES, BOUNDED_CYCLES = 5_000, 60
 #: A language's or topic's factor against the median one; those of marginals that contradict each other would grow for ever.
+#: A mix with a factor there hasn't settled.
 FARTHEST = 1e9
+#: Bounded raking ends when the cells' sums change by less than this share of all tokens.
 BOUNDED_SETTLED = 1e-13
+#: It counts as settled where they change by no more than this when the cycles end.
+NEARLY = 1e-9
 #: Shares that are further from what was wanted are told.
 TOLD = 1e-3
 
@@ -166,8 +169,8 @@ def _few_factors(t: np.ndarray, most: np.ndarray, goal: np.ndarray, f: np.ndarra
     return np.divide(goal[:, None] - full, share, out=np.zeros_like(share), where=share > 0).max(1, initial=0.0)
 
 
-def _bounded(sources: DataFrame, by_cell: np.ndarray, lang_share: np.ndarray, topic_share: np.ndarray, budget: float) -> tuple[DataFrame, np.ndarray]:
-    """sources: source_key, t, wanted. Returns them with their factors a, and the cells' factors, for probabilities min(1, a * f)."""
+def _bounded(sources: DataFrame, by_cell: np.ndarray, lang_share: np.ndarray, topic_share: np.ndarray, budget: float, cycles: int) -> tuple[DataFrame, np.ndarray, bool]:
+    """sources: source_key, t, wanted. Returns them with their factors a, the cells' factors, for probabilities min(1, a * f), and whether they settled."""
     used = (lang_share[:, None] > 0) & (topic_share[None, :] > 0)
     have = by_cell * used
     budget = min(budget, have.sum())
@@ -182,7 +185,6 @@ def _bounded(sources: DataFrame, by_cell: np.ndarray, lang_share: np.ndarray, to
     goals = _within(lang_share, have.sum(1), budget), _within(topic_share, have.sum(0), budget)
     few = sources.limit(FEW + 1).select("t", "most", "goal").collect()
     few = [np.array([r[k] for r in few], float) for k in range(3)] if len(few) <= FEW else None
-    cycles = FEW_CYCLES if few else BOUNDED_CYCLES
 
     def held(under: np.ndarray, f: np.ndarray) -> np.ndarray:
         """By cell, with the sources' factors for under: tokens in capped cells, weighted tokens in others."""
@@ -194,7 +196,7 @@ def _bounded(sources: DataFrame, by_cell: np.ndarray, lang_share: np.ndarray, to
         rows = rows.select(*(_where(list(f.ravel()), 1.0, capped).alias(name) for name, capped in (("full", True), ("part", False))))
         return np.array(rows.agg(*(F.sum(F.col(name)[k]).alias(f"{name}{k}") for name in ("full", "part") for k in range(f.size))).first(), float).reshape(2, -1)
 
-    factors, last = [np.ones(n) for n in used.shape], None
+    factors, last, moved = [np.ones(n) for n in used.shape], None, np.inf
     for _ in range(cycles):
         factors = [x / np.median(x) for x in factors]
         f = under = used * np.outer(*factors)
@@ -210,23 +212,25 @@ def _bounded(sources: DataFrame, by_cell: np.ndarray, lang_share: np.ndarray, to
             factors[1 - axis] = np.clip(factors[1 - axis] * by, 1 / FARTHEST, FARTHEST)
             f = used * np.outer(*factors)
         now = cells[0] + cells[1]
-        if last is not None and np.abs(now - last).max() <= BOUNDED_SETTLED * by_cell.sum():
+        moved = np.abs(now - last).max() / by_cell.sum() if last is not None else np.inf
+        if moved <= BOUNDED_SETTLED:
             break
         last = now
-    else:
-        LOG.warning("the bounded mix didn't settle in %d cycles", cycles)
-    return sources.select("source_key", "t", "wanted", _source_factor(under.ravel()).alias("a")), f
+    clipped = any((x * FARTHEST <= 1).any() or (x >= FARTHEST).any() for x in factors)
+    return sources.select("source_key", "t", "wanted", _source_factor(under.ravel()).alias("a")), f, bool(moved <= NEARLY and not clipped)
 
 
 @dataclass(frozen=True)
 class Mix:
     """sources: source_key, a (its factor); cells: the factor of each cell; scale of probabilities;
-    shares: (marginal, value, wanted share, reached share) of each language and topic and of the source furthest off."""
+    shares: (marginal, value, wanted share, reached share) of each language and topic and of the source furthest off;
+    settled: whether raking and the scale came to an end before their cycles did."""
 
     sources: DataFrame
     cells: list[float]
     scale: float
     shares: list[tuple[str, str, float, float]]
+    settled: bool = True
 
     def probability(self) -> Column:
         """For rows with a and cell."""
@@ -261,7 +265,7 @@ def fit_cells(celled: DataFrame, t: Targets, cycles: int = CYCLES) -> Mix:
     lang_share, topic_share = _scaled(t.languages, langs, by_cell.sum(1)), _scaled(t.topics, list(t.topics), by_cell.sum(0))
     f = np.ones((len(langs), n_topics))
     quotient = lambda top, under: np.divide(top, under, out=np.zeros_like(top), where=under > 0)
-    factor = F.lit(0.0)
+    factor, settled = F.lit(0.0), True
     for _ in range(cycles if all_tokens and not t.bounded else 0):
         inner = _total(F.zip_with("t", _doubles(f.ravel()), lambda x, y: x * y))
         factor = F.when(inner > 0, F.col("wanted") / F.lit(float(all_wanted)) * F.lit(float(all_tokens)) / inner).otherwise(0.0)
@@ -272,11 +276,10 @@ def fit_cells(celled: DataFrame, t: Targets, cycles: int = CYCLES) -> Mix:
         if np.allclose(f, before, rtol=SETTLED, atol=0):
             break
     else:
-        if all_tokens and not t.bounded:
-            LOG.warning("the mix didn't settle in %d cycles", cycles)
+        settled = not all_tokens or t.bounded
     made = sources.select("source_key", "t", "wanted", factor.alias("a"))
     if t.bounded and all_tokens:
-        made, f = _bounded(sources, by_cell, lang_share, topic_share, t.budget * all_tokens)
+        made, f, settled = _bounded(sources, by_cell, lang_share, topic_share, t.budget * all_tokens, cycles)
     cells = [float(x) for x in f.ravel()]
     sources = materialize(made, "mix-factors")
     # the scale that keeps the budget: cells at probability 1 give what they have, the others share the rest
@@ -288,13 +291,14 @@ def fit_cells(celled: DataFrame, t: Targets, cycles: int = CYCLES) -> Mix:
             break
         scale = new
     else:
-        if all_tokens and not t.bounded:
-            LOG.warning("the scale of the probabilities didn't settle in %d rounds", SCALE_ROUNDS)
+        settled = settled and (not all_tokens or t.bounded)
+    if not settled:
+        LOG.warning("the mix didn't settle in %d cycles", cycles)
     shares = _shares(sources, cells, scale, all_wanted, {"language": (langs, lang_share), "topic": (list(t.topics), topic_share)}) if all_tokens else []
     for marginal, value, wanted, reached in shares:
         if abs(wanted - reached) > TOLD:
             LOG.warning("the mix misses its target: %s %r has %.4f of the kept tokens, wanted %.4f", marginal, value, reached, wanted)
-    return Mix(sources.select("source_key", "a"), cells, float(scale), shares)
+    return Mix(sources.select("source_key", "a"), cells, float(scale), shares, settled)
 
 
 def _shares(sources: DataFrame, cells: list[float], scale: float, all_wanted: float, marginals: dict[str, tuple[list[str], np.ndarray]]) -> list[tuple[str, str, float, float]]:
@@ -318,8 +322,8 @@ def uniform(seed: int) -> Column:
 
 
 def mixed_documents(docs: DataFrame, t: Targets = Targets()) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability, sampled of every document, and the shares of the kept
-    tokens, as wanted and as reached in expectation, of its language and topic."""
+    """doc_id, source, lang, topic, n_tokens, probability, sampled of every document, the shares of the kept
+    tokens, as wanted and as reached in expectation, of its language and topic, and whether the mix has settled."""
     names = F.array(*map(F.lit, t.topics))
     celled = materialize(_celled(docs, t, F.col("doc_id"), F.col("source"), F.col("lang"), n_tokens().alias("tokens")), "mix-documents")
     mix = fit_cells(celled, t)
@@ -333,7 +337,7 @@ def mixed_documents(docs: DataFrame, t: Targets = Targets()) -> DataFrame:
 
     lang, at = F.floor(F.col("cell") / n).cast("int"), F.col("cell") % n
     shares = [share(m, values, place, k).alias(f"{m}_{name}") for m, values, place in (("language", langs, lang), ("topic", list(t.topics), at)) for k, name in enumerate(("wanted", "reached"))]
-    return made.select("doc_id", "source", "lang", topic.alias("topic"), F.col("tokens").alias("n_tokens"), "probability", (uniform(t.seed) < F.col("probability")).alias("sampled"), *shares)
+    return made.select("doc_id", "source", "lang", topic.alias("topic"), F.col("tokens").alias("n_tokens"), "probability", (uniform(t.seed) < F.col("probability")).alias("sampled"), *shares, F.lit(mix.settled).alias("settled"))
 
 
 def sample_documents(docs: DataFrame, t: Targets = Targets()) -> DataFrame:
@@ -391,6 +395,8 @@ def _bounded_parts(t: Targets) -> list[str]:
                     SELECT *, sum(t) {order} AS cum_t, sum(t * f) {order} AS cum_f FROM raked WHERE n < {SQL_CYCLES}))))))""",
         # the last factors of languages and topics with the sources' factors that they were fitted to
         f"p AS MATERIALIZED (SELECT source_key, l, k, least(1.0, a * f) AS p FROM raked WHERE n = {SQL_CYCLES})",
+        f"""settled AS (SELECT max(abs(x)) <= {NEARLY} * (SELECT t FROM total) AS settled FROM (
+          SELECT sum(t * least(1.0, a * f) * CASE n WHEN {SQL_CYCLES} THEN 1 ELSE -1 END) AS x FROM raked WHERE n >= {SQL_CYCLES} - 1 GROUP BY l, k))""",
     ]
 
 
@@ -432,7 +438,7 @@ def oracle(documents: str = "documents", t: Targets = Targets(), cycles: int = 3
     return f"""
     WITH RECURSIVE {", ".join(parts)}
     SELECT doc_id, source, lang, ([{names}])[docs.k + 1] AS topic, tokens AS n_tokens, round(coalesce(p, 0), 6) AS probability, {uniform_sql} < coalesce(p, 0) AS sampled,
-      round(coalesce(ls.share, 0), 4) AS language_wanted, round(coalesce(rl.reached, 0), 4) AS language_reached, round(coalesce(ts.share, 0), 4) AS topic_wanted, round(coalesce(rk.reached, 0), 4) AS topic_reached
+      round(coalesce(ls.share, 0), 4) AS language_wanted, round(coalesce(rl.reached, 0), 4) AS language_reached, round(coalesce(ts.share, 0), 4) AS topic_wanted, round(coalesce(rk.reached, 0), 4) AS topic_reached, {"(SELECT settled FROM settled)" if t.bounded else "true"} AS settled
     FROM docs LEFT JOIN p USING (source_key, l, k) LEFT JOIN lang_share ls ON ls.l = docs.l LEFT JOIN topic_share ts ON ts.k = docs.k LEFT JOIN reached_l rl ON rl.l = docs.l LEFT JOIN reached_k rk ON rk.k = docs.k
     """
 

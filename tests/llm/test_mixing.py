@@ -114,9 +114,36 @@ def test_shares_are_in_the_result(spark):
     assert (abs(got["topic_wanted"] - got["topic_reached"]) < 1e-3).all()
 
 
-def test_unsettled_raking_is_told(spark, caplog):
-    op.fit(corpus(spark, 500), op.Targets(), cycles=1)
+@pytest.mark.parametrize("bounded", [False, True])
+def test_unsettled_raking_is_told(spark, caplog, bounded):
+    docs = corpus(spark, 500)
+    assert not op.fit(docs, op.Targets(bounded=bounded), cycles=1).settled
     assert any("didn't settle in 1 cycles" in r.getMessage() for r in caplog.records)
+    assert op.fit(docs, op.Targets(bounded=bounded)).settled
+
+
+@pytest.mark.parametrize("n", [9_000, 11_000])
+def test_one_rule_at_every_number_of_sources(spark, monkeypatch, n):
+    """The way by jobs takes as many cycles as the way on the driver, and ends with the same probabilities. Languages and
+    topics go together, so that raking takes more than sixty cycles."""
+    r = np.random.default_rng(1)
+    t = op.Targets(budget=0.5, bounded=True, languages={"en": 0.51, op.REST: 0.49}, topics={"legal": 0.49, "prose": 0.51}, signs={"legal": ("x",)})
+    rows = []
+    for k in range(n):
+        most = k % 2
+        rows += [(f"s{k}", cell, int(1 + 1000 * share * (0.5 + r.random()))) for cell, share in enumerate((0.85 if most else 0.1, 0.03, 0.03, 0.1 if most else 0.85))]
+    celled, seen, cycles = spark.createDataFrame(rows, "source_key string, cell int, tokens long").coalesce(2), [], []
+    true = op._source_factor
+    for few in (20_000, 100):
+        monkeypatch.setattr(op, "FEW", few)
+        made = []
+        monkeypatch.setattr(op, "_source_factor", lambda f, made=made: made.append(0) or true(f))
+        mix = op.fit_cells(celled, t)
+        assert mix.settled
+        cycles.append(len(made))
+        seen.append(celled.join(mix.sources, "source_key").select("source_key", "cell", mix.probability().alias("p")).toPandas().set_index(["source_key", "cell"])["p"].sort_index())
+    assert np.abs(seen[0] - seen[1]).max() < 1e-6
+    assert cycles[1] > 2 * 60  # two jobs a cycle
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
