@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written as materialize
 
-__all__ = ["Words", "crc32_of", "lowered", "mapped", "materialize", "mixed", "slices", "table", "word_hashes"]
+__all__ = ["Words", "crc32_of", "joined_by_hubs", "lowered", "mapped", "materialize", "mixed", "slices", "table", "word_hashes"]
 
 #: Text bytes that a task looks at together.
 SLICE_BYTES = 1 << 20
@@ -48,6 +48,20 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Keys that may have more than the so-manieth part of all rows; no more than so many can.
+HUBS = 500
+
+
+def joined_by_hubs(rows: DataFrame, told: DataFrame, key: str, often: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """rows join told on key. told has one row for each key, with how often rows has it (dropped). Rows of the few keys that have more
+    than n_rows / HUBS of them stay where they lie and meet a broadcast of HUBS rows at most; the others are shuffled."""
+    many = F.col(often) * HUBS > n_rows
+    hubs, others = told.filter(many).drop(often), told.filter(~many).drop(often)
+    of_hubs = rows.join(F.broadcast(hubs), key)
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key, how)
+    return of_hubs.unionByName(rest)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of a batch with about limit text bytes each (one row at least), each with
     its UTF-8 bytes and row offsets. A null text counts as empty."""

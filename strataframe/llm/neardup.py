@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import discard, made_folders
-from .common import Words, lowered, mapped, materialize, mixed, slices, table, word_hashes
+from .common import HUBS, Words, joined_by_hubs, lowered, mapped, materialize, mixed, slices, table, word_hashes
 from .components import connected_components
 
 SHINGLE = 4
@@ -351,10 +351,10 @@ def _blocks(w: Column, block: int) -> Column:
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
     """meet and the columns of rows (bucket, node, component, n, index, w) dealt out so that each pair of a
     bucket's nodes meets somewhere, unless both belong to the bucket's largest component."""
-    sizes = rows.groupBy("bucket", "component").agg(F.sum("w").alias("w"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"))
-    main = main.select("bucket", "main", _blocks(F.col("w_main"), block).alias("n_main"), _blocks(F.col("w") - F.col("w_main"), block).alias("n_rest"))
-    rows = rows.join(main, "bucket").withColumn("in_main", F.col("component") == F.col("main"))
+    sizes = rows.groupBy("bucket", "component").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("often"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w"), F.sum("often").alias("often"))
+    main = main.select("bucket", "often", "main", _blocks(F.col("w_main"), block).alias("n_main"), _blocks(F.col("w") - F.col("w_main"), block).alias("n_rest"))
+    rows = joined_by_hubs(rows, main, "bucket", "often", rows.count()).withColumn("in_main", F.col("component") == F.col("main"))
     spread = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
     own = spread + F.when(F.col("in_main"), F.col("n_rest")).otherwise(0)  # blocks of the rest come first
     rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
@@ -370,11 +370,12 @@ def _starred(heavy: DataFrame, members: DataFrame, block: int) -> DataFrame:
     big = members.withColumnRenamed("least", "centre").join(heavy.select("node", "w"), "node")
     often = big.groupBy("node", "w", "centre").agg(F.count(F.lit(1)).alias("often"))
     star = materialize(often.groupBy("node", "w").agg(F.max_by("centre", F.struct("often", -F.col("centre"))).alias("centre")), "stars")
-    blocks = star.groupBy("centre").agg(_blocks(F.sum("w"), block).alias("blocks"))
-    dealt = star.join(blocks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node")
+    n, often = star.count(), F.count(F.lit(1)).alias("often")
+    blocks = star.groupBy("centre").agg(_blocks(F.sum("w"), block).alias("blocks"), often)
+    dealt = joined_by_hubs(star, blocks, "centre", "often", n).select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node")
     centres = blocks.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.col("centre").alias("node"))
-    sizes = heavy.groupBy("family").agg(_blocks(F.sum("w"), block).alias("blocks"))
-    chance = heavy.join(sizes, "family").select("node", F.xxhash64("family", F.lit(True), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).alias("meet"))
+    sizes = heavy.groupBy("family").agg(_blocks(F.sum("w"), block).alias("blocks"), often)
+    chance = joined_by_hubs(heavy, sizes, "family", "often", n).select("node", F.xxhash64("family", F.lit(True), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).alias("meet"))
     by_centre = dealt.unionByName(centres).select("node", F.xxhash64("centre", "own").alias("meet"))
     return by_centre.unionByName(chance).select("meet", "node", F.col("node").alias("component"))
 
@@ -408,9 +409,10 @@ def _heavy_parts(heavy: DataFrame, members: DataFrame, sets: DataFrame, block: i
     """node, component of heavy (family, node, n, w), nodes of families too heavy for one task, as far as they have links."""
     first = connected_components(_verified(_starred(heavy, members, block), sets))
     placed = heavy.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("family", "component").agg(F.sum("w").alias("w"))
-    several = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("components"), (F.sum("w") - F.max("w")).alias("rest")).filter("components > 1")
-    open_ = materialize(placed.join(several.select("family", "rest"), "family").select("family", "node", "component", "n", "w", "rest"), "open-nodes")
+    sizes = placed.groupBy("family", "component").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("often"))
+    several = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("components"), (F.sum("w") - F.max("w")).alias("rest"), F.sum("often").alias("often"))
+    rests = joined_by_hubs(placed, several.select("family", "rest", "components", "often"), "family", "often", heavy.count()).filter("components > 1")
+    open_ = materialize(rests.select("family", "node", "component", "n", "w", "rest"), "open-nodes")
     if open_.isEmpty():
         return first
     few, many = open_.filter(F.col("rest") <= REST * block), open_.filter(F.col("rest") > REST * block)
@@ -431,8 +433,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", b
     made = materialize(signed(docs, width, text, carry), "minima")
     usable = made.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     rows = usable.select("node", F.explode("keys").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    members = materialize(rows.join(shared.select("bucket", "least"), "bucket").distinct(), "members")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("often"))
+    n_rows = BANDS * usable.count()
+    # a bucket of very many rows is never shuffled by its key, so it may go on to distinct() without other nodes
+    shared = shared.filter((F.col("least") < F.col("most")) | (F.col("often") * HUBS > n_rows)).select("bucket", "least", "most", "often")
+    members = materialize(joined_by_hubs(rows, shared, "bucket", "often", n_rows).filter("least < most").select("bucket", "node", "least").distinct(), "members")
     # the node's smallest doc_id first, so that many copies of a text are one row before rows move by node
     own = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     nodes = usable.join(own.join(members.select("node").distinct(), "node", "left_semi"), ["node", "doc_id"]).dropDuplicates(["node"])
@@ -440,27 +445,30 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, text: str = "text", b
     # buckets of the same nodes are one
     sized = members.join(nodes.select("node", "w"), "node")
     buckets = sized.groupBy("bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    buckets = materialize(buckets.groupBy("w", "m", "x", "y").agg(F.min("bucket").alias("bucket")), "unlike-buckets")
-    small, large = buckets.filter(F.col("w") <= block), buckets.filter(F.col("w") > block)
-    loose = _close(members.join(small.select("bucket"), "bucket").select(F.col("bucket").alias("meet"), "node"), nodes)
-    starred = members.join(large.select("bucket"), "bucket").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    alike = buckets.groupBy("w", "m", "x", "y").agg(F.min("bucket").alias("bucket"))
+    buckets = materialize(alike.select("bucket", "w", "m"), "unlike-buckets")
+    weighed = joined_by_hubs(members, buckets, "bucket", "m", members.count())
+    loose = _close(weighed.filter(F.col("w") <= block).select(F.col("bucket").alias("meet"), "node"), nodes)
+    starred = weighed.filter((F.col("w") > block) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
     families = connected_components(loose.unionByName(starred)).withColumnRenamed("component", "family")
     families = materialize(families.join(nodes, "node"), "families")
-    weights = families.groupBy("family").agg(F.sum("w").alias("total"))
+    weights = families.groupBy("family").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("often"))
+    by_weight = joined_by_hubs(families.drop("sig"), weights, "family", "often", families.count())
     sets = materialize(_sets(families, docs, width, text), "sets")
-    light = families.join(weights.filter(F.col("total") <= block), "family", "left_semi")
+    light = by_weight.filter(F.col("total") <= block)
     parts = _verified(light.select(F.col("family").alias("meet"), "node", F.col("node").alias("component")), sets, whole=True).select(F.col("b").alias("node"), F.col("a").alias("component"))
-    heavy = materialize(families.join(weights.filter(F.col("total") > block), "family", "left_semi").select("family", "node", "n", "w"), "heavy-families")
+    heavy = materialize(by_weight.filter(F.col("total") > block).select("family", "node", "n", "w"), "heavy-families")
     if not heavy.isEmpty():
         parts = parts.unionByName(_heavy_parts(heavy, members, sets, block))
-    # nodes of one row that are linked with nothing need no name; a written table can be split where a node has many rows
+    # nodes of one row that are linked with nothing need no name
     parts = materialize(parts, "parts")
-    least = own.join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("joint_id"))
-    joint = parts.join(least, "component").select("node", "joint_id")
-    named = own.join(joint, "node", "left").filter((F.col("copies") > 1) | F.col("joint_id").isNotNull()).select("node", F.coalesce("joint_id", "doc_id").alias("component_id"))
+    least = own.join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("joint_id"), F.count(F.lit(1)).alias("often"))
+    joint = joined_by_hubs(parts, least, "component", "often", parts.count()).select("node", "joint_id")
+    named = own.join(joint, "node", "left").filter((F.col("copies") > 1) | F.col("joint_id").isNotNull()).select("node", F.coalesce("joint_id", "doc_id").alias("component_id"), "copies")
     named = materialize(named, "names")
     discard(docs.sparkSession, before, made, named)
-    out = made.select("doc_id", "n", "node", *carry).join(named, "node", "left")
+    rows = made.select("doc_id", "n", "node", *carry)
+    out = joined_by_hubs(rows, named, "node", "copies", rows.count(), "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *carry)
 
