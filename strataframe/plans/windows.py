@@ -106,7 +106,7 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour FROM events",
 )
 def range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's hours of six, each with the hour before it."""
+    """A user's spans of six hours, each with the hour before it."""
     hour = 3_600_000_000
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     rows = time_spans(events, ["user_id"], F.col("micros"), 6 * hour, hour)

@@ -60,7 +60,8 @@ class RunningTotals(StatefulProcessor):
 
 class TimedSessions(StatefulProcessor):
     """Each user's sessions, closed by event-time timers: a session leaves when the watermark has passed its end,
-    whether or not another event of the user comes. State: the open sessions, as a list."""
+    whether or not another event of the user comes. An event a whole gap after the last one begins another session (session_window()
+    would join them). State: the open sessions, as a list."""
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
