@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jvm import register_aggregator
 from ..functions.udfs import Sessions, Words, demeaned, discounted, doubled, flags, known, log_sum, matched
 from ..sources.tables import table
 from .registry import register
@@ -31,6 +32,14 @@ def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy("p_brand").agg(F.round(F.exp(F.sum("logs") / F.sum("n")), 4).alias("mean"))
 
 
+@register("i6_jvm_aggregator", "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 4) AS mean FROM part GROUP BY p_brand")
+def jvm_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a typed aggregator in the JVM: each task has a buffer for a brand, and only those are shuffled."""
+    register_aggregator(spark, "geometric_mean", "GeometricMean")
+    means = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.expr("geometric_mean(p_retailprice)").alias("mean"))
+    return means.select("p_brand", F.round("mean", 4).alias("mean"))
+
+
 @register("i3_grouped_map", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS distance FROM lineitem WHERE l_quantity > 40")
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame has the lines of 256 orders: their number is the orders' own, however many orders there are, and a frame for

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators.scans import carried, cume_dist, ntile, percent_rank, ranks, spans, time_spans
@@ -42,7 +42,8 @@ def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("s_suppkey", ntile(4).alias("quarter"), F.round(percent_rank(), 8).alias("pr"), F.round(cume_dist(), 8).alias("cd"))
 
 
-_BY_USER = Window.partitionBy("user_id", "_span").orderBy("_row")
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("user_id", "_span").orderBy("_row")
 
 
 def _by_user(spark: SparkSession, sf_dir: str, before: int = 0, after: int = 0) -> DataFrame:
@@ -61,7 +62,7 @@ def _by_user(spark: SparkSession, sf_dir: str, before: int = 0, after: int = 0)
 )
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = carried(_by_user(spark, sf_dir, 1, 2), ["user_id"], firsts={"first_id": (F.col("event_id"), 1), "second_type": (F.col("event_type"), 2)})
-    made = rows.select("event_id", F.lag("event_id").over(_BY_USER).alias("before"), F.lead("value", 2, -1.0).over(_BY_USER).alias("after"), "first_id", "second_type", "_own")
+    made = rows.select("event_id", F.lag("event_id").over(_in_order()).alias("before"), F.lead("value", 2, -1.0).over(_in_order()).alias("after"), "first_id", "second_type", "_own")
     return made.filter("_own").drop("_own")
 
 
@@ -70,7 +71,7 @@ def ignore_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last view in the span so far, or else the one that the user had before it."""
     view = F.when(F.col("event_type") == "view", F.col("event_id"))
     rows = carried(_by_user(spark, sf_dir), ["user_id"], lasts={"earlier": view})
-    here = F.last(view, ignorenulls=True).over(_BY_USER.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    here = F.last(view, ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.select("event_id", F.coalesce(here, "earlier").alias("last_view"))
 
 
@@ -85,7 +86,7 @@ def ignore_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_user(spark, sf_dir, 2, 3)
-    made = rows.select("event_id", F.round(F.sum("value").over(_BY_USER.rowsBetween(-2, 0)), 4).alias("moving"), F.col("_row").alias("n_so_far"), F.max("value").over(_BY_USER.rowsBetween(1, 3)).alias("next_most"), "_own")
+    made = rows.select("event_id", F.round(F.sum("value").over(_in_order().rowsBetween(-2, 0)), 4).alias("moving"), F.col("_row").alias("n_so_far"), F.max("value").over(_in_order().rowsBetween(1, 3)).alias("next_most"), "_own")
     return made.filter("_own").drop("_own")
 
 

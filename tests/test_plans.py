@@ -66,3 +66,26 @@ def test_not_in_broadcasts_no_unbounded_side(spark, sf_dir):
 
 def test_global_sort_is_by_ranges(spark, sf_dir):
     assert "rangepartitioning" in plan(QUERIES["f1_sort"](spark, sf_dir)) and "TakeOrdered" not in plan(QUERIES["f1_sort"](spark, sf_dir))
+
+
+def test_the_jvm_aggregator_keeps_a_buffer_in_each_task(spark, sf_dir):
+    got = plan(QUERIES["i6_jvm_aggregator"](spark, sf_dir))
+    assert "partial_geometricmean" in got.lower().replace("_$", "") or got.count("ObjectHashAggregate") >= 2
+    assert "Python" not in got and "Pandas" not in got
+
+
+def test_ranks_have_no_window_by_the_group_alone(spark, sf_dir):
+    for name, key in (("e1_ranks", "c_nationkey"), ("e2_distribution", "s_nationkey"), ("e3_offsets", "user_id"), ("e4_row_frames", "user_id"), ("e5_range_frame", "user_id")):
+        got = plan(QUERIES[name](spark, sf_dir))
+        assert f"hashpartitioning({key}" in got
+        for line in got.splitlines():
+            if "hashpartitioning(" in line and "Exchange" not in line and f"({key}" in line:
+                assert line.count(",") >= 3, (name, line)  # the key with a partition or span
+
+
+def test_a_jvm_aggregator_of_nulls_and_no_rows(spark):
+    from strataframe.functions.jvm import register_aggregator
+
+    register_aggregator(spark, "geometric_mean", "GeometricMean")
+    df = spark.createDataFrame([(1, 2.0), (1, 8.0), (1, None), (2, None)], "k int, x double")
+    assert {r["k"]: r["m"] for r in df.repartition(3).groupBy("k").agg(F.expr("geometric_mean(x)").alias("m")).collect()} == {1: 4.0, 2: None}
