@@ -9,8 +9,8 @@ that scores, at most BUCKETS of them; a text's score needs a look at each of its
 Defined results: words are runs of bytes other than ASCII blanks, controls and punctuation, A-Z
 in lower case; null or empty text has no features and scores the model's bias; without
 labelled rows of both classes every score is 0. Rows are kept one for one, repeated rows and null
-doc_id included. A doc_id with several labels counts as so many rows of the sample; null
-labels don't count. Very long texts are scored whole, one in memory at a time. Other columns are never looked at.
+doc_id included. A doc_id with several labels counts as so many rows of the sample, and
+of a doc_id with several texts the one with the fewest features teaches (ties by their hash); null labels don't count. Very long texts are scored whole, one in memory at a time. Other columns are never looked at.
 """
 
 from __future__ import annotations

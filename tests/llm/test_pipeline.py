@@ -73,5 +73,29 @@ def test_odd_rows(spark, odd_documents, no_documents, sf_dir):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
 
 
+def test_odd_rows_by_value(spark, odd_documents, sf_dir):
+    """What each stage makes of nulls, empty and long texts, repeated rows and clashing columns."""
+    rows = sorted(map(tuple, odd_documents.collect()), key=repr)
+    at = odd_documents.columns.index
+    stages = dict(corpus_pipeline.STAGES)
+    text, chars, doc = at("text"), at("n_chars"), at("doc_id")
+    kept = [tuple(r) for r in stages["quality rules"](spark, odd_documents, sf_dir).collect()]
+    assert all(r in rows for r in kept) and all(len(r[text].split()) >= 20 for r in kept)  # fewer words fail the base rule
+    kept = sorted((tuple(r) for r in stages["near duplicates"](spark, odd_documents, sf_dir).collect()), key=repr)
+    want = [(d, t) for d, t in {(r[doc], r[text]) for r in rows} if d != 7 and not (d == 1 and t.startswith("another"))]
+    assert len(kept) == 9 and {r[doc] for r in kept} == {d for d, _ in want} and all(r in rows for r in kept)
+    made = [tuple(r) for r in stages["personal data"](spark, odd_documents, sf_dir).collect()]
+    assert len(made) == len(rows)
+    for r in made:
+        assert r[chars] == (None if r[text] is None else len(r[text]))
+        same = [x for x in rows if x[doc] == r[doc] and x[text] == r[text]]
+        assert bool(same) != (r[doc] is None)  # only the row with an address is changed
+        assert r[text] is None or "a.b@c.org" not in r[text]
+    kept = [tuple(r) for r in stages["target mix"](spark, odd_documents, sf_dir).collect()]
+    assert all(r in rows for r in kept)
+    ids = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in stages["encoding"](spark, odd_documents, sf_dir).collect()}
+    assert all(n == len(found) for n, found in ids.values()) and ids[2] == ids[3] == (0, []) and ids[6] == ids[7]
+
+
 def test_near_duplicates_keep_rows_that_no_other_stands_for(spark, odd_documents):
     assert {r["doc_id"] for r in neardup.keep_one(odd_documents).collect()} == {1, 2, 3, 4, 5, 6, 8, 9, None}
