@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct buckets of its words, pairs of neighbours and pairs with one
-or two words between. A bounded sample of labelled rows (SAMPLE, those of the smallest hashes, and SAMPLE_FEATURES, so that long texts stay bounded too)
-teaches the model in one task: each coordinate has its own rate, and the L1 term keeps all but
+or two words between. A bounded sample of labelled rows (SAMPLE, those of the smallest hashes, and SAMPLE_FEATURES,
+of which a text takes SHARE at most) teaches the model in one task: each coordinate has its own rate, and the L1 term keeps all but
 some hundred weights at zero; a fifth of it sets the scores' slope and bias. The weights that are left go to every task with the function
 that scores, at most BUCKETS of them; a text's score needs a look at each of its features only.
 
@@ -10,7 +10,7 @@ Defined results: words are runs of bytes other than ASCII blanks, controls and p
 in lower case; null or empty text has no features and scores the model's bias; without
 labelled rows of both classes every score is 0. Rows are kept one for one, repeated rows and null
 doc_id included. A doc_id with several labels counts as so many rows of the sample, and
-of a doc_id with several texts the one with the fewest features teaches (ties by their hash); null labels don't count. Very long texts are scored whole, one in memory at a time. Other columns are never looked at.
+of a doc_id with several texts the one with the fewest features teaches (ties by their hash); null labels don't count. Very long texts are scored whole, one in memory at a time; one of more features than SHARE teaches by those of the smallest hashes, from all of the text. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .common import Words, crc32_of, lowered, mapped, materialize, mixed, slices
 SAMPLE = 16_000
 #: Features of the rows that teach it, at most (256 MB): rows in the order of their hashes, up to this sum.
 SAMPLE_FEATURES = 1 << 26
+#: Features of one text that teach, at most, so that long texts leave room for 1,024 rows or more.
+SHARE = 1 << 16
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 #: Words between the two of a pair, from none.
@@ -68,6 +70,13 @@ def feature_lists(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return [keys[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def shared(buckets: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """The buckets of a text that teach: all, or the share of them that have the smallest hashes."""
+    if len(buckets) <= share:
+        return buckets
+    return np.sort(buckets[np.argpartition(mixed(buckets.astype(np.uint64)), share)[:share]])
+
+
 @dataclass
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; the last coordinate is the bias."""
@@ -132,8 +141,8 @@ def trained(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[n
     return at, w[at]
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic, features (uint32) of at most sample labelled rows outside the held-out fold."""
+def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, share: int = SHARE) -> DataFrame:
+    """doc_id, toxic, features (uint32, at most share a text) of at most sample labelled rows outside the held-out fold."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.pmod(crc32_of("doc_id"), F.lit(FOLDS)) != 0))
     chosen = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -142,14 +151,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                made = [x.tobytes() for x in feature_lists(data, offsets)]
+                made = [shared(x, share).tobytes() for x in feature_lists(data, offsets)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(made, pa.binary())], names=schema.names)
 
     made = mapped(rows, run, schema).groupBy("doc_id", "toxic")
     return made.agg(F.min_by("features", F.struct(F.octet_length("features"), F.xxhash64("features"))).alias("features"))
 
 
-def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """The weights, learned in one task from the bounded sample; only those other than zero leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +171,7 @@ def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
         at, w = trained(rows)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "w"])
 
-    rows = labelled_features(docs, labels, sample).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("features"))
+    rows = labelled_features(docs, labels, sample, share).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("features"))
     before = made_folders()
     got = materialize(mapped(rows, run, "at long, w double"), "toxicity-weights").toPandas()
     discard(docs.sparkSession, before)

@@ -135,3 +135,26 @@ def test_features_of_the_sample_are_bounded(spark):
     assert len(op.model_of(docs, labels, features=3)[0]) == 0  # no row fits
     few, all_ = op.model_of(docs, labels, features=20_000), op.model_of(docs, labels)
     assert 0 < len(few[0]) and few[1].tolist() != all_[1].tolist()
+
+
+def test_long_texts_leave_room_for_others(spark):
+    docs, labels = corpus(spark, 300)
+    r = random.Random(3)
+    long = [(1_000 + k, " ".join(f"w{r.randrange(1 << 40)}" for _ in range(4_000)), "en", "s") for k in range(40)]
+    docs = docs.unionByName(spark.createDataFrame(long, docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(k, 1, 0) for k, *_ in long], labels.schema))
+    lengths = {x["doc_id"]: len(x["features"]) // 4 for x in op.labelled_features(docs, labels, share=500).collect()}
+    assert max(lengths.values()) == 500 and lengths[1_003] == 500 and all(n < 500 for k, n in lengths.items() if k < 1_000)
+    at, w = op.model_of(docs, labels, features=100_000, share=500)
+    truth = {k: int(k % 5 == 0) for k in range(300)}
+    got = [((x["score"] >= 0.5) == truth[x["doc_id"]]) for x in op.score(docs, (at, w)).filter("doc_id < 1000").collect()]
+    assert np.mean(got) > 0.9
+
+
+def test_the_share_comes_from_all_of_a_text():
+    data = " ".join(f"w{k}" for k in range(3_000)).encode()
+    whole = op.feature_lists(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+    some = op.shared(whole, 1_000)
+    assert len(some) == 1_000 and set(some) <= set(whole) and some.tolist() == sorted(some) and some.dtype == whole.dtype
+    assert op.shared(whole[:1_000], 1_000).tolist() == whole[:1_000].tolist()
+    assert abs(np.mean(some) / np.mean(whole) - 1) < 0.1  # the bucket's place doesn't choose
