@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataframe.functions.vectors import cosine_similarity, dot, l2_distance
 from strataframe.operators.antijoin import not_in
 from strataframe.operators.asof import asof_join
-from strataframe.operators.quantiles import exact_quantile
+from strataframe.operators.quantiles import exact_quantile, exact_quantiles
 from strataframe.operators.ranges import band_join, interval_join
 from strataframe.operators.salting import salted_distinct_count, salted_join
 
@@ -96,6 +96,18 @@ def test_exact_quantile_equals_numpy(spark, rows, q):
     assert got == pytest.approx({k: float(np.quantile(v, q)) for k, v in groups.items() if v})
 
 
+@few
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), number, number), max_size=40))
+def test_quantiles_of_several_columns_equal_numpy(spark, rows):
+    wanted = {"a": ("v", 0.5), "b": ("w", 0.9), "c": ("v", 0.25), "d": ("w", 1.0)}
+    got = {r["k"]: r.asDict() for r in exact_quantiles(spark.createDataFrame(rows, "k int, v int, w int"), "k", wanted).collect()}
+    assert set(got) == {k for k, v, w in rows if v is not None or w is not None}
+    for k, r in got.items():
+        for name, (column, q) in wanted.items():
+            values = [x["vw".index(column) + 1] for x in rows if x[0] == k and x["vw".index(column) + 1] is not None]
+            assert r[name] == (pytest.approx(float(np.quantile(values, q))) if values else None)
+
+
 @few
 @given(pairs, pairs, st.integers(1, 5))
 def test_asof_by_spans_equals_asof(spark, left, right, width):
