@@ -1,4 +1,5 @@
-"""Typed JVM aggregators from the Java sources beside this package: compiled against Spark's own jars, added to the session."""
+"""JVM classes from the Java sources beside this package (typed aggregators, a JDBC driver): compiled against Spark's own
+jars, added to the session."""
 
 from __future__ import annotations
 
@@ -27,14 +28,18 @@ def built(javac: str = "javac") -> str:
     return str(folder / "strataframe.jar")
 
 
-def register_aggregator(spark: SparkSession, name: str, kind: str) -> None:
-    """Makes strataframe.<kind>, an aggregator of doubles, a function of the session. The jar is built once for each
-    session and goes to the executors with it."""
-    jvm, session = spark._jvm, spark._jsparkSession
+def loader(spark: SparkSession):
+    """The session's class loader, with the sources' jar: built once for each session, it goes to the executors with it."""
     if not getattr(spark, "_strataframe_jar", None):
         spark._strataframe_jar = built()
         spark.sql(f"ADD JAR '{spark._strataframe_jar}'")
-    kinds = session.artifactManager().classloader().loadClass(f"strataframe.{kind}")
+    return spark._jsparkSession.artifactManager().classloader()
+
+
+def register_aggregator(spark: SparkSession, name: str, kind: str) -> None:
+    """Makes strataframe.<kind>, an aggregator of doubles, a function of the session."""
+    jvm, session = spark._jvm, spark._jsparkSession
+    kinds = loader(spark).loadClass(f"strataframe.{kind}")
     gateway = spark.sparkContext._gateway
     made = kinds.getDeclaredConstructor(gateway.new_array(jvm.java.lang.Class, 0)).newInstance(gateway.new_array(jvm.java.lang.Object, 0))
     session.udf().register(name, jvm.org.apache.spark.sql.functions.udaf(made, jvm.org.apache.spark.sql.Encoders.DOUBLE()))

@@ -13,7 +13,7 @@ from .registry import register
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> jdbc.Database:
-    database = jdbc.local_database(spark)
+    database = jdbc.shared_database(spark)
     jdbc.write(table(spark, sf_dir, "orders"), database, "ORDERS")
     return database
 

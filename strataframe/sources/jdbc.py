@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jvm
 from .scratch import shared_folder
 
 #: Rows sent to the database, and fetched from it, at once.
@@ -29,13 +30,26 @@ class Database:
 
 def local_database(spark: SparkSession) -> Database:
     """A new database of the engine in PySpark's own jars, in a folder of this machine. One process opens it, so it is for
-    local sessions; on a cluster a Database names a server."""
+    local sessions; shared_database is for others, or a Database names a server."""
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("executors can't share an embedded database: name a server's url")
     at = re.sub("^file:/*", "/", shared_folder(spark, "database"))
     return Database(f"jdbc:derby:{at};create=true", "org.apache.derby.jdbc.EmbeddedDriver", "VARCHAR(32672)")
 
 
+def shared_database(spark: SparkSession) -> Database:
+    """A new database of that engine which the session's executors share. On a cluster it is in the folder of
+    spark.checkpoint.dir, which must be one of files; its processes open it in turn (TurnsDriver.java), so one executor's
+    tasks read or write at a time. Where that is too slow a Database names a server."""
+    if spark.sparkContext.master.startswith("local["):
+        return local_database(spark)
+    if not spark.conf.get("spark.checkpoint.dir", "/").startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir is no folder of files: name a server's url")
+    at = re.sub("^file:/*", "/", shared_folder(spark, "database"))
+    spark._jvm.java.lang.Thread.currentThread().setContextClassLoader(jvm.loader(spark))
+    return Database(f"jdbc:derbyturns:{at}", "strataframe.TurnsDriver", "VARCHAR(32672)")
+
+
 def write(df: DataFrame, database: Database, name: str, connections: int = 8) -> None:
     """Adds df to a table, over so many connections at most. Times without zone go as the session zone's."""
     for c, kind in df.dtypes:

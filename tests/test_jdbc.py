@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import io
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +60,41 @@ def test_an_embedded_database_is_refused_on_a_cluster():
 
     with pytest.raises(ValueError, match="server"):
         jdbc.local_database(Session)
+
+
+_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+
+scratch, sf_dir, name = sys.argv[1:]
+conf = {"spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{scratch}/shared", "spark.local.dir": scratch}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+
+from strataframe.plans import registry
+from tests.oracle import assert_same
+
+assert_same(spark, sf_dir, registry.queries()[name], registry.oracle_sql()[name])
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("name", ["a7_jdbc_pushed_aggregate"])
+def test_executors_share_a_database_in_turns(sf_dir, tmp_path, name):
+    """Driver and executors are processes of their own here; each may open the embedded database only in its turn."""
+    root = str(Path(__file__).resolve().parent.parent)
+    done = subprocess.run([sys.executable, "-c", _CLUSTER, str(tmp_path), sf_dir, name], cwd=tmp_path, env=os.environ | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable, "PYSPARK_SUBMIT_ARGS": "pyspark-shell"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_a_shared_database_needs_a_folder_of_files():
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        get = staticmethod(lambda *_: "hdfs://host/checkpoints")
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError, match="server"):
+        jdbc.shared_database(Session)
