@@ -78,7 +78,7 @@ spark.stop()
 """
 
 
-@pytest.mark.parametrize("name", ["a7_jdbc_pushed_aggregate", "a7_jdbc_pushed_filter"])
+@pytest.mark.parametrize("name", ["a7_jdbc_pushed_aggregate", "a7_jdbc_pushed_filter", "a7_jdbc_round_trip"])
 def test_executors_share_a_database_in_turns(sf_dir, tmp_path, name):
     """Driver and executors are processes of their own here; each may open the embedded database only in its turn."""
     root = str(Path(__file__).resolve().parent.parent)
