@@ -120,17 +120,16 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot(["l_orderkey", "l_linenumber", "l_partkey"], ["l_discount", "l_tax"], "kind", "amount")
 
 
-register_sql(
-    "b10_recursive_cte",
-    """
+_CHAIN = """
     WITH RECURSIVE follows AS (SELECT o_custkey, o_orderkey, o_totalprice, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key FROM orders),
     firsts AS (SELECT min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey),
     chain(o_custkey, o_orderkey, next_key, place, most) AS (
       SELECT o_custkey, o_orderkey, next_key, 1, o_totalprice FROM follows JOIN firsts ON o_orderkey = first_key
       UNION ALL SELECT f.o_custkey, f.o_orderkey, f.next_key, c.place + 1, greatest(c.most, f.o_totalprice) FROM chain c JOIN follows f ON f.o_orderkey = c.next_key WHERE c.place < 5)
     SELECT o_custkey, o_orderkey, CAST(place AS BIGINT) AS place, most FROM chain
-    """,
-)
+    """
+# without LIMIT ALL Spark stops a recursion at a million rows by an error
+register_sql("b10_recursive_cte", f"{_CHAIN} LIMIT ALL", _CHAIN)
 register_sql("f1_sort", "SELECT p_partkey, p_size, nullif(p_brand, 'Brand#11') AS brand FROM part ORDER BY brand DESC NULLS LAST, p_size ASC NULLS FIRST, p_partkey")
 register_sql("f2_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 

@@ -35,6 +35,15 @@ def test_exact_strata_have_their_size(spark, sf_dir):
     assert len(got) == 5 and {r["count"] for r in got} == {100}
 
 
+def test_a_recursion_isnt_stopped_by_its_rows(spark, sf_dir):
+    """Spark's limit of a million rows, lowered here, is for recursions without LIMIT ALL."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        assert_same(spark, sf_dir, QUERIES["b10_recursive_cte"], SQL["b10_recursive_cte"])
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_entry(spark):
     import __spark_entry__
 
