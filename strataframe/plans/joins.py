@@ -9,7 +9,6 @@ from ..operators.antijoin import not_in
 from ..operators.asof import asof_join
 from ..operators.ranges import band_join, interval_join
 from ..operators.salting import salted_join
-from ..operators.scans import ranks
 from ..sources.tables import table
 from .registry import register, register_sql
 
@@ -113,14 +112,19 @@ register_sql(
 
 @register(
     "c10_self_join",
-    "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(b.s_acctbal - a.s_acctbal, 2) AS more FROM supplier a JOIN supplier b ON b.s_suppkey = (SELECT min(c.s_suppkey) FROM supplier c WHERE c.s_nationkey = a.s_nationkey AND c.s_suppkey > a.s_suppkey)",
+    "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(b.s_acctbal - a.s_acctbal, 2) AS more FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
 )
 def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier with the next of its nation, by their places: as many rows as suppliers."""
-    s = ranks(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"], [F.col("s_suppkey")])
-    a, b = s.alias("a"), s.alias("b")
-    following = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("b._row") == F.col("a._row") + 1)
-    return a.join(b, following).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(F.col("b.s_acctbal") - F.col("a.s_acctbal"), 2).alias("more"))
+    """Every pair of suppliers of a nation. There are few nations and the rows grow as the square, so each nation's left rows
+    are dealt out over tasks of a set number, since Spark would merge them by their small size. The hint keeps it from
+    broadcasting the repeated side, which it takes to be as small as before."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    deals = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    a = s.toDF("a", "nation", "a_acctbal").withColumn("deal", F.pmod(F.xxhash64("a"), F.lit(deals)).cast("int"))
+    b = s.toDF("b", "nation", "b_acctbal").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    dealt = [x.repartition(deals, "deal", "nation") for x in (a, b)]
+    pairs = dealt[0].join(dealt[1].hint("merge"), ["deal", "nation"]).filter("a < b")
+    return pairs.select("a", "b", F.round(F.col("b_acctbal") - F.col("a_acctbal"), 2).alias("more"))
 
 
 @register("c11_salted_join", "SELECT event_type, name, count(*) AS n FROM events JOIN (VALUES ('click', 'pointer'), ('view', 'page'), ('purchase', 'shop')) v(kind, name) ON event_type = kind GROUP BY event_type, name")

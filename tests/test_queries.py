@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 from strataframe.plans import registry
 
@@ -44,6 +45,15 @@ def test_a_recursion_isnt_stopped_by_its_rows(spark, sf_dir):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_a_self_join_gives_every_pair_by_many_tasks(spark, tmp_path):
+    suppliers = spark.range(400).selectExpr("id AS s_suppkey", "'s' AS s_name", "IF(id = 0, NULL, 7) AS s_nationkey", "id / 100D AS s_acctbal")
+    suppliers.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["c10_self_join"](spark, str(tmp_path))
+    by_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 399 * 398 // 2 and max(by_task) < sum(by_task) / 8
+    assert_same(spark, str(tmp_path), QUERIES["c10_self_join"], SQL["c10_self_join"])
+
+
 def test_entry(spark):
     import __spark_entry__
 
