@@ -18,11 +18,12 @@ BATCH = 5_000
 @dataclass(frozen=True)
 class Database:
     """url and driver as JDBC has them. text: the type of string columns, where the database can't compare its default
-    one; columns that hold nulls keep that one, since Spark sends their nulls by its type."""
+    one; columns that hold nulls keep that one, since Spark sends their nulls by its type. embedded: it is the engine in PySpark's jars."""
 
     url: str
     driver: str
     text: str | None = None
+    embedded: bool = False
 
     def options(self) -> dict[str, str]:
         return {"url": self.url, "driver": self.driver, "fetchsize": str(BATCH), "batchsize": str(BATCH)}
@@ -34,7 +35,7 @@ def local_database(spark: SparkSession) -> Database:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("executors can't share an embedded database: name a server's url")
     at = re.sub("^file:/*", "/", shared_folder(spark, "database"))
-    return Database(f"jdbc:derby:{at};create=true", "org.apache.derby.jdbc.EmbeddedDriver", "VARCHAR(32672)")
+    return Database(f"jdbc:derby:{at};create=true", "org.apache.derby.jdbc.EmbeddedDriver", "VARCHAR(32672)", True)
 
 
 def shared_database(spark: SparkSession) -> Database:
@@ -47,7 +48,7 @@ def shared_database(spark: SparkSession) -> Database:
         raise ValueError("spark.checkpoint.dir is no folder of files: name a server's url")
     at = re.sub("^file:/*", "/", shared_folder(spark, "database"))
     spark._jvm.java.lang.Thread.currentThread().setContextClassLoader(jvm.loader(spark))
-    return Database(f"jdbc:derbyturns:{at}", "strataframe.TurnsDriver", "VARCHAR(32672)")
+    return Database(f"jdbc:derbyturns:{at}", "strataframe.TurnsDriver", "VARCHAR(32672)", True)
 
 
 def write(df: DataFrame, database: Database, name: str, connections: int = 8) -> None:
@@ -59,7 +60,27 @@ def write(df: DataFrame, database: Database, name: str, connections: int = 8) ->
     names = [c for c, kind in df.dtypes if kind == "string"] if database.text else []
     lacking = df.agg(*(F.max(F.col(c).isNull()).alias(c) for c in names)).first() if names else {}
     texts = [f"{c} {database.text}" for c in names if not lacking[c]]
-    (writer.option("createTableColumnTypes", ", ".join(texts)) if texts else writer).save()
+    typed = {"createTableColumnTypes": ", ".join(texts)} if texts else {}
+    if database.embedded:
+        df.limit(0).write.format("jdbc").options(**database.options(), **typed, dbtable=name).mode("append").save()
+        _by_tables(df.sparkSession, database, name)
+    writer.options(**typed).save()
+
+
+def _by_tables(spark: SparkSession, database: Database, name: str) -> None:
+    """Writers lock the table, each as long as its rows take, and wait without end: the embedded engine keeps a lock
+    for each row of a transaction in memory, as many as a task has rows, where several of them write."""
+    kinds = jvm.loader(spark) if database.driver.startswith("strataframe.") else spark._jvm.java.lang.ClassLoader.getSystemClassLoader()
+    gateway = spark.sparkContext._gateway
+    driver = kinds.loadClass(database.driver).getDeclaredConstructor(gateway.new_array(spark._jvm.java.lang.Class, 0)).newInstance(gateway.new_array(spark._jvm.java.lang.Object, 0))
+    connection = driver.connect(database.url, spark._jvm.java.util.Properties())
+    try:
+        for said in ("CALL SYSCS_UTIL.SYSCS_SET_DATABASE_PROPERTY('derby.locks.waitTimeout', '-1')", f"ALTER TABLE {name} LOCKSIZE TABLE"):
+            statement = connection.createStatement()
+            statement.execute(said)
+            statement.close()
+    finally:
+        connection.close()
 
 
 def read(spark: SparkSession, database: Database, name: str, column: str, parts: int = 8) -> DataFrame:

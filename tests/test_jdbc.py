@@ -51,6 +51,17 @@ def test_an_empty_table(spark):
     assert jdbc.read(spark, database, "T", "k").count() == 0
 
 
+def test_writers_lock_the_table_not_each_row(spark):
+    """Locks of rows are kept in memory, as many as a task writes."""
+    database = jdbc.local_database(spark)
+    jdbc.write(spark.range(0, 40_000, 1, 4).select(F.col("id").alias("k")), database, "T")
+    locked = spark.read.format("jdbc").options(**database.options(), query="SELECT LOCKGRANULARITY AS g FROM SYS.SYSTABLES WHERE TABLENAME = 'T'").load()
+    assert locked.first()[0] == "T"
+    jdbc.write(spark.range(40_000, 40_010).select(F.col("id").alias("k")), database, "T")
+    assert jdbc.read(spark, database, "T", "k").agg(F.count("k"), F.sum("k")).first()[:] == (40_010, sum(range(40_010)))
+    jdbc.forget(spark, database)
+
+
 def test_an_embedded_database_is_refused_on_a_cluster():
     class Context:
         master = "spark://host:7077"
