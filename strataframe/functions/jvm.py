@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -13,6 +14,9 @@ import pyspark
 from pyspark.sql import SparkSession
 
 SOURCES = Path(__file__).resolve().parent.parent / "jvm"
+#: The jar of each Spark application, which takes one of a name; queries that run side by side ask for it at once.
+_JARS: dict[str, str] = {}
+_BUILDING = threading.Lock()
 
 
 def built(javac: str = "javac") -> str:
@@ -29,10 +33,14 @@ def built(javac: str = "javac") -> str:
 
 
 def loader(spark: SparkSession):
-    """The session's class loader, with the sources' jar: built once for each session, it goes to the executors with it."""
-    if not getattr(spark, "_strataframe_jar", None):
-        spark._strataframe_jar = built()
-        spark.sql(f"ADD JAR '{spark._strataframe_jar}'")
+    """The session's class loader, with the sources' jar: built once for each application, it goes to the executors with each session."""
+    app = spark.sparkContext.applicationId
+    with _BUILDING:
+        if not getattr(spark, "_strataframe_jar", None):
+            if app not in _JARS:
+                _JARS[app] = built()
+            spark.sql(f"ADD JAR '{_JARS[app]}'")
+            spark._strataframe_jar = _JARS[app]
     return spark._jsparkSession.artifactManager().classloader()
 
 

@@ -9,9 +9,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
+from strataframe.functions import jvm
 from strataframe.plans import registry
 from strataframe.sources import jdbc
 
@@ -109,3 +111,67 @@ def test_a_shared_database_needs_a_folder_of_files():
 
     with pytest.raises(ValueError, match="server"):
         jdbc.shared_database(Session)
+
+
+_CROSS = """
+import java.nio.file.*;
+import java.sql.*;
+import java.util.*;
+
+public class Cross {
+  static Connection taken(String at) throws Exception {
+    Connection made = ((Driver) Class.forName("strataframe.TurnsDriver").getDeclaredConstructor().newInstance()).connect("jdbc:derbyturns:" + at, new Properties());
+    made.setAutoCommit(false);
+    return made;
+  }
+
+  public static void main(String[] at) throws Exception {
+    Connection own = taken(at[0]);
+    Files.createFile(Path.of(at[0] + ".taken"));
+    while (!Files.exists(Path.of(at[1] + ".taken"))) Thread.sleep(20);
+    Exception[] failed = {null};
+    Thread other = new Thread(() -> {
+      try {
+        taken(at[1]).close();
+      } catch (Exception e) {
+        failed[0] = e;
+      }
+    });
+    other.start();
+    Thread.sleep(2000);
+    own.close();
+    other.join();
+    if (failed[0] != null) throw new Exception(failed[0]);
+  }
+}
+"""
+
+
+def test_processes_wait_for_each_others_turns(tmp_path):
+    """Two queries side by side: an executor has a turn at one database and waits for the other, another the reverse."""
+    (tmp_path / "Cross.java").write_text(_CROSS)
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
+    command = ["java", "-cp", f"{jvm.built()}:{jars}", "Cross.java"]
+    run = [subprocess.Popen([*command, *at], cwd=tmp_path, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True) for at in ((f"{tmp_path}/a", f"{tmp_path}/b"), (f"{tmp_path}/b", f"{tmp_path}/a"))]
+    said = [p.communicate(timeout=120)[0] for p in run]
+    assert [p.returncode for p in run] == [0, 0], said
+
+
+def test_a_connection_that_gave_up_its_turn_tells_without_it(spark, tmp_path):
+    """Spark asks a reader's connection for its mode at the end of each part."""
+    kinds, gateway = jvm.loader(spark), spark.sparkContext._gateway
+    driver = kinds.loadClass("strataframe.TurnsDriver").getDeclaredConstructor(gateway.new_array(spark._jvm.java.lang.Class, 0)).newInstance(gateway.new_array(spark._jvm.java.lang.Object, 0))
+    connection = driver.connect(f"jdbc:derbyturns:{tmp_path}/a", spark._jvm.java.util.Properties())
+    statement = connection.createStatement()
+    assert (tmp_path / "a" / "database" / "db.lck").exists()
+    statement.close()
+    (tmp_path / "a").rename(tmp_path / "b")
+    assert connection.getAutoCommit() and not (tmp_path / "a").exists()
+    connection.close()
+
+
+def test_sessions_of_an_application_share_a_jar(spark):
+    sessions = [spark.newSession(), spark.newSession()]
+    for s in sessions:
+        jvm.loader(s).loadClass("strataframe.TurnsDriver")
+    assert sessions[0]._strataframe_jar == sessions[1]._strataframe_jar
